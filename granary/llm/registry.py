@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat_windows, token_files
+from granary.llm import byte_bpe, chat_windows, simhash, token_files
 from granary.llm.common import new_path, read_table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -35,5 +35,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digests(chat_windows.format_windows(turns))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every whole text, and the component of fingerprints within two bits."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}
