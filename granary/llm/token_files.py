@@ -18,49 +18,83 @@ repeated rows are written once each; an empty table gives empty files.
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, sliced, texts_of, written
+from granary.llm.common import discard, sliced, written
 
 CHECKPOINT = 64
-SPACES = re.compile("[ \t\n\r]+")
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer whose tokens never cross white space; words are remembered up to a bound."""
+    """Ids of texts by a lower-casing BPE tokenizer whose pre-tokens never cross white space.
 
-    def __init__(self, path: str, most: int = 200_000):
+    Each distinct word of a batch is encoded once and remembered up to a bound.
+    A word of lower-case letters alone is one pre-token and goes straight to
+    the BPE model; any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.most = most
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [SPACES.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({w for ws in words for w in ws if w not in memo})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            memo.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += memo[w]
-            out.append(ids)
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
+
+    def learn(self, words: list[str]) -> None:
+        plain, chars, rest = self.model.tokenize, self.byte_chars, []
+        for w in words:
+            if w.isalpha() and w.lower() == w and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                self.store(w, [t.id for t in plain(w if w.isascii() else "".join(map(chars.__getitem__, w.encode())))])
+            else:
+                rest.append(w)
+        for start in range(0, len(rest), 4096):
+            part = rest[start : start + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.store(w, e.ids)
+
+    def store(self, word: str, ids: list[int]) -> None:
+        self.slots[word] = len(self.starts)
+        self.starts.append(len(self.ids))
+        self.sizes.append(len(ids))
+        self.ids.extend(ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where those of each text begin and end."""
+        if len(self.slots) > self.most:
+            self.forget()
+        texts = pc.fill_null(texts, "")
+        # lowering first merges words, but a combining mark may compose with the small letter alone
+        low = pc.if_else(pc.match_substring_regex(texts, r"[\x{0300}-\x{036f}]"), texts, pc.ascii_lower(texts))
+        # a letter and a stop after it are pre-tokens of their own, so a space between them changes nothing
+        spaced = pc.replace_substring_regex(pc.replace_substring_regex(low, r"([a-z])([.,!]+)", r"\1 \2"), r"[\t\n\r]", " ")
+        words = pc.split_pattern(spaced, " ")
+        each = pc.list_flatten(words).dictionary_encode()
+        distinct = each.dictionary.to_pylist()
+        self.learn([w for w in distinct if w not in self.slots])
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[each.indices.to_numpy()]
+        lengths, begins = np.frombuffer(self.sizes, np.int64)[slots], np.frombuffer(self.starts, np.int64)[slots]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.frombuffer(self.ids or array("I", [0]), np.uint32)[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
 
 
 @lru_cache(maxsize=2)
@@ -170,13 +204,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
         def close():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([offset], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names)
 
-        for batch in sliced(batches, max_bytes=2 << 20):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                ids = np.array([*ids, end_id], kind)
+        end = np.array([end_id], kind).tobytes()
+        for batch in sliced(batches, max_bytes=4 << 20):
+            ids, edges = encoder.encode(batch.column(1))
+            ids, edges = ids.astype(kind), edges.tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
                 doc_ids.append(doc)
-                sizes.append(len(ids))
-                parts.append(ids.tobytes())
-                held += len(ids)
+                sizes.append(b - a + 1)
+                parts += (ids[a:b].tobytes(), end)
+                held += b - a + 1
                 if held >= block_ids:
                     yield close()
                     doc_ids, sizes, parts, offset, held, block = [], [], [], offset + held, 0, block + 1
