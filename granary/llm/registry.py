@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat_windows, simhash, suffix_dedup, token_files
+from granary.llm import byte_bpe, chat_windows, decontaminate, kneser_ney, simhash, suffix_dedup, token_files
 from granary.llm.common import new_path, read_table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -49,5 +49,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.join(told, "text_key").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney log perplexity of every document, the threshold of its language, and the decision."""
+    trusted = read_table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    found = kneser_ney.classify(read_table(spark, sf_dir, "documents"), trusted)
+    return found.select(F.col("id").alias("doc_id"), F.nullif("lang", F.lit(kneser_ney.NO_LANG)).alias("lang"), "n_bytes", "log_ppl", "threshold", "kept")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item within the edit budget of a passage of it."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}
