@@ -61,11 +61,22 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         plain, chars, rest = self.model.tokenize, self.byte_chars, []
+        slots, flat, starts, sizes = self.slots, self.ids, self.starts, self.sizes
         for w in words:
-            if w.isalpha() and w.lower() == w and (w.isascii() or unicodedata.is_normalized("NFC", w)):
-                self.store(w, [t.id for t in plain(w if w.isascii() else "".join(map(chars.__getitem__, w.encode())))])
+            if not w.isalpha():
+                rest.append(w)
+                continue
+            if w.isascii() and w.islower():
+                found = plain(w)
+            elif w.lower() == w and unicodedata.is_normalized("NFC", w):
+                found = plain("".join(map(chars.__getitem__, w.encode())))
             else:
                 rest.append(w)
+                continue
+            slots[w] = len(starts)
+            starts.append(len(flat))
+            sizes.append(len(found))
+            flat.extend([t.id for t in found])
         for start in range(0, len(rest), 4096):
             part = rest[start : start + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -143,23 +154,28 @@ def canonical_codes(bits: np.ndarray) -> np.ndarray:
 
 
 def encode_block(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, bytes]:
-    """Payload and checkpoints of one block."""
-    out, offsets, carry = [], [], np.zeros(0, np.uint8)
-    done = 0
-    for start in range(0, len(ids), 1 << 16):  # bounded work space for blocks of one very long document
-        part = ids[start : start + (1 << 16)]
-        length = bits[part].astype(np.int64)
-        ends = np.cumsum(length)
-        offsets.append((done + ends - length)[::CHECKPOINT])
-        done += int(ends[-1])
-        shift = length[:, None] - 1 - np.arange(int(length.max()))
-        plane = (codes[part][:, None] >> np.maximum(shift, 0)) & 1
-        stream = np.concatenate([carry, plane[shift >= 0].astype(np.uint8)])
-        whole = len(stream) // 8 * 8
-        out.append(np.packbits(stream[:whole]).tobytes())
-        carry = stream[whole:]
-    out.append(np.packbits(carry).tobytes())
-    return b"".join(out), np.concatenate(offsets or [np.zeros(0)]).astype("<u8").tobytes()
+    """Payload and checkpoints of one block.
+
+    Codes are shorter than a 64-bit word, so each falls into one word or two:
+    the parts that begin in a word are joined by one segmented OR, and at most
+    one code runs over into the next word.
+    """
+    if not len(ids):
+        return b"", b""
+    length = bits[ids].astype(np.int64)
+    ends = np.cumsum(length)
+    offset = ends - length
+    word, room = offset >> 6, 64 - (offset & 63)
+    code = codes[ids].astype(np.uint64)
+    over = length - room
+    split = over > 0
+    main = np.where(split, code >> np.maximum(over, 0).astype(np.uint64), code << np.maximum(-over, 0).astype(np.uint64))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(main, first)
+    at = np.flatnonzero(split)
+    out[word[at] + 1] |= code[at] << (64 - over[at]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], offset[::CHECKPOINT].astype("<u8").tobytes()
 
 
 def decode_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -205,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([offset], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names)
 
         end = np.array([end_id], kind).tobytes()
-        for batch in sliced(batches, max_bytes=4 << 20):
+        for batch in sliced(batches, max_bytes=8 << 20):
             ids, edges = encoder.encode(batch.column(1))
             ids, edges = ids.astype(kind), edges.tolist()
             for doc, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
