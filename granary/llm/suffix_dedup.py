@@ -8,10 +8,10 @@ anywhere else.  Such strings are found without sorting the whole corpus:
    ``length``-byte string) put an anchor into every string, at the same place in
    every occurrence.  Only anchors whose gram occurs elsewhere go on; an anchor
    whose whole surroundings occur elsewhere is settled at once.
-3. The other surroundings meet by gram.  Their strings are put in suffix
-   order (prefix doubling), and previous and next smaller text positions in
-   that order give the longest previous factor of each start, and by mirrored
-   positions the longest next factor.
+3. The other surroundings meet by gram.  Their repeated strings are put in
+   suffix order, and previous and next smaller text positions in that order
+   tell whether the longest previous (or next) factor of a start reaches
+   ``length``.
 4. A gram with more than ``group`` different surroundings is not gathered.  Its
    strings are dealt into ranges of starts; a range whose union occurs
    elsewhere is settled, one whose common core is unique is dropped, and only
@@ -39,21 +39,25 @@ from pyspark.sql import functions as F
 from granary.llm.buckets import by_group
 from granary.llm.common import sliced, written
 
-GRAM = 50
+GRAM = 150
 RANGE = 22
 MULTIPLIER = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
 NULL_FIRST = -(1 << 63)
 
 
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the rolling hash's base and of its inverse modulo 2**64."""
-    base, inverse = np.full(n, MULTIPLIER, np.uint64), np.full(n, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
+@lru_cache(maxsize=1)
+def power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    base, inverse = np.full(size, MULTIPLIER, np.uint64), np.full(size, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
     base[0] = inverse[0] = 1
     return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the rolling hash's base and of its inverse modulo 2**64."""
+    return power_table(1 << max(21, (n - 1).bit_length()))
+
+
 def sliding(values: np.ndarray, width: int, accumulate) -> np.ndarray:
     """Minimum or maximum of every ``width`` consecutive values."""
     n = len(values)
@@ -93,72 +97,50 @@ def surroundings(n: int, at: int, length: int) -> tuple[int, int]:
     return max(0, at - (length - GRAM)), min(n, at + length)
 
 
-def longest_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """For each entry of a suffix order: its longest match with an entry of smaller ``order`` value.
-
-    ``order[r]`` is the text position of the suffix of rank r; ``lcp[r]`` the
-    common prefix of ranks r - 1 and r.  The best match is at the previous or
-    the next smaller position in suffix order; one stack pass finds both.
-    """
-    n = len(order)
-    found = [0] * n
-    stack: list[tuple[int, int]] = []  # rank, common prefix with the entry below it
-    values, common = order.tolist(), lcp.tolist()
-    for r in range(n):
-        shared = common[r] if r else 0
-        while stack and values[stack[-1][0]] > values[r]:
-            top, below = stack.pop()
-            found[top] = max(found[top], shared)  # r is the next smaller of top
-            shared = min(shared, below)
-        if stack and values[stack[-1][0]] == values[r]:  # the same text position, seen twice
-            top, below = stack.pop()
-            found[top] = max(found[top], min(shared, below))
-            shared = min(shared, below)
-        if stack:
-            found[r] = max(found[r], shared)
-        stack.append((r, shared))
-    return np.array(found, np.int64)
-
-
 def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool) -> list[np.ndarray]:
     """For each part: the starts in it whose string occurs at another text position (an earlier one unless ``both``).
 
     ``begins[i]``: the text position of part i in a numbering of all texts.
+
+    Rolling hashes drop the starts whose string is unique here.  The others are
+    put in suffix order, cut at ``length`` bytes; suffixes equal up to there
+    stand in the order of their text positions.  So the previous smaller
+    position of an entry is its nearest left neighbour at another position, and
+    the longest previous factor reaches ``length`` just if that neighbour has
+    the same string.  Next smaller positions of the mirrored order give the
+    longest next factor in the same way.
     """
     sizes = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts) + b"\0" * (length + 8), np.uint8)
-    n = len(data) - length - 8
-    words = np.zeros(n + length, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | data[k : k + n + length].astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1]
-    span, ranks = 8, {8: rank}
-    while 2 * span <= length:
-        usable = len(rank) - span
-        rank = np.unique(rank[:usable].astype(np.int64) * (int(rank.max()) + 1) + rank[span:], return_inverse=True)[1]
-        span *= 2
-        ranks[span] = rank
+    joined = b"".join(parts)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    starts = np.concatenate([o + np.arange(s - length + 1) for o, s in zip(offsets, sizes, strict=True)])
-    texts = np.concatenate([b + np.arange(s - length + 1) for b, s in zip(begins, sizes, strict=True)])
-    key = rank[starts].astype(np.int64) * (int(rank.max()) + 1) + rank[starts + length - span]
-    by = np.argsort(key, kind="stable")
-    suffixes, held = starts[by], key[by]
-    lcp = np.zeros(len(by), np.int64)
-    same = np.flatnonzero(held[1:] == held[:-1]) + 1
-    lcp[same] = length
-    alive = np.zeros(len(by), bool)  # a start without an equal neighbour has shorter factors only
-    alive[same] = alive[same - 1] = True
-    pick = np.flatnonzero(alive)
-    if not len(pick):
+    counts = sizes - length + 1
+    ids = np.repeat(np.arange(len(parts)), counts)
+    within = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = offsets[ids] + within
+    data = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
+    base, inverse = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * base[: len(data)], dtype=np.uint64)])
+    key = (sums[starts + length] - sums[starts]) * inverse[starts]
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    alive = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    strings: dict[bytes, int] = {}
+    names = np.array([strings.setdefault(joined[s : s + length], len(strings)) for s in starts[alive].tolist()], np.int64)
+    if not len(names):
         return [np.zeros(0, np.int64)] * len(parts)
-    places, near = texts[by][pick], lcp[pick]
-    hit = longest_factors(places, near) >= length
+    rank = np.empty(len(strings), np.int64)
+    rank[[strings[x] for x in sorted(strings)]] = np.arange(len(strings))
+    texts = begins[ids[alive]] + within[alive]
+    order = np.lexsort((texts, rank[names]))
+    names, texts, alive = names[order], texts[order], alive[order]
+    new = np.concatenate([[True], names[1:] != names[:-1]])
+    run = np.cumsum(new) - 1
+    hit = texts > texts[np.flatnonzero(new)][run]
     if both:
-        hit |= longest_factors(-places, near) >= length
-    found = np.sort(suffixes[pick[hit]])
-    cut = np.searchsorted(found, np.concatenate([offsets, [n]]))
-    return [found[cut[i] : cut[i + 1]] - offsets[i] for i in range(len(parts))]
+        hit |= texts < texts[np.concatenate([np.flatnonzero(new)[1:], [len(names)]]) - 1][run]
+    found = np.sort(alive[hit])
+    cut = np.searchsorted(ids[found], np.arange(len(parts) + 1))
+    return [within[found[cut[i] : cut[i + 1]]] for i in range(len(parts))]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,6 +170,11 @@ def binary_rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def rows_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 SPAN_SCHEMA = "text_key binary, a int, b int"
 
 
@@ -215,34 +202,41 @@ class Repeats:
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=4 << 20):
-                keys, firsts, ats, grams, contexts = [], [], [], [], []
+                out: list[tuple] = []
                 for key, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     at, gram = anchors_of(np.frombuffer(text, np.uint8), length)
-                    keys += [key] * len(at)
-                    firsts += [first] * len(at)
-                    ats += at.tolist()
-                    grams.append(gram)
-                    for p in at.tolist():
+                    seen: dict[int, list[int]] = {}
+                    spans = []
+                    for p, g in zip(at.tolist(), gram.view(np.int64).tolist(), strict=True):
                         a, b = surroundings(len(text), p, length)
-                        contexts.append(xxhash.xxh3_128_digest(text[a:b], p - a))
-                if ats:
-                    yield binary_rows({"text_key": (keys, pa.binary()), "first": (firsts, pa.int64()), "at": (ats, pa.int32()), "gram": (np.concatenate(grams).view(np.int64), pa.int64()), "context": (contexts, pa.binary())})
-
-        anchors = written(long.select("text_key", "first", "text").mapInArrow(find, "text_key binary, first long, at int, gram long, context binary"), "suffix-anchors")
-        order = F.struct("first", "text_key", "at")
-        kinds = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one"))
-        spread = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
+                        context = xxhash.xxh3_64_intdigest(text[a:b], p - a) - (1 << 63)
+                        if context in seen:  # a run of short period has very many anchors, but few surroundings
+                            seen[context][2] += 1
+                            spans.append((a, b))
+                        else:
+                            seen[context] = [p, g, 1]
+                    out += [(key, first, p, g, context, n, None) for context, (p, g, n) in seen.items()]
+                    out += [(key, first, a, None, None, 0, b) for a, b in merged(spans)]
+                if out:
+                    yield rows_of(out, {"text_key": pa.binary(), "first": pa.int64(), "at": pa.int32(), "gram": pa.int64(), "context": pa.int64(), "n": pa.int32(), "b": pa.int32()})
+
+        found = written(long.select("text_key", "first", "text").mapInArrow(find, "text_key binary, first long, at int, gram long, context long, n int, b int"), "suffix-anchors")
+        within = found.filter("gram IS NULL").select("text_key", F.col("at").alias("a"), "b")
+        anchors = found.filter("gram IS NOT NULL").drop("b")
+        order = self.order()
+        kinds = anchors.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(order).alias("one"))
+        spread = anchors.groupBy("gram").agg(F.sum("n").alias("all")).filter("all > 1")
         kinds = written(kinds.join(spread, "gram").select("gram", "context", "n", "one"), "suffix-kinds")
         counts = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
 
         again = kinds.filter("n > 1").select("gram", "context", F.col("one").alias("earliest"))
-        settled = anchors.join(again, ["gram", "context"])
+        settled = anchors.drop("n").join(again, ["gram", "context"])
         if self.keep_first:
-            settled = settled.filter(F.struct("first", "text_key", "at") != F.col("earliest"))
+            settled = settled.filter(order != F.col("earliest"))
         whole = settled.select("text_key", F.greatest(F.lit(0), F.col("at") - left).alias("a"), (F.col("at") + length).alias("b"))
 
-        wanted = written(kinds.join(counts.filter("m > 1"), "gram").select("gram", "m", "one.*"), "suffix-wanted")
-        spans = [whole, self._by_order(wanted.filter(F.col("m") <= self.group))]
+        wanted = written(kinds.join(counts.filter("m > 1"), "gram").select("gram", "m", "one.text_key", "one.at"), "suffix-wanted")
+        spans = [within, whole, self._by_order(wanted.filter(F.col("m") <= self.group))]
         hot = wanted.filter(F.col("m") > self.group)
         if not hot.isEmpty():
             spans += self._by_ranges(hot)
@@ -251,6 +245,10 @@ class Repeats:
             out = out.unionByName(s)
         return out
 
+    def order(self) -> Column:
+        """What comes first where copies are compared; any fixed order does if all copies go."""
+        return F.struct("first", "text_key", "at") if self.keep_first else F.struct("text_key", "at")
+
     def _asked(self, wanted: DataFrame, *more: str) -> DataFrame:
         """Texts with the anchors asked for in them."""
         asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("at", *more)).alias("asked"))
@@ -308,7 +306,7 @@ class Repeats:
                     yield binary_rows({"first": ([first] * len(out), pa.int64()), "text_key": ([key] * len(out), pa.binary()), **{c: ([x[i] for x in out], t) for i, (c, t) in enumerate((("at", pa.int32()), ("k", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.binary()), ("union", pa.binary())))}})
 
         dealt = written(self._asked(wanted).mapInArrow(ranges, "first long, text_key binary, at int, k int, low int, high int, core binary, union binary"), "suffix-ranges")
-        order: Column = F.struct("first", "text_key", "at")
+        order = self.order()
         unions = written(dealt.groupBy("union").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("earliest")).filter("n > 1"), "suffix-unions")
         cores = written(dealt.groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).filter("n_core > 1"), "suffix-cores")
         told = dealt.join(unions, "union", "left")
