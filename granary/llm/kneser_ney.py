@@ -106,13 +106,15 @@ def fit(trusted: DataFrame) -> DataFrame:
 class Shard:
     """Sorted arrays of one language for some values of the byte before."""
 
-    def __init__(self, rows: pd.DataFrame, before: set[int] | None):
+    def __init__(self, rows: pa.Table, before: set[int] | None):
         self.before = None if before is None else np.array(sorted(before), np.int64)
         self.probs, self.weights = {}, {}
+        kind, g, value = (rows.column(c).to_numpy() for c in ("kind", "g", "value"))
         for k in range(1, ORDER + 1):
-            for table, col in ((self.probs, "p"), (self.weights, "w")):
-                part = rows[(rows["k"] == k) & rows[col].notna()].sort_values("g")
-                table[k] = (part["g"].to_numpy(np.int64), np.log(part[col].to_numpy(np.float64)))
+            for table, code in ((self.probs, k), (self.weights, -k)):
+                at = np.flatnonzero(kind == code)
+                at = at[np.argsort(g[at])]
+                table[k] = (g[at], value[at])
 
     def log_probs(self, grams: np.ndarray) -> np.ndarray:
         """Natural logarithms for distinct grams: of the longest seen gram, with the weights of longer contexts."""
@@ -169,17 +171,19 @@ def passes(model: DataFrame, shard_entries: int) -> list[dict[str, set[int] | No
 def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) -> DataFrame:
     """id, lang, digest, n_bytes, log_prob per row of ``docs`` (id, lang, text) whose language has a model."""
     spark = docs.sparkSession
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, lang string, digest long, n_bytes long, log_prob double"
+    id_type = docs.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, lang string, digest long, n_bytes long, log_prob double"
     plan = passes(model, shard_entries)
     whole, split = [], []
     for held in plan:
-        wanted = F.lit(False)
+        shards = {}
         for lang, before in held.items():
             own = F.col("lang") == lang
-            wanted = wanted | (own if before is None else own & ((F.col("before") == -1) | F.col("before").isin(sorted(before))))
-        rows = model.filter(wanted).select("k", "lang", "g", "p", "w").toPandas()  # at most shard_entries and one range
-        shards = {lang: Shard(rows[rows["lang"] == lang], before) for lang, before in held.items()}
+            if before is not None:
+                own = own & ((F.col("before") == -1) | F.col("before").isin(sorted(before)))
+            kind = F.when(F.col("w").isNull(), F.col("k")).otherwise(-F.col("k")).cast("byte")
+            # at most shard_entries and one range in all, 13 bytes each
+            shards[lang] = Shard(model.filter(own).select(kind.alias("kind"), "g", F.log(F.coalesce("p", "w")).cast("float").alias("value")).toArrow(), before)
         sent = spark.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
