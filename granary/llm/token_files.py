@@ -57,7 +57,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.ids, self.starts, self.sizes = array("I"), array("i"), array("i")
 
     def learn(self, words: list[str]) -> None:
         plain, chars, rest = self.model.tokenize, self.byte_chars, []
@@ -101,10 +101,12 @@ class WordEncoder:
         each = pc.list_flatten(words).dictionary_encode()
         distinct = each.dictionary.to_pylist()
         self.learn([w for w in distinct if w not in self.slots])
-        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[each.indices.to_numpy()]
-        lengths, begins = np.frombuffer(self.sizes, np.int64)[slots], np.frombuffer(self.starts, np.int64)[slots]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = np.frombuffer(self.ids or array("I", [0]), np.uint32)[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int32, len(distinct))[each.indices.to_numpy()]
+        lengths, begins = np.frombuffer(self.sizes, np.int32)[slots], np.frombuffer(self.starts, np.int32)[slots]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        place = np.repeat(begins - ends[:-1], lengths)
+        place += np.arange(ends[-1])
+        ids = np.frombuffer(self.ids or array("I", [0]), np.uint32)[place]
         return ids, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
 
 
@@ -221,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([offset], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names)
 
         end = np.array([end_id], kind).tobytes()
-        for batch in sliced(batches, max_bytes=8 << 20):
+        for batch in sliced(batches, max_bytes=4 << 20):
             ids, edges = encoder.encode(batch.column(1))
             ids, edges = ids.astype(kind), edges.tolist()
             for doc, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
