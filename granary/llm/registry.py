@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat_windows, decontaminate, kneser_ney, simhash, suffix_dedup, token_files
+from granary.llm import byte_bpe, chat_windows, decontaminate, kneser_ney, language_mix, simhash, suffix_dedup, token_files, token_rollups
 from granary.llm.common import new_path, read_table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -61,5 +61,42 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_mix.held_out().alias("held_out"))
+    model = language_mix.learn(docs.filter(~F.col("held_out")))
+    return language_mix.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after four batches over all documents, each sent twice.
+
+    All documents enter under two tokenizer versions; then texts are revised
+    (runs of white space become one space), and later copies of an equal text
+    are deleted.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.xxhash64("text")
+    rank = F.struct("doc_id", "source", "lang")
+    firsts = docs.groupBy(digest.alias("digest"), F.octet_length("text").alias("size")).agg(F.min(rank).alias("first"))
+    multi = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    one = token_rollups.with_counts(docs.withColumn("digest", digest).withColumn("size", F.octet_length("text")), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    one = written(one, "token-counts-one")
+    both = docs.withColumn("squeezed", F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " ")))
+    plain = token_rollups.with_counts(both, multi, public_tokenizers.PATTERN, "old_tokens")
+    two = written(token_rollups.with_counts(plain, multi, public_tokenizers.PATTERN, "n_tokens", "squeezed"), "token-counts-two")
+    copies = one.join(firsts, ["digest", "size"]).filter(rank != F.col("first"))
+    rollup = token_rollups.Rollup(spark, new_path(spark, "rollup"))
+    batches = {
+        "1-insert": one.select(F.lit(token_rollups.INSERT).alias("op"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "n_tokens", F.lit(None).cast("long").alias("old_tokens")),
+        "2-insert": two.select(F.lit(token_rollups.INSERT).alias("op"), "source", "lang", F.lit("byte_bpe_multi_50k").alias("tokenizer"), F.col("old_tokens").alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")),
+        "3-revise": two.select(F.lit(token_rollups.REVISE).alias("op"), "source", "lang", F.lit("byte_bpe_multi_50k").alias("tokenizer"), "n_tokens", "old_tokens"),
+        "4-delete": copies.select(F.lit(token_rollups.DELETE).alias("op"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"), F.col("n_tokens").alias("old_tokens")),
+    }
+    for name, changes in [*batches.items(), *batches.items()]:
+        rollup.apply(name, changes)
+    return rollup.totals()
+
+
+QUERIES = {"op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}
