@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat_windows, decontaminate, kneser_ney, language_mix, simhash, suffix_dedup, token_files, token_rollups
+from granary.llm import byte_bpe, chat_windows, decontaminate, itq_dedup, kneser_ney, language_mix, simhash, suffix_dedup, token_files, token_rollups
 from granary.llm.common import new_path, read_table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -98,5 +98,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {"op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
+def op6_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector at a cosine of 0.95 or more, and the component they lead to."""
+    found = itq_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+QUERIES = {"op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}
