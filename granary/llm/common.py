@@ -71,3 +71,13 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
         step = max(1, max_bytes // per_row)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``: later joins on it move the other side only."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)

@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.buckets import by_group
-from granary.llm.common import sliced, written
+from granary.llm.common import bucketed, sliced, written
 
 GRAM = 150
-RANGE = 22
+RANGE = 50
 MULTIPLIER = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
 NULL_FIRST = -(1 << 63)
@@ -124,12 +124,17 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
     by = np.argsort(key)
     same = key[by][1:] == key[by][:-1]
     alive = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    strings: dict[bytes, int] = {}
-    names = np.array([strings.setdefault(joined[s : s + length], len(strings)) for s in starts[alive].tolist()], np.int64)
-    if not len(names):
+    if not len(alive):
         return [np.zeros(0, np.int64)] * len(parts)
-    rank = np.empty(len(strings), np.int64)
-    rank[[strings[x] for x in sorted(strings)]] = np.arange(len(strings))
+    opens = np.concatenate([[True], key[alive][1:] != key[alive][:-1]])
+    names = np.cumsum(opens) - 1
+    at, heads = starts[alive].tolist(), starts[alive[opens]].tolist()
+    if not all(joined[s : s + length] == joined[(h := heads[n]) : h + length] for s, n in zip(at, names.tolist(), strict=True)):  # two strings of one hash
+        strings: dict[bytes, int] = {}
+        names = np.array([strings.setdefault(joined[s : s + length], len(strings)) for s in at], np.int64)
+        heads = [at[i] for i in np.unique(names, return_index=True)[1].tolist()]
+    rank = np.empty(len(heads), np.int64)
+    rank[sorted(range(len(heads)), key=lambda n: joined[heads[n] : heads[n] + length])] = np.arange(len(heads))
     texts = begins[ids[alive]] + within[alive]
     order = np.lexsort((texts, rank[names]))
     names, texts, alive = names[order], texts[order], alive[order]
@@ -193,7 +198,7 @@ class Repeats:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
         self.members = rows.select("id", "text_key")
         once = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.coalesce("id", F.lit(NULL_FIRST))).alias("first"), F.first("text").cast("binary").alias("text"))
-        self.unique = written(once, "suffix-texts")
+        self.unique = bucketed(once, "text_key", "suffix-texts")
         self.texts = self._cleaned(self._spans())
 
     def _spans(self) -> DataFrame:
@@ -223,19 +228,19 @@ class Repeats:
         found = written(long.select("text_key", "first", "text").mapInArrow(find, "text_key binary, first long, at int, gram long, context long, n int, b int"), "suffix-anchors")
         within = found.filter("gram IS NULL").select("text_key", F.col("at").alias("a"), "b")
         anchors = found.filter("gram IS NOT NULL").drop("b")
-        order = self.order()
-        kinds = anchors.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(order).alias("one"))
-        spread = anchors.groupBy("gram").agg(F.sum("n").alias("all")).filter("all > 1")
-        kinds = written(kinds.join(spread, "gram").select("gram", "context", "n", "one"), "suffix-kinds")
-        counts = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+        kinds = written(anchors.groupBy("gram", "context").agg(F.sum("n").alias("n")), "suffix-kinds")
+        grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("m")).filter("all > 1").drop("all")
+        kinds = kinds.join(grams, "gram")
+        met = written(anchors.drop("n").join(kinds, ["gram", "context"]), "suffix-met")
 
-        again = kinds.filter("n > 1").select("gram", "context", F.col("one").alias("earliest"))
-        settled = anchors.drop("n").join(again, ["gram", "context"])
+        order = self.order()
+        firsts = written(met.groupBy("gram", "context").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("m").alias("m")), "suffix-firsts")
+        settled = met.filter("n > 1")
         if self.keep_first:
-            settled = settled.filter(order != F.col("earliest"))
+            settled = settled.join(firsts.filter("n > 1").select("gram", "context", "one"), ["gram", "context"]).filter(order != F.col("one"))
         whole = settled.select("text_key", F.greatest(F.lit(0), F.col("at") - left).alias("a"), (F.col("at") + length).alias("b"))
 
-        wanted = written(kinds.join(counts.filter("m > 1"), "gram").select("gram", "m", "one.text_key", "one.at"), "suffix-wanted")
+        wanted = firsts.filter("m > 1").select("gram", "m", "one.text_key", "one.at")
         spans = [within, whole, self._by_order(wanted.filter(F.col("m") <= self.group))]
         hot = wanted.filter(F.col("m") > self.group)
         if not hot.isEmpty():
@@ -278,7 +283,7 @@ class Repeats:
                 rows = list(zip(*(c.to_pylist() for c in group.columns), strict=True))
                 held += rows
                 size += sum(len(r[4]) for r in rows)
-                if size >= 1 << 19:
+                if size >= 1 << 18:
                     yield solve(held)
                     held, size = [], 0
             if held:
