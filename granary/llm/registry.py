@@ -104,5 +104,12 @@ def op6_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = {"op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
 ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}

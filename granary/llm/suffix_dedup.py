@@ -183,6 +183,10 @@ def rows_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 SPAN_SCHEMA = "text_key binary, a int, b int"
 
 
+def text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 class Repeats:
     """Finds repeated spans; ``texts`` and ``members`` are its results.
 
@@ -195,7 +199,7 @@ class Repeats:
         if length < 2 * GRAM:
             raise ValueError(f"length must be at least {2 * GRAM}")
         self.length, self.keep_first, self.group, self.whole_chars = length, keep_first, group, whole_chars
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
         self.members = rows.select("id", "text_key")
         once = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.coalesce("id", F.lit(NULL_FIRST))).alias("first"), F.first("text").cast("binary").alias("text"))
         self.unique = bucketed(once, "text_key", "suffix-texts")
