@@ -239,7 +239,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     """
     ids = trusted_ids.toDF("id").filter("id IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = fit(rows.join(ids, "id", "left_semi"))
+    # a shuffle join at every size: labels grow with the corpus
+    model = fit(rows.join(ids.hint("merge"), "id", "left_semi"))
     scored = score(rows, model, shard_entries).withColumn("log_ppl", -F.col("log_prob") / F.greatest(F.lit(1), F.col("n_bytes")))
     judged = written(scored.join(ids.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)) & (F.col("n_bytes") >= min_bytes)), "kn-scores")
     told = judged.join(F.broadcast(thresholds(judged, quantile, slack)), "lang", "left")
