@@ -43,7 +43,7 @@ class WordEncoder:
     the BPE model; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -223,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([offset], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], names)
 
         end = np.array([end_id], kind).tobytes()
-        for batch in sliced(batches, max_bytes=4 << 20):
+        for batch in sliced(batches, max_bytes=6 << 20):
             ids, edges = encoder.encode(batch.column(1))
             ids, edges = ids.astype(kind), edges.tolist()
             for doc, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
