@@ -1,14 +1,15 @@
-"""The queries of the library and the SQL that checks them."""
+"""All queries of the library and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from granary.plans import base, card_plans, profile_plans, retrieval_plans, stream_plans, text_plans, vote_plans  # noqa: F401  each registers its queries
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    """Card-aware retrieval: scores, source diversity and redundancy in one plan."""
+    return retrieval_plans.card_aware(spark, sf_dir)
