@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import col
 
@@ -25,7 +26,7 @@ def json_object_or(x: Column | str, fallback: Column) -> Column:
     return F.coalesce(json_object(x), F.parse_json(F.to_json(fallback)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def literal_json(values: pd.Series) -> pd.Series:
     """Python literals (single quotes, None, True) as JSON; what does not parse is null."""
 

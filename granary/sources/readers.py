@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import source_id, title_of, year_of
 from granary.operators.ensemble import refuse
@@ -174,7 +175,7 @@ class _Visible(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parsed_html(html: pd.Series) -> pd.Series:
     """Visible text by a tolerant parser, for pages that regular expressions would misread."""
 
