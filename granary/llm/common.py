@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,14 +35,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/granary-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out
@@ -62,6 +60,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that workers kept for later tasks stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``max_bytes`` of data or a single row."""
     for batch in batches:
@@ -71,6 +78,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
         step = max(1, max_bytes // per_row)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    release()
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -183,7 +183,7 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[
 def decode_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """For each window of the longest length: the id that it begins with, and its length."""
     codes, top = canonical_codes(bits), int(bits.max(initial=1))
-    ids, lengths = np.zeros(1 << top, np.int64), np.ones(1 << top, np.int64)
+    ids, lengths = np.zeros(1 << top, np.uint32), np.ones(1 << top, np.int64)
     for i in np.flatnonzero(bits).tolist():
         free = top - int(bits[i])
         first = int(codes[i]) << free
@@ -196,16 +196,16 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.nda
     """All ids of a block; every checkpoint is one lane."""
     ids, lengths, top = table
     at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
-    raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.int64)
-    last = len(raw) - 4
-    out = np.zeros((len(at), CHECKPOINT), np.int64)
+    raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
+    words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # the 32 bits from each byte on
+    last = len(words) - 1
+    out = np.zeros((CHECKPOINT, len(at)), np.uint32)
     for k in range(CHECKPOINT if n else 0):
-        byte = np.minimum(at >> 3, last)
-        word = (raw[byte] << 24) | (raw[byte + 1] << 16) | (raw[byte + 2] << 8) | raw[byte + 3]
-        window = (word >> (32 - top - (at & 7))) & ((1 << top) - 1)
-        out[:, k] = ids[window]
-        at = at + lengths[window]
-    return out.reshape(-1)[:n]
+        shift = (32 - top - (at & 7)).astype(np.uint32)
+        window = (words[np.minimum(at >> 3, last)] >> shift) & np.uint32((1 << top) - 1)
+        out[k] = ids[window]
+        at += lengths[window]
+    return out.T.reshape(-1)[:n]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, max_bits: int = 16) -> None:
@@ -237,7 +237,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
         if doc_ids:
             yield close()
 
-    raw = written(ordered.mapInArrow(tokenise, "part int, block int, offset long, doc_ids array<long>, n_tokens array<long>, ids binary"), "token-blocks")
+    raw = written(ordered.mapInArrow(tokenise, "part int, block int, offset long, doc_ids array<long>, n_tokens array<long>, ids binary"), "token-blocks", compression="snappy")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab_size, np.int64)
@@ -267,7 +267,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocab_siz
                 payload, checkpoints = encode_block(ids, codes, bits)
                 yield pa.RecordBatch.from_arrays([*row.columns[:2], pa.array([starts[part] + row.column(2)[0].as_py()], pa.int64()), *row.columns[3:5], pa.array([checkpoints], pa.binary()), pa.array([payload], pa.binary())], ["part", "block", "start", "doc_ids", "n_tokens", "checkpoints", "payload"])
 
-    raw.mapInArrow(compress, "part int, block int, start long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    raw.mapInArrow(compress, "part int, block int, start long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, payload binary").write.option("compression", "snappy").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     discard(raw)
 
