@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import release
+
 
 def paired_groups(rows: DataFrame, key: list[str], by: str, tile: int) -> DataFrame:
     """``rows`` with the columns t_low, t_high, t_own: rows of equal key, t_low and t_high are a group."""
@@ -50,6 +52,7 @@ def by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tabl
             held.append(batch.slice(start, stop - start))
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 class Forest:

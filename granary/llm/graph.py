@@ -26,41 +26,35 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     ``root`` is the same for nodes that are connected, and says nothing else.
     """
-    left = written(edges.filter("a <> b").select(mixed(F.col("a")).alias("a"), mixed(F.col("b")).alias("b")).distinct(), f"{label}-edges")
-    maps: list[DataFrame] = []
+    pairs = written(edges.filter("a <> b").select("a", "b").distinct(), f"{label}-edges")
+    names = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # round 0 goes from ids to labels
+    hooks = names.groupBy(F.col("a").alias("node")).agg(F.min(mixed(F.col("b"))).alias("least"))
+    found = written(hooks.select("node", F.least(mixed(F.col("node")), F.col("least")).alias("root")), f"{label}-map")
+    left = _renamed(pairs, found, label)
+    discard(pairs)
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias(f"p{len(maps)}"))
-        hooks = written(hooks, f"{label}-map")
-        p = hooks.columns[1]
-        one, two = hooks.toDF("a", "u"), hooks.toDF("b", "v")
-        moved = left.join(one, "a").select("u", "b").join(two, "b").filter("u <> v")
-        following = written(moved.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), f"{label}-edges")
-        discard(left)
-        left = following
-        maps.append(hooks.select("x", F.col(p)))
+        hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), f"{label}-map")
+        moved = found.join(hooks.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        following = written(moved, f"{label}-map")
+        renamed = _renamed(left, hooks, label)
+        for old in (found, left, hooks):
+            discard(old)
+        found, left = following, renamed
     discard(left)
-    if not maps:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
-    found = maps[0].select(F.col("x").alias("node"), F.col("p0").alias("root"))
-    for k, hooks in enumerate(maps[1:], 1):
-        found = found.join(hooks.select(F.col("x").alias("root"), F.col(f"p{k}").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     return found
 
 
-def unmixed(x: Column) -> Column:
-    """The inverse of ``mixed``."""
-    for left, by in ((True, 17), (False, 7), (True, 13)):
-        y = x
-        for _ in range(64 // by):
-            y = x.bitwiseXOR(F.shiftleft(y, by) if left else F.shiftrightunsigned(y, by))
-        x = y
-    return x
+def _renamed(edges: DataFrame, hooks: DataFrame, label: str) -> DataFrame:
+    """The edges between the labels of their ends."""
+    moved = edges.join(hooks.toDF("a", "u"), "a").select("u", "b").join(hooks.toDF("b", "v"), "b").filter("u <> v")
+    return written(moved.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), f"{label}-edges")
 
 
 def smallest_members(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """``nodes``: node, first (the smallest id a node stands for).  Returns node, component: the smallest id reachable."""
-    found = written(components(edges, label).select(unmixed(F.col("node")).alias("node"), "root"), f"{label}-roots")
+    found = components(edges, label)
     least = written(nodes.join(found, "node").groupBy("root").agg(F.min("first").alias("component")), f"{label}-least")
     by_node = found.join(least, "root").select("node", "component")
     return written(nodes.join(by_node, "node", "left").select("node", F.coalesce("component", "first").alias("component")), label)
