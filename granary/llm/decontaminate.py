@@ -24,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.llm.common import sliced, texts_of
 
@@ -131,6 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_it
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, item {item_type}, distance int, start long, end long"
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for texts, ids in blocks(items, item_col, item_text_col, block_items):
 
@@ -138,7 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_it
             found = matcher(texts, rate)
             for batch in sliced(batches):
                 hits = [(doc, item, *m[1:]) for doc, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True) for m in found.matches(normalise(t)) for item in ids[m[0]]]
-                kinds = (batch.schema.field(0).type, None, pa.int32(), pa.int64(), pa.int64())
+                kinds = (batch.schema.field(0).type, item_arrow, pa.int32(), pa.int64(), pa.int64())
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True)], ["id", "item", "distance", "start", "end"])
 
