@@ -318,3 +318,82 @@ def test_models(spark):
     assert [s["alias"] for s in models.select_models(specs)] == ["a"] and models.select_models(specs, ["b"])
     with pytest.raises(ValueError):
         models.select_models(specs, ["c"])
+
+
+# Published confusion matrices (rows gold, columns predicted) with their accuracy, macro and weighted F1.
+PUBLISHED = [
+    ([[73, 10, 5, 1], [12, 346, 84, 12], [8, 97, 216, 12], [4, 22, 16, 52]], (0.7082474226804124, 0.699642701254964, 0.7063626754734937)),
+    (
+        [
+            [10, 5, 0, 0, 1, 0, 0, 0, 0, 0, 0], [2, 57, 0, 7, 2, 3, 0, 0, 0, 0, 2], [0, 0, 113, 20, 10, 2, 37, 4, 0, 3, 16], [2, 6, 15, 116, 6, 39, 2, 0, 0, 1, 5],
+            [0, 1, 8, 4, 28, 6, 7, 3, 0, 0, 0], [1, 4, 5, 43, 4, 123, 0, 1, 0, 0, 1], [1, 0, 32, 3, 2, 2, 68, 1, 3, 1, 6], [0, 0, 3, 0, 3, 2, 4, 6, 0, 0, 0],
+            [0, 0, 4, 0, 1, 0, 4, 0, 1, 0, 4], [0, 3, 3, 2, 0, 0, 1, 0, 0, 11, 1], [0, 2, 10, 3, 0, 2, 7, 0, 0, 0, 49],
+        ],
+        (0.6, 0.5413706383283265, 0.5968118791151259),
+    ),
+]
+
+
+@pytest.mark.parametrize(("matrix", "figures"), PUBLISHED)
+def test_published_metrics(spark, matrix, figures):
+    cells = [(g, p, n) for g, row in enumerate(matrix) for p, n in enumerate(row) if n]
+    rows = spark.createDataFrame(cells, "gold int, pred int, n int").select("gold", "pred", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    got = metrics.f1_summary(rows).head()
+    assert (got["accuracy"], got["macro_f1"], got["weighted_f1"]) == pytest.approx(figures, abs=1e-12) and got["n"] == 970
+    grid = {(r["gold"], r["pred"]): r["n"] for r in metrics.confusion(rows, spark.range(len(matrix)).select(F.col("id").cast("int").alias("label"))).collect()}
+    assert [[grid[g, p] for p in range(len(matrix))] for g in range(len(matrix))] == matrix
+
+
+def test_mock_cards(spark):
+    passages = spark.createDataFrame([("1.2 incitement and encouragement of harm", 1, words(30), 7)], "label string, rank long, text string, passage_id int")
+    row = cards.mock_cards(passages, F.lit("d")).head()
+    assert row["card_id"] == "MOCK_1_2_incitement_and_encouragement_of_harm_001"
+    assert row["keywords"] == ["and", "encouragement", "harm", "incitement"]
+    assert row["source_quote"] == words(28)
+
+
+def test_normalized_cards(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text(json.dumps({"card_id": "1", "source": {"source_id": ""}, "claim": " a \n b", "keywords": [" B", "a", "b", " "], "validation": None}) + "\n")
+    row = cards.normalize_cards(readers.jsonl(spark, str(tmp_path / "c.jsonl"), readers.CARD_SCHEMA)).head()
+    assert (row["status"], row["claim"], row["keywords"], row["secondary_labels"]) == ("candidate", "a b", ["a", "b"], [])
+    assert (row["source"]["source_id"], row["validation"]["status"]) == ("UNKNOWN", "not_validated")
+
+
+def test_generic_votes(spark):
+    def frame(label, confidence):
+        return spark.createDataFrame([(1, label, confidence)], "id int, label string, confidence double")
+
+    def voted(*labels):
+        frames = {f"m{i}": frame(x, i / 10) for i, x in enumerate(labels)} | {"f": frame("F", 0.9)}
+        return ensemble.vote_generic(ensemble.aligned(frames, "id"), [f"m{i}" for i in range(len(labels))], "f").head()
+
+    assert (voted("a", "a", "b")["label_pred"], voted("a", "a", "b")["confidence"]) == ("a", 0.2)
+    assert (voted("a", "b")["label_pred"], voted("a", "b")["confidence"], voted("a", "b")["used_fallback"]) == ("F", 0.9, True)
+    assert voted("a", "a", "b", "b")["used_fallback"] and not voted("a", "b", "a", "c")["used_fallback"]
+
+
+def test_splits(spark):
+    corpus = spark.createDataFrame([("t1", "sexist", "a\nb", "train", 1), ("d", "sexist", "a", "dev", 2), ("n", "not", "a", "train", 3), (" ", "sexist", "a", "train", 4)], "text string, label_sexist string, label string, split string, ord int")
+    more = spark.createDataFrame([("g", "a", 1)], "text string, label string, ord int")
+    got = [(r["part"], r["piece"], r["text"], r["label"]) for r in splits.build_splits(corpus, more).orderBy("part", "piece").collect()]
+    assert got == [("dev", 0, "d", "a"), ("train", 0, "t1", "a b"), ("train", 1, "g", "a"), ("train", 2, "d", "a")]
+    assert splits.build_splits(corpus, None, dev_in_train=False).filter("part = 'train'").count() == 1
+
+
+def test_review_defaults_and_upsert(spark):
+    old = spark.createDataFrame([("b", "x", 1)], "card_id string, note string, at int")
+    new = spark.createDataFrame([("b", "y", 2, "e"), ("a", "z", 1, "e")], "card_id string, note string, at int, extra string")
+    merged = {r["card_id"]: (r["note"], r["extra"]) for r in review.upsert(old, new, "card_id", "at").collect()}
+    assert merged == {"b": ("y", "e"), "a": ("z", "e")}
+    assert review.arranged(merged and new, ["note"]).columns == ["note", "at", "card_id", "extra"]
+    with pytest.raises(ValueError):
+        review.annotated_state(old, new, "x")
+    assert review.progress(old, new).head()["ratio"] == 1.0
+    assert review.progress(old.filter("at > 9"), new).head()["ratio"] == 0.0
+
+
+def test_turns_and_data(spark):
+    raw = spark.createDataFrame([("k", "{'data': [{'speaker': 'A', 'text': 'x'}, {'speaker': 'B', 'text': None}]}"), ("n", "broken {")], "id string, raw string")
+    kind = "array<struct<speaker:string,text:string>>"
+    listed = raw.select("id", nested.data_turns(nested.literal_json("raw"), kind).alias("data"))
+    assert [(r["id"], r["turn_number"], r["speaker"]) for r in profile.turns(listed, "id", "data").orderBy("turn_number").collect()] == [("k", 1, "A"), ("k", 2, "B")]
