@@ -65,7 +65,10 @@ def first_accepted(passages: DataFrame, accepted: Column, n: int) -> DataFrame:
 
 
 def mock_cards(passages: DataFrame, definition: Column) -> DataFrame:
-    """A card per selected passage without a model: the first 28 words as its quote."""
+    """A card per selected passage without a model: the first 28 words as its quote.
+
+    The wording of id, claim and alignment is a fixed value.
+    """
     safe = F.replace(F.replace(F.replace(F.replace("label", F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_")), F.lit("&"), F.lit("and")), F.lit("."), F.lit("_"))
     words = F.split(F.translate("label", "&.", "  "), " +")
     return passages.select(

@@ -168,7 +168,3 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = _library(spark, sf_dir)
     return retrieval.report(retrieval.portfolio(retrieval.card_scores(library, _asked(spark, sf_dir)), library).drop("source_id"), library)
 
-
-def all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = _library(spark, sf_dir)
-    return retrieval.retrieve("all", library, _asked(spark, sf_dir))
