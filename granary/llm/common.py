@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -89,3 +90,21 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
+
+
+SPACE_BYTE = re.compile(rb"[ \t-\r]")
+SPACE_CHAR = re.compile("[ \t-\r]")
+LONG = 1 << 20
+
+
+def cut_at_spaces(text, size: int = LONG):
+    """Pieces of about ``size`` that begin at ASCII white space, so no word is cut and very long texts need little work space."""
+    spaces = SPACE_BYTE if isinstance(text, bytes) else SPACE_CHAR
+    start = 0
+    while len(text) - start > size:
+        found = spaces.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]

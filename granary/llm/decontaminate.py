@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import sliced, texts_of
+from granary.llm.common import cut_at_spaces, sliced, texts_of
 
 WORD = re.compile(r"\w+")
 
 
 def normalise(text: str) -> str:
     """Lower-case word runs, each followed by a space, after a leading space."""
-    return " " + "".join(w + " " for w in WORD.findall(text.lower()))
+    return " " + "".join("".join(w + " " for w in WORD.findall(piece.lower())) for piece in cut_at_spaces(text))
 
 
 def peq(pattern: str) -> dict[str, int]:

@@ -30,22 +30,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import sliced, texts_of, written
+from granary.llm.common import LONG, sliced, texts_of, written
 
 ORDER = 5
 NO_LANG = ""
 BINS = 1000  # a quantile is exact to 1 / BINS of a nat
 
 
-def grams_of(text: bytes) -> np.ndarray:
-    """The packed n-gram that ends at each byte; a text begins after line ends."""
-    data = np.frombuffer(b"\n" * (ORDER - 1) + text, np.uint8)
-    out = np.zeros(len(text), np.int64)
+def grams_of(text: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The packed n-gram that ends at each byte from start to stop; a text begins after line ends."""
+    stop = len(text) if stop is None else stop
+    before = (b"\n" * (ORDER - 1) + text[max(0, start - ORDER + 1) : start])[1 - ORDER :]
+    data = np.frombuffer(before + text[start:stop], np.uint8)
+    out = np.zeros(stop - start, np.int64)
     for k in range(ORDER):
-        out = (out << 8) | data[k : k + len(text)]
+        out = (out << 8) | data[k : k + len(out)]
     return out
 
 
+def gram_runs(texts: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Grams of texts in runs of bounded size: all grams, where each text's part begins, and the texts' numbers."""
+    parts: list[np.ndarray] = []
+    numbers: list[int] = []
+    held = 0
+    for number, text in texts:
+        for start in range(0, len(text), LONG):
+            part = grams_of(text, start, min(len(text), start + LONG))
+            parts.append(part)
+            numbers.append(number)
+            held += len(part)
+            if held >= LONG:
+                yield np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]), np.array(numbers)
+                parts, numbers, held = [], [], 0
+    if parts:
+        yield np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]), np.array(numbers)
+
+
 def counted(trusted: DataFrame) -> DataFrame:
     """lang, g, c: gram counts of all trusted texts."""
 
@@ -53,9 +73,9 @@ def counted(trusted: DataFrame) -> DataFrame:
         for batch in sliced(batches, max_bytes=4 << 20):
             langs, texts = batch.column(0).to_pylist(), texts_of(batch)
             for lang in sorted(set(langs)):
-                grams = np.concatenate([grams_of(t.encode()) for t, x in zip(texts, langs, strict=True) if x == lang])
-                g, c = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "g", "c"])
+                for grams, _, _ in gram_runs([(0, t.encode()) for t, x in zip(texts, langs, strict=True) if x == lang]):
+                    g, c = np.unique(grams, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "g", "c"])
 
     return trusted.select("lang", "text").mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
@@ -196,13 +216,12 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
                     if not mine:
                         continue
                     shard = sent.value[lang]
-                    grams = np.concatenate([grams_of(texts[i]) for i in mine])
-                    codes, distinct = pd.factorize(grams)
-                    values = shard.log_probs(distinct)
-                    if shard.before is not None:
-                        values[~np.isin((distinct >> 8) & 255, shard.before)] = 0.0
-                    starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in mine])[:-1]])
-                    total[mine] = np.add.reduceat(values[codes], starts)
+                    for grams, starts, rows in gram_runs([(i, texts[i]) for i in mine]):
+                        codes, distinct = pd.factorize(grams)
+                        values = shard.log_probs(distinct)
+                        if shard.before is not None:
+                            values[~np.isin((distinct >> 8) & 255, shard.before)] = 0.0
+                        np.add.at(total, rows, np.add.reduceat(values[codes], starts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t) for t in texts], pa.int64()), pa.array(total)], ["id", "lang", "digest", "n_bytes", "log_prob"])
 
         part = docs.filter(F.col("lang").isin(list(held))).select("id", "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, schema)

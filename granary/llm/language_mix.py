@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import sliced
+from granary.llm.common import LONG, cut_at_spaces, sliced
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -71,8 +71,9 @@ def learn(training: DataFrame, most_languages: int = 2000) -> tuple[list[str], n
         for batch in sliced(batches, max_bytes=2 << 20):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
-                buckets, _ = letter_grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                totals[lang] = totals.get(lang, 0) + np.bincount(buckets, minlength=BUCKETS)
+                own = [p for t, x in zip(texts, langs, strict=True) if x == lang for p in cut_at_spaces(t)]
+                for k in range(0, len(own), 256):
+                    totals[lang] = totals.get(lang, 0) + np.bincount(letter_grams(own[k : k + 256])[0], minlength=BUCKETS)
         for lang, total in totals.items():
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["lang", "bucket", "n"])
@@ -101,9 +102,13 @@ def proportions(counts: np.ndarray, logs: np.ndarray, rounds: int) -> tuple[np.n
     return share, float(counts @ (np.log(like @ share) + top))
 
 
-def infer(buckets: np.ndarray, table: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Proportions of all languages, zero outside the chosen set."""
-    distinct, counts = np.unique(buckets, return_counts=True)
+def bucket_counts(text: str) -> np.ndarray:
+    """Counts of all buckets of one very long text."""
+    return sum(np.bincount(letter_grams([p])[0], minlength=BUCKETS) for p in cut_at_spaces(text))
+
+
+def infer(distinct: np.ndarray, counts: np.ndarray, table: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Proportions of all languages, zero outside the chosen set, from the distinct buckets and their counts."""
     counts = counts.astype(np.float64)
     logs = table[distinct].astype(np.float64)
     kept = np.arange(table.shape[1])
@@ -131,15 +136,21 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, max_bytes=2 << 20):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            buckets, edges = letter_grams(texts)
+            long = len(texts) == 1 and len(texts[0]) > 2 * LONG
+            buckets, edges = letter_grams([""] if long else texts)
             pred, score, mix = [], [], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if a == b or not langs:
+                if long:
+                    every = bucket_counts(texts[0])
+                    found, counts = np.flatnonzero(every), every[every > 0]
+                else:
+                    found, counts = np.unique(buckets[a:b], return_counts=True)
+                if not len(found) or not langs:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     mix.append([])
                     continue
-                share = infer(buckets[a:b], sent.value)
+                share = infer(found, counts, sent.value)
                 best = int(share.argmax())
                 pred.append(langs[best])
                 score.append(min(1.0, float(share[best])))

@@ -28,27 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.buckets import by_group, paired_groups, spanning_links
-from granary.llm.common import sliced, texts_of, written
+from granary.llm.common import cut_at_spaces, sliced, texts_of, written
 from granary.llm.graph import smallest_members
 
 BITS = 64
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) < words:
-        return digest(joined, seed)
-    stops = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], stops[:-1] + 1])[: len(tokens) - words + 1].tolist()
-    counts, step = np.zeros(BITS, np.int64), 1 << 16
-    ends = stops[words - 1 :].tolist()
-    for k in range(0, len(starts), step):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + step], ends[k : k + step], strict=True)], np.uint64)
+    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0
+    tokens: list[bytes] = []
+    for piece in cut_at_spaces(text.encode("utf-8", "surrogatepass").lower()):
+        tokens = tokens[-(words - 1) :] + piece.split() if n else tokens + piece.split()  # shingles run on over a cut
+        if len(tokens) < words:
+            continue
+        joined = b" ".join(tokens)
+        stops = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate([[0], stops[:-1] + 1])[: len(tokens) - words + 1].tolist()
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops[words - 1 :].tolist(), strict=True)], np.uint64)
         counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+        n += len(hashes)
+    if not n:
+        return digest(b" ".join(tokens), seed) if tokens else 0
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, sliced, written
+from granary.llm.common import LONG, cut_at_spaces, discard, sliced, written
 
 CHECKPOINT = 64
 
@@ -90,6 +90,12 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where those of each text begin and end."""
+        if len(texts) == 1 and texts.nbytes > 8 * LONG:  # one very long text, in pieces
+            ids = np.concatenate([self._encode(pa.array([p], pa.string()))[0] for p in cut_at_spaces(texts[0].as_py() or "")])
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.most:
             self.forget()
         texts = pc.fill_null(texts, "")
