@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.base import query, table
+from granary.sources.paths import new_path
 from granary.streaming import attempts
 
 KINDS = "CASE event_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'error' END"
@@ -20,11 +18,6 @@ def _log(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", F.col("event_type").alias("model_alias"), F.when(n == 0, "accepted").when(n == 1, "rejected").otherwise("error").alias("status"))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="granary-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT event_type AS model_alias, count(*) FILTER (s = 'accepted') AS accepted, count(*) FILTER (s = 'rejected') AS rejected, count(*) FILTER (s = 'error') AS errors, count(*) AS attempts FROM (SELECT event_type, {KINDS} AS s FROM events) GROUP BY event_type")
 def attempt_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attempts.counters(_log(table(spark, sf_dir, "events")), "model_alias")
@@ -40,7 +33,7 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_type AS model_alias, count(*) FILTER (s = 'accepted') AS accepted, count(*) FILTER (s = 'rejected') AS rejected, count(*) FILTER (s = 'error') AS errors, count(*) AS attempts FROM (SELECT event_type, {KINDS} AS s FROM events) GROUP BY event_type")
 def stream_attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log appended by a stream that runs twice; the second run finds nothing new."""
-    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), _folder(spark)
+    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), new_path(spark, "stream")
     events.write.parquet(f"{folder}/in")
     for _ in range(2):
         stream = attempts.follow(spark, f"{folder}/in", "event_id long, user_id long, event_type string", "parquet")
@@ -51,7 +44,7 @@ def stream_attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest note per user, folded from several batches."""
-    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), _folder(spark)
+    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), new_path(spark, "stream")
     events.repartition(3).write.parquet(f"{folder}/in")
     stream = attempts.follow(spark, f"{folder}/in", "event_id long, user_id long, event_type string", "parquet", files_per_trigger=1)
     attempts.keep_latest(stream, f"{folder}/table", f"{folder}/checkpoint", "user_id", "event_id").awaitTermination()
