@@ -104,12 +104,11 @@ def spanning_links(n: int, near: Near, tiles: list[int]) -> list[tuple[int, int]
                     queue.append(j)
                     if len(tiles) == 1:
                         links.append((i, j))
-            for_each = members
-            if len(tiles) == 2:
-                while for_each:
-                    j = (for_each & -for_each).bit_length() - 1
-                    for_each &= for_each - 1
-                    part[j] = members
+            rest = members if len(tiles) == 2 else 0
+            while rest:
+                j = (rest & -rest).bit_length() - 1
+                rest &= rest - 1
+                part[j] = members
     if len(tiles) == 2:
         forest = Forest(n)
         for i in range(n):
