@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import LONG, sliced, texts_of, written
+from granary.llm.common import LONG, release, sliced, texts_of, written
 
 ORDER = 5
 NO_LANG = ""
@@ -205,6 +205,8 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
             # at most shard_entries and one range in all, 13 bytes each
             shards[lang] = Shard(model.filter(own).select(kind.alias("kind"), "g", F.log(F.coalesce("p", "w")).cast("float").alias("value")).toArrow(), before)
         sent = spark.sparkContext.broadcast(shards)
+        del shards
+        release()
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=2 << 20):
