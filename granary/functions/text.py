@@ -54,7 +54,11 @@ def word_count(x: Column | str) -> Column:
 def keyword_overlap(text: Column | str, phrases: Column | Iterable[str]) -> Column:
     """Share of the phrases' words, counted as often as they occur, that the text holds."""
     joined = F.lit(" ".join(phrases)) if not isinstance(phrases, Column) else F.array_join(phrases, " ")
-    wanted, held = tokens(joined), tokens(text)
+    return overlap(tokens(joined), tokens(text))
+
+
+def overlap(wanted: Column, held: Column) -> Column:
+    """Share of the wanted words, counted as often as they occur, that are held."""
     hits = F.size(F.filter(wanted, lambda t: F.array_contains(held, t)))
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(hits.cast("double") / F.size(wanted))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import generated_keywords, keyword_overlap, keyword_set, normalize_space, or_default, quote_in_passage, split_words
+from granary.functions.text import generated_keywords, keyword_set, normalize_space, or_default, overlap, quote_in_passage, split_words, tokens
 
 
 def normalize_cards(cards: DataFrame) -> DataFrame:
@@ -51,11 +51,13 @@ def select_passages(passages: DataFrame, labels: DataFrame, most: int) -> DataFr
 
     passages: passage_id, ord, text; labels: label, terms array (the stated set).
     """
-    scored = passages.crossJoin(F.broadcast(labels)).withColumn("score", keyword_overlap("text", F.col("terms")))
+    asked = labels.select("label", tokens(F.array_join("terms", " ")).alias("_wanted"))
+    held = passages.withColumn("_held", F.array_distinct(tokens("text")))  # words are made once per passage
+    scored = held.crossJoin(F.broadcast(asked)).withColumn("score", overlap(F.col("_wanted"), F.col("_held"))).drop("_wanted", "_held")
     by = Window.partitionBy("label")
     scored = scored.withColumn("_top", F.max("score").over(by)).filter((F.col("score") > 0) | (F.col("_top") <= 0))
     order = by.orderBy(F.round("score", 9).desc(), "ord")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).drop("_top", "terms")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).drop("_top")
 
 
 def first_accepted(passages: DataFrame, accepted: Column, n: int) -> DataFrame:
