@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granary.llm import buckets, graph, itq_dedup, registry, simhash, suffix_dedup
+from granary.llm import buckets, graph, itq_dedup, near_copies, registry, simhash, suffix_dedup
 from granary.llm.common import read_table
 
 DATA = "/root/testdata/sf0.001"
@@ -230,3 +230,51 @@ def test_repeats_of_nothing(spark):
     assert [(r["n_bytes"], r["n_copies"]) for r in nulls.texts.collect()] == [(0, 2)]
     with pytest.raises(ValueError):
         suffix_dedup.Repeats(empty, 99)
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_components(ids, texts, similarity=0.8):
+    sets = [plain_shingles(t) for t in texts]
+    near = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return [ids[r] for r in union(len(ids), near)]
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_near_copies_of_five_word_shingles(spark, tile):
+    rng = random.Random(5)
+    prose = lambda n: [rng.choice("abcdefghijklmnop") + rng.choice("uvwxyz") + str(rng.randrange(30)) for _ in range(n)]
+    texts = []
+    for size in (40, 120, 300):
+        for _ in range(8):
+            base = prose(size)
+            texts.append(" ".join(base))
+            for changes in (1, 2, 4, size // 40):
+                near = list(base)
+                for _ in range(changes):
+                    near[rng.randrange(size)] = "CHANGED"
+                texts.append("  ".join(near))
+    base = prose(200)
+    texts += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(20)] + [None, "", " ", "one two", "One TWO", "three"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(frame, tile=tile).collect()}
+    want = dict(enumerate(plain_components(range(len(texts)), texts)))
+    assert got == want and len(set(want.values())) < 0.6 * len(texts)
+
+
+def test_pipeline_removes_near_copies(spark):
+    """Copies that differ in a word of every hundred, most of them more than two bits apart."""
+    import corpus_pipeline as C
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 60, 2):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((i, " ".join(base), "en", "s", 0))
+        base[rng.randrange(200)] = base[rng.randrange(200)] = "other"
+        rows.append((i + 1, " ".join(base), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, DATA).collect()) == list(range(0, 60, 2))
