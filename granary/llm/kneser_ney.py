@@ -12,11 +12,14 @@ passes only the shards of its language, its partial sums are added up, and no
 text is shuffled.
 
 A document is rejected if the log perplexity per byte exceeds the threshold of
-its language: the ``quantile`` of its trusted documents plus ``slack``.
-Documents of fewer than ``min_bytes`` bytes give too few grams to judge.
-
-Defined cases: null text is empty; empty and short texts, and texts of a
-language without trusted text, are kept; null language is a language of its
+its language: the ``quantile`` of its trusted documents plus ``slack`` times the
+spread from their median to it, for they helped to train the model.  Documents of
+fewer than ``min_bytes`` bytes vary more, about as one over the root of their
+length; their distance from the median times that root is held against the same
+bound over the trusted documents of such lengths.
+
+Defined cases: null text is empty; empty texts, texts of a language without
+trusted text (of such length) are kept, and so is what no model can score; null language is a language of its
 own; repeated rows are scored alike; without trusted rows all is kept.
 """
 
@@ -245,15 +248,26 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
     return found
 
 
-def thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """lang, threshold: of the trusted documents' log perplexities, from counts by bin."""
-    bins = scored.filter("trusted").groupBy("lang", F.floor(F.col("log_ppl") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``values``: lang, x.  lang and a column of each share's quantile, from counts by bin."""
+    bins = values.groupBy("lang", F.floor(F.col("x") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")
     bins = bins.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return bins.filter(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(((F.min("bin") + 1) / BINS + slack).alias("threshold"))
+    return bins.groupBy("lang").agg(*(((F.min(F.when(F.col("below") >= share * F.col("all"), F.col("bin"))) + 1) / BINS).alias(name) for name, share in shares.items()))
+
+
+def thresholds(scored: DataFrame, quantile: float, slack: float, min_bytes: int) -> DataFrame:
+    """lang, median, threshold, short: bounds of the log perplexity, and of its distance from the median times the root of a short length."""
+    shares = {"middle": 0.5, "high": quantile}
+    bound = F.col("high") + slack * (F.col("high") - F.col("middle"))
+    trusted = scored.filter("trusted AND n_bytes > 0")
+    long = quantiles(trusted.filter(F.col("n_bytes") >= min_bytes).select("lang", F.col("log_ppl").alias("x")), shares).select("lang", F.col("middle").alias("median"), bound.alias("threshold"))
+    apart = (F.col("log_ppl") - F.col("median")) * F.sqrt("n_bytes")
+    short = trusted.filter(F.col("n_bytes") < min_bytes).join(F.broadcast(long), "lang").select("lang", apart.alias("x"))
+    return long.join(quantiles(short, shares).select("lang", bound.alias("short")), "lang", "left")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 0.3, min_bytes: int = 64, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 0.5, min_bytes: int = 64, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, lang, digest, n_bytes, log_ppl, threshold, trusted, kept.
 
     ``trusted_ids``: one column of ids whose texts train the model and set the thresholds.
@@ -263,7 +277,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     # a shuffle join at every size: labels grow with the corpus
     model = fit(rows.join(ids.hint("merge"), "id", "left_semi"))
     scored = score(rows, model, shard_entries).withColumn("log_ppl", -F.col("log_prob") / F.greatest(F.lit(1), F.col("n_bytes")))
-    judged = written(scored.join(ids.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)) & (F.col("n_bytes") >= min_bytes)), "kn-scores")
-    told = judged.join(F.broadcast(thresholds(judged, quantile, slack)), "lang", "left")
-    bad = (F.col("n_bytes") >= min_bytes) & (F.col("log_ppl") > F.col("threshold"))
-    return told.withColumn("kept", ~F.coalesce(bad, F.lit(False)))
+    judged = written(scored.join(ids.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
+    told = judged.join(F.broadcast(thresholds(judged, quantile, slack, min_bytes)), "lang", "left")
+    bound = F.when(F.col("n_bytes") >= min_bytes, F.col("threshold")).when(F.col("n_bytes") > 0, F.col("median") + F.col("short") / F.sqrt("n_bytes"))
+    told = told.withColumn("threshold", bound).drop("median", "short")
+    return told.withColumn("kept", ~F.coalesce(F.col("log_ppl") > F.col("threshold"), F.lit(False)))

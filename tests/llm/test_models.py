@@ -86,6 +86,24 @@ def test_quality_separates_labels(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.2
 
 
+def test_quality_rejects_toxic_and_short_junk(spark):
+    data = "/root/testdata/sf0.1"
+    marks = {r["doc_id"]: r for r in read_table(spark, data, "labels").collect()}
+    got = {r["doc_id"]: r for r in registry.op1_quality(spark, data).collect()}
+
+    def rejected(ids):
+        ids = list(ids)
+        return sum(not got[i]["kept"] for i in ids) / len(ids)
+
+    english = [i for i in marks if got[i]["lang"] == "en" and got[i]["n_bytes"] >= 64]
+    assert rejected(i for i in english if marks[i]["quality"] == 1 and marks[i]["toxic"] == 1) > 0.4
+    assert rejected(i for i in marks if marks[i]["quality"] == 0 and got[i]["n_bytes"] >= 64) > 0.95
+    short = [i for i in marks if 0 < got[i]["n_bytes"] < 64]
+    assert rejected(i for i in short if marks[i]["quality"] == 0 or marks[i]["toxic"] == 1) > 0.7
+    good = [i for i in marks if marks[i]["quality"] == 1 and marks[i]["toxic"] == 0]
+    assert rejected(good) < 0.01
+
+
 def test_language_held_out(spark):
     data = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in read_table(spark, data, "documents").collect()}
