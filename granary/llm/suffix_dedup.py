@@ -4,7 +4,7 @@ A byte is repeated if some ``length``-byte string that covers it starts
 anywhere else.  Such strings are found without sorting the whole corpus:
 
 1. Equal texts are one text with a copy count.
-2. Minimisers (smallest rolling hash of ``GRAM`` bytes over every
+2. Minimisers (smallest rolling hash of ``gram_size`` bytes over every
    ``length``-byte string) put an anchor into every string, at the same place in
    every occurrence.  Only anchors whose gram occurs elsewhere go on; an anchor
    whose whole surroundings occur elsewhere is settled at once.
@@ -39,13 +39,18 @@ from pyspark.sql import functions as F
 from granary.llm.buckets import by_group
 from granary.llm.common import bucketed, sliced, written
 
-GRAM = 150
+LEAST = 100
 RANGE = 50
 MULTIPLIER = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
 NULL_FIRST = -(1 << 63)
 
 
+def gram_size(length: int) -> int:
+    """Bytes of an anchor's gram: 150 of 400."""
+    return 3 * length // 8
+
+
 @lru_cache(maxsize=1)
 def power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = np.full(size, MULTIPLIER, np.uint64), np.full(size, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
@@ -70,7 +75,8 @@ def sliding(values: np.ndarray, width: int, accumulate) -> np.ndarray:
 
 def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor positions and their gram hashes; at least one in every ``length`` bytes, chosen by those bytes alone."""
-    width = length - GRAM + 1
+    gram = gram_size(length)
+    width = length - gram + 1
     base, inverse = powers(SEGMENT + 4 * length + 8)
     at, grams = [], []
     for start in range(0, len(data), SEGMENT):
@@ -79,7 +85,7 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         if len(part) < length:
             continue
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * base[: len(part)], dtype=np.uint64)])
-        rolled = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(part) - GRAM + 1]
+        rolled = (sums[gram:] - sums[:-gram]) * inverse[: len(part) - gram + 1]
         rolled ^= rolled >> np.uint64(29)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
         rolled ^= rolled >> np.uint64(32)
@@ -94,7 +100,7 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def surroundings(n: int, at: int, length: int) -> tuple[int, int]:
     """The bytes of all strings that contain the gram at ``at``."""
-    return max(0, at - (length - GRAM)), min(n, at + length)
+    return max(0, at - (length - gram_size(length))), min(n, at + length)
 
 
 def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool) -> list[np.ndarray]:
@@ -190,15 +196,18 @@ def text_key(text: Column) -> Column:
 class Repeats:
     """Finds repeated spans; ``texts`` and ``members`` are its results.
 
+    With ``words``, only spans of at least so many whole words or ``or_bytes`` bytes are removed.
+
     ``texts``: text_key, n_bytes, n_copies, spans array<struct<a,b>> of bytes to
     remove, kept binary: one row per distinct text (of its first copy).
     ``members``: id, text_key, first: one row per input row.
     """
 
-    def __init__(self, docs: DataFrame, length: int = 400, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", group: int = 512, whole_chars: bool = False):
-        if length < 2 * GRAM:
-            raise ValueError(f"length must be at least {2 * GRAM}")
+    def __init__(self, docs: DataFrame, length: int = 400, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", group: int = 512, whole_chars: bool = False, words: int = 0, or_bytes: int = 0):
+        if length < LEAST:
+            raise ValueError(f"length must be at least {LEAST}")
         self.length, self.keep_first, self.group, self.whole_chars = length, keep_first, group, whole_chars
+        self.words, self.or_bytes = words, or_bytes
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
         self.members = rows.select("id", "text_key")
         once = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.coalesce("id", F.lit(NULL_FIRST))).alias("first"), F.first("text").cast("binary").alias("text"))
@@ -206,7 +215,7 @@ class Repeats:
         self.texts = self._cleaned(self._spans())
 
     def _spans(self) -> DataFrame:
-        length, left = self.length, self.length - GRAM
+        length, left = self.length, self.length - gram_size(self.length)
         long = self.unique.filter(F.octet_length("text") >= length)
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +307,7 @@ class Repeats:
 
     def _by_ranges(self, wanted: DataFrame) -> list[DataFrame]:
         """Grams with very many different surroundings."""
-        length, left = self.length, self.length - GRAM
+        length, left = self.length, self.length - gram_size(self.length)
         n_ranges = -(-(left + 1) // RANGE)
 
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,6 +348,7 @@ class Repeats:
 
     def _cleaned(self, spans: DataFrame) -> DataFrame:
         length, all_copies, whole_chars = self.length, not self.keep_first, self.whole_chars
+        words, or_bytes = self.words, self.or_bytes
         found = spans.groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("found"))
         rows = self.unique.join(found, "text_key", "left").select("text_key", "n_copies", "text", "found")
 
@@ -348,6 +358,8 @@ class Repeats:
                 for _, copies, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     gone = [(x["a"], min(x["b"], len(text))) for x in own or ()]
                     gone = [(0, len(text))] if all_copies and copies > 1 and len(text) >= length else merged(gone)
+                    if words:
+                        gone = [(a, b) for a, b in gone if b - a >= or_bytes or whole_words(text, a, b) >= words]
                     if whole_chars:
                         gone = [g for g in (inner(text, a, b) for a, b in gone) if g[0] < g[1]]
                     edges = [0, *(x for g in gone for x in g), len(text)]
@@ -362,6 +374,12 @@ class Repeats:
         return self.unique.select("text_key", "first")
 
 
+def whole_words(text: bytes, a: int, b: int) -> int:
+    """How many words (runs of other than ASCII white space) lie whole inside a span."""
+    cut = [x for x in (a, b) if 0 < x < len(text) and len(text[x - 1 : x + 1].strip()) == 2]
+    return max(0, len(text[a:b].split()) - len(cut))
+
+
 def inner(text: bytes, a: int, b: int) -> tuple[int, int]:
     """The whole UTF-8 characters inside a span."""
     while a < b and text[a] & 0xC0 == 0x80:

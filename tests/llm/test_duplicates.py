@@ -265,6 +265,33 @@ def test_near_copies_of_five_word_shingles(spark, tile):
     assert got == want and len(set(want.values())) < 0.6 * len(texts)
 
 
+def test_pipeline_removes_repeats_of_over_fifty_words(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(7)
+    prose = lambda n, most=9: [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** rng.randint(1, most - 1))}" for _ in range(n)]
+    tiny = lambda n: [rng.choice("abcdefghijklmnop") for _ in range(n)]
+    passages = [prose(51, 6), tiny(51), prose(50, 6), prose(120), tiny(50), ["".join(tiny(410))]]
+    texts = [" ".join(prose(30) + p + prose(30)) for p in passages for _ in range(3)] + [" ".join(tiny(51) + prose(20))]
+    assert len(" ".join(passages[0])) < 400 and len(" ".join(passages[1])) == C.SHORTEST
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in C.repeated_passages(spark, docs, DATA).collect()}
+    for i, text in enumerate(texts):
+        passage = " ".join(passages[i // 3]) if i < 18 else None
+        gone = i % 3 and i < 18 and i // 3 not in (2, 4)
+        assert (passage not in got[i] and len(text) - len(got[i]) <= len(passage) + 4) if gone else got[i] == text, i
+
+
+@pytest.mark.parametrize("length", [101, 250])
+def test_shorter_repeats(spark, length):
+    docs = list(enumerate(passages(4)))
+    found = suffix_dedup.Repeats(spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id long, text string"), length, True, group=2)
+    told = {bytes(r["text_key"]): r for r in found.texts.collect()}
+    firsts = {bytes(r["text_key"]): r["first"] for r in found.firsts().collect()}
+    want = brute_repeats(docs, length, True)
+    assert all(bytes(told[k := bytes(r["text_key"])]["kept"]) == want[r["id"]] for r in found.members.collect() if r["id"] == firsts[bytes(r["text_key"])])
+
+
 def test_pipeline_removes_near_copies(spark):
     """Copies that differ in a word of every hundred, most of them more than two bits apart."""
     import corpus_pipeline as C
