@@ -18,8 +18,8 @@ fewer than ``min_bytes`` bytes vary more, about as one over the root of their
 length; their distance from the median times that root is held against the same
 bound over the trusted documents of such lengths.
 
-Defined cases: null text is empty; empty texts, texts of a language without
-trusted text (of such length) are kept, and so is what no model can score; null language is a language of its
+Defined cases: null text is empty; empty texts, and texts of a language without
+trusted text (or, if short, without short trusted text), are kept without a threshold; null language is a language of its
 own; repeated rows are scored alike; without trusted rows all is kept.
 """
 
@@ -192,7 +192,7 @@ def passes(model: DataFrame, shard_entries: int) -> list[dict[str, set[int] | No
 
 
 def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) -> DataFrame:
-    """id, lang, digest, n_bytes, log_prob per row of ``docs`` (id, lang, text) whose language has a model."""
+    """id, lang, digest, n_bytes, log_prob per row of ``docs`` (id, lang, text); log_prob is null where the language has no model."""
     spark = docs.sparkSession
     id_type = docs.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, lang string, digest long, n_bytes long, log_prob double"
@@ -231,7 +231,8 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
 
         part = docs.filter(F.col("lang").isin(list(held))).select("id", "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, schema)
         (whole if all(b is None for b in held.values()) else split).append(part)
-    found = spark.createDataFrame([], schema)
+    without = docs.filter(~F.col("lang").isin([lang for held in plan for lang in held]))
+    found = without.select("id", "lang", F.xxhash64("text").alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_prob"))
     for part in whole:
         found = found.unionByName(part)
     if split:
@@ -260,7 +261,7 @@ def thresholds(scored: DataFrame, quantile: float, slack: float, min_bytes: int)
     """lang, median, threshold, short: bounds of the log perplexity, and of its distance from the median times the root of a short length."""
     shares = {"middle": 0.5, "high": quantile}
     bound = F.col("high") + slack * (F.col("high") - F.col("middle"))
-    trusted = scored.filter("trusted AND n_bytes > 0")
+    trusted = scored.filter("trusted AND n_bytes > 0 AND log_ppl IS NOT NULL")
     long = quantiles(trusted.filter(F.col("n_bytes") >= min_bytes).select("lang", F.col("log_ppl").alias("x")), shares).select("lang", F.col("middle").alias("median"), bound.alias("threshold"))
     apart = (F.col("log_ppl") - F.col("median")) * F.sqrt("n_bytes")
     short = trusted.filter(F.col("n_bytes") < min_bytes).join(F.broadcast(long), "lang").select("lang", apart.alias("x"))

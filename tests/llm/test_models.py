@@ -86,6 +86,16 @@ def test_quality_separates_labels(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.2
 
 
+def test_rows_of_languages_without_a_model_come_back(spark):
+    rows = [(1, "en", "the cat sat on the mat " * 5), (2, "xx", "y" * 100), (2, "xx", "y" * 100), (3, None, "z" * 100), (4, "xx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for ids in ([(1,)], [(4,)], []):
+        got = kneser_ney.classify(docs, spark.createDataFrame(ids, "doc_id long")).collect()
+        assert Counter(r["id"] for r in got) == {1: 1, 2: 2, 3: 1, 4: 1} and all(r["kept"] for r in got)
+        assert {r["id"]: r["n_bytes"] for r in got} == {1: 115, 2: 100, 3: 100, 4: 0}
+        assert all(r["log_ppl"] is None for r in got if r["id"] != 1)
+
+
 def test_quality_rejects_toxic_and_short_junk(spark):
     data = "/root/testdata/sf0.1"
     marks = {r["doc_id"]: r for r in read_table(spark, data, "labels").collect()}
