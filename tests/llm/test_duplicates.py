@@ -292,6 +292,19 @@ def test_shorter_repeats(spark, length):
     assert all(bytes(told[k := bytes(r["text_key"])]["kept"]) == want[r["id"]] for r in found.members.collect() if r["id"] == firsts[bytes(r["text_key"])])
 
 
+def test_pipeline_keeps_one_text_of_each_component_if_ids_repeat(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, two), (6, two), (3, one), (7, three), (7, three + " more"), (8, three), (9, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"][:200]) for r in C.near_duplicates(spark, docs, DATA).collect())
+    assert [i for i, _ in got] == [3, 5, 7] and got[:2] == [(3, one[:200]), (5, two[:200])]
+    twice = spark.createDataFrame([(5, one, "en", "s", 0), (5, two, "en", "s", 0)], docs.schema)
+    assert {r["text"] for r in C.near_duplicates(spark, twice, DATA).collect()} == {one, two}
+
+
 def test_pipeline_removes_near_copies(spark):
     """Copies that differ in a word of every hundred, most of them more than two bits apart."""
     import corpus_pipeline as C
