@@ -4,12 +4,16 @@ A sample of at most ``SAMPLE`` vectors (smallest hashes of their ids) trains
 ``rotations`` rotations of the centred principal components, each turned until its
 sign bits lie close to the data (ITQ).  Every vector gets a code per
 rotation; each code is cut into substrings of ``b`` bits, and every substring is a
-table.  With n distinct vectors b is log2(n), and there are as many tables as
+table.  With n distinct vectors b is log2(n), and there are at least as many tables as
 let a pair at the threshold meet with probability ``recall`` if bits flip
-independently at the rate angle / pi.
+independently at the rate angle / pi.  Centring makes bits flip more often where
+vectors share a direction, so pairs are made at the threshold from the sample
+(moved at random, and towards other vectors): radius and tables grow until
+``recall`` of both kinds meet.  Where ``MOST`` tables do not suffice, one table without
+a key holds every pair against every other, in tiles.
 
 Vectors that meet in a bucket are first compared by the whole code of that
-rotation; only those with a neighbour within ``RADIUS`` bits are joined to
+rotation; only those with a neighbour within the radius (``RADIUS`` bits at least) are joined to
 their vectors, and pairs are judged by their cosine in double precision.  A pair is
 counted in the first table where it meets.  Equal vectors are one vector with a
 multiplicity.  Buckets are dealt into tiles, so no group is unbounded; links
@@ -36,6 +40,8 @@ from granary.llm.graph import smallest_members
 
 SAMPLE = 20_000
 RADIUS = 18
+MOST = 96
+PAIRS = 2000
 BLOCK = 256
 
 
@@ -66,6 +72,57 @@ def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int,
     return b, tables, -(-tables // each)
 
 
+def pairs_at(x: np.ndarray, threshold: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of the sample with others at the threshold: moved in any direction, and towards other vectors."""
+    rng = np.random.default_rng(seed)
+    own = x[rng.permutation(len(x))[:PAIRS]]
+    out = []
+    for side in (rng.standard_normal(own.shape), x[rng.integers(0, len(x), len(own))] - own):
+        side = side - (side * own).sum(axis=1, keepdims=True) * own
+        size = np.linalg.norm(side, axis=1)
+        good = size > 1e-6
+        if good.any():
+            out.append((own[good], threshold * own[good] + math.sqrt(max(0.0, 1 - threshold**2)) * side[good] / size[good, None]))
+    return out
+
+
+def fitted(x: np.ndarray, n: int, bits: int, threshold: float, recall: float) -> tuple[int, int, int, np.ndarray, list[np.ndarray]]:
+    """Bits of a substring, tables, radius, mean and projections by which made pairs meet at the recall; no bits: all against all."""
+    b, tables, rotations = plan(n, bits, threshold, recall)
+    each, pairs = bits // b, pairs_at(x, threshold)
+    mean, turns = train(x, bits, rotations)
+    flips: list[list[np.ndarray]] = [[] for _ in pairs]
+
+    def measure(new: list[np.ndarray]) -> None:
+        for (one, other), held in zip(pairs, flips, strict=True):
+            held += [((one - mean) @ turn >= 0) != ((other - mean) @ turn >= 0) for turn in new]
+
+    measure(turns)
+    far = [int(np.quantile(np.stack(held).sum(axis=2), 0.999)) for held in flips]
+    radius = min(bits, max([RADIUS, *far]))
+
+    def enough(tables: int) -> bool:
+        for held in flips:
+            met = np.zeros(len(held[0]), bool)
+            for t in range(tables):
+                flip, start = held[t // each], b * (t % each)
+                met |= ~flip[:, start : start + b].any(axis=1) & (flip.sum(axis=1) <= radius)
+            if met.mean() < recall:
+                return False
+        return True
+
+    while not enough(tables):
+        if tables >= max(MOST, each):
+            return 0, 1, bits, mean, turns[:1]
+        tables = min(-(-tables * 5 // 4), max(MOST, each))
+        more = -(-tables // each) - len(turns)
+        if more > 0:
+            new = train(x, bits, more, seed=7 + len(turns))[1]
+            measure(new)
+            turns += new
+    return b, tables, radius, mean, turns[: -(-tables // each)]
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
 
@@ -91,9 +148,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     x = matrix(sample.column(0).combine_chunks(), dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     bits = min(64, dim)
-    b, n_tables, n_rotations = plan(nodes.count(), bits, threshold, recall)
-    mean, turns = train(x, bits, n_rotations)
-    each = bits // b
+    b, n_tables, radius, mean, turns = fitted(x, nodes.count(), bits, threshold, recall)
+    n_rotations, each = len(turns), bits // b if b else 1
+    if not b:
+        tile *= 4
     sent = vectors.sparkSession.sparkContext.broadcast((mean, np.concatenate(turns, axis=1)))
 
     def keys_of(codes: np.ndarray) -> np.ndarray:
@@ -120,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             code = group.column(6).to_numpy().view(np.uint64)
             near = np.zeros(len(code), bool)
             for start in range(0, len(code), BLOCK):
-                close = popcount(code[start : start + BLOCK, None] ^ code) <= RADIUS
+                close = popcount(code[start : start + BLOCK, None] ^ code) <= radius
                 near[start : start + BLOCK] = close.sum(axis=1) > 1
             at = pa.array(np.flatnonzero(near))
             if len(at):
@@ -143,7 +201,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             for start in range(0, len(node), BLOCK):
                 rows = slice(start, min(start + BLOCK, len(node)))
                 hit = v[rows] @ v.T >= threshold
-                hit &= popcount(codes[rows, None, table // each] ^ codes[:, table // each]) <= RADIUS
+                hit &= popcount(codes[rows, None, table // each] ^ codes[:, table // each]) <= radius
                 masks += [int.from_bytes(m.tobytes(), "little") for m in np.packbits(hit, axis=1, bitorder="little")]
                 i, j = np.nonzero(hit)
                 i += start
@@ -151,7 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 i, j = i[fresh], j[fresh]
                 for t in range(table):  # met before: it has been counted there
                     r = t // each
-                    new = (keys[i, t] != keys[j, t]) | (popcount(codes[i, r] ^ codes[j, r]) > RADIUS)
+                    new = (keys[i, t] != keys[j, t]) | (popcount(codes[i, r] ^ codes[j, r]) > radius)
                     i, j = i[new], j[new]
                 np.add.at(links, i, copies[j])
             every = (1 << len(node)) - 1

@@ -152,6 +152,21 @@ def test_vector_recall_at_the_threshold(spark):
     assert sum(r["n_links"] for r in got.collect()) >= 0.9 * (brute_vectors(x, 0.95).sum() - len(x))
 
 
+@pytest.mark.parametrize("common", [1.0, 2.0, 3.0])
+def test_vectors_of_a_common_mean(spark, common):
+    """Centring leaves less of such vectors, so that their bits flip more often; average cosines of 0.5, 0.8 and 0.9."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(unit(rng.standard_normal((1500, 64))) + common * unit(rng.standard_normal((1, 64))))
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    x = np.concatenate([a, 0.955 * a + np.sqrt(1 - 0.955**2) * side])
+    got = itq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.95)
+    degree = brute_vectors(x, 0.95).sum(axis=1) - 1
+    told = np.array([r["n_links"] for r in sorted(got.collect(), key=lambda r: r["vec_id"])])
+    assert (told <= degree).all() and told.sum() >= 0.96 * degree.sum()
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in itq_dedup.near_duplicates(frame).collect()] == [(1, 0, 1, True)]
