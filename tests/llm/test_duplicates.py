@@ -320,6 +320,16 @@ def test_pipeline_keeps_one_text_of_each_component_if_ids_repeat(spark):
     assert {r["text"] for r in C.near_duplicates(spark, twice, DATA).collect()} == {one, two}
 
 
+def test_pipeline_near_duplicates_against_brute_force(spark):
+    import corpus_pipeline as C
+
+    docs = read_table(spark, DATA, "documents").select(*C.COLUMNS)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    ids = [i for i, _ in rows]
+    want = sorted(set(plain_components(ids, [t for _, t in rows])))
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, DATA).collect()) == want and len(want) < len(ids)
+
+
 def test_pipeline_removes_near_copies(spark):
     """Copies that differ in a word of every hundred, most of them more than two bits apart."""
     import corpus_pipeline as C
