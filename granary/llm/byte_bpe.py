@@ -5,10 +5,15 @@ each from its own first character.  Because the pre-token pattern looks only
 forward, two chains of pre-tokens agree from the first boundary they share;
 neighbouring chunks are stitched at that boundary, and the pieces between
 stitches are encoded.  A text of at most one chunk is its own single piece.
+A cut stands only behind a character that is no white space: what the pattern
+finds there does not depend on what follows, so a piece is pre-tokenised alone
+as inside the whole text (a run of white space before the cut would not be).
 Decoding concatenates the raw bytes of the ids.
 
 Defined cases: null text is the empty text (no ids); rows repeated with equal
-id and text give one output row each; extra input columns are ignored.
+id and text give one output row each; extra input columns are ignored, whatever
+their names, and ``decode`` refuses to keep a column named like its result; a
+text without a place to cut is followed whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,8 +82,8 @@ def encode_piece(text: str, path: str, pattern: str) -> list[int]:
     """Ids of a text that begins and ends at pre-token boundaries."""
     try:
         return load_encoding(path, pattern).encode_ordinary(text)
-    except (ValueError, BaseException) as error:  # the regex engine gives up on some very long runs
-        if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+    except BaseException as error:
+        if type(error).__name__ != "PanicException":  # the regex engine's stack is too small for some very long runs; the class has no public name
             raise
         ranks = load_ranks(path)
         return [i for m in regex.finditer(pattern, text) for i in merge_piece(m.group().encode(), ranks)]
@@ -89,6 +94,16 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text)] + [len(text)]
 
 
+#: White space to Python alone, and not to every engine that runs the pattern.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def cut_among(text: str, shared: list[int]) -> int | None:
+    """A shared boundary where the piece before pre-tokenises alone as in the whole text; before a plain space or line end if there is one."""
+    safe = [p for p in shared if p and not text[p - 1].isspace() and text[p] not in SEPARATORS]
+    return next((p for p in safe if text[p] in " \n"), safe[0] if safe else None)
+
+
 def stitch(chunks: list[tuple[str, list[int], list[int]]], size: int, pattern: str) -> list[str]:
     """Pieces between resynchronised boundaries.
 
@@ -103,12 +118,11 @@ def stitch(chunks: list[tuple[str, list[int], list[int]]], size: int, pattern: s
         start = k * size
         limit = base + len(text) - LOOKAHEAD
         shared = sorted({base + b for b in tail} & {start + b for b in head})
-        shared = [p for p in shared if p <= limit]
-        if shared:
-            cut = shared[0]
-            pieces.append(text[begin : cut - base])
-            text, base, begin, tail = own, start, cut - start, own_tail
-        else:  # a pre-token longer than the overlap: follow the true chain across both chunks
+        cut = cut_among(text, [p - base for p in shared if p <= limit])
+        if cut is not None:
+            pieces.append(text[begin:cut])
+            text, base, begin, tail = own, start, cut + base - start, own_tail
+        else:  # no such place in the overlap: follow the true chain across both chunks
             text = text[begin:] + own[base + len(text) - start :]
             base, begin = base + begin, 0
             tail = [b for b in boundaries(text, pattern) if base + b >= start + size]
@@ -171,6 +185,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``decoded`` binary: the raw bytes of the ids, concatenated."""
+    if "decoded" in (id_col, *keep):
+        raise ValueError("the result has a column of its own named decoded")
     rows = encoded.select(id_col, *keep, F.col(ids_col).alias("_ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 

@@ -37,6 +37,24 @@ def test_stitched_pieces_are_whole_pre_tokens(text, size, overlap):
     assert [i for p in pieces for i in byte_bpe.encode_piece(p, PATH, P.PATTERN)] == LIBRARY.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\n\n\n", "  ", " \t ", "\r\n\r\n", "\x1c\n", "12", "'s"])
+@pytest.mark.parametrize("shift", range(-6, 7))
+def test_gaps_at_a_cut_of_default_size(gap, shift):
+    for place in (16384, 16896):
+        text = ("lorem ipsum " * 1500)[: place + shift] + gap + "Next paragraph " * 100
+        pieces = byte_bpe.stitch(chunked(text, 16384, 512), 16384, P.PATTERN)
+        assert len(pieces) == 2 and [i for p in pieces for i in byte_bpe.encode_piece(p, PATH, P.PATTERN)] == LIBRARY.encode_ordinary(text)
+
+
+def test_random_texts_with_blank_lines():
+    pick = random.Random(7)
+    for _ in range(2000):
+        text = "".join(pick.choices(["ab", "c", " ", "  ", "\n", "\n\n", "\t", "1", "22", ".", "'s", "é"], k=pick.randint(1, 60)))
+        size, overlap = pick.randint(6, 25), pick.randint(4, 12)
+        pieces = byte_bpe.stitch(chunked(text, size, overlap), size, P.PATTERN)
+        assert [i for p in pieces for i in byte_bpe.encode_piece(p, PATH, P.PATTERN)] == LIBRARY.encode_ordinary(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(min_size=1, max_size=30))
 def test_own_merges_equal_the_library(text):
