@@ -18,6 +18,7 @@ repeated rows are written once each; an empty table gives empty files.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import LONG, cut_at_spaces, discard, sliced, written
+from granary.llm.common import LONG, SPACE_CHAR, cut_at_spaces, discard, sliced, written
 
 CHECKPOINT = 64
 
@@ -40,14 +41,19 @@ class WordEncoder:
 
     Each distinct word of a batch is encoded once and remembered up to a bound.
     A word of lower-case letters alone is one pre-token and goes straight to
-    the BPE model; any other word goes through the whole tokenizer.
+    the BPE model; any other word goes through the whole tokenizer.  A text
+    that holds an added token's string, in whatever case, is left to the
+    tokenizer as it stands.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if any(SPACE_CHAR.search(t) for t in added):
+            raise ValueError("added tokens with white space are not supported")
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.model = self.tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -96,9 +102,18 @@ class WordEncoder:
         return self._encode(texts)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        if self.added is not None and pc.any(own := pc.match_substring_regex(texts, self.added)).as_py():
+            found, edges = self._by_words(pc.if_else(own, "", texts))
+            parts = np.split(found, edges[1:-1])
+            for i in np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist():
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return self._by_words(texts)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.most:
             self.forget()
-        texts = pc.fill_null(texts, "")
         # lowering first merges words, but a combining mark may compose with the small letter alone
         low = pc.if_else(pc.match_substring_regex(texts, r"[\x{0300}-\x{036f}]"), texts, pc.ascii_lower(texts))
         # a letter and a stop after it are pre-tokens of their own, so a space between them changes nothing

@@ -16,9 +16,8 @@ from granary.llm.common import new_path
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 ENCODER = T.WordEncoder(PATH, most=50)
-ODD = st.text(alphabet=st.sampled_from(list("abSsTt.,!?' \n\t\r09éÉßΣσςİı́̈\x1c\x85\xa0日|#$<>")), max_size=40)
+ODD = st.lists(st.sampled_from([*"abSsTt.,!?' \n\t\r09éÉßΣσςİı́̈\x1c\x85\xa0日|#$<>", "<|endoftext|>", "<|ENDofTEXT|>", "<|startoftext|>"]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -28,6 +27,11 @@ def test_words_equal_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_one_id():
+    ids, _ = ENCODER.encode(pa.array(["hello <|endoftext|> world", None, "x<|startoftext|>Y"], pa.string()))
+    assert ids.tolist()[:3] == [3306, 49407, 1002] and 49406 in ids.tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(counts=st.lists(st.integers(1, 10**6), min_size=2, max_size=60), bits=st.integers(6, 16))
 def test_code_lengths(counts, bits):
