@@ -27,10 +27,11 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written`` once nothing reads it any more."""
-    path = getattr(df, "_granary_path", None)
+    """Delete a table made by ``written`` or ``bucketed`` once nothing reads it any more."""
+    path, spark = getattr(df, "_granary_path", None), df.sparkSession
+    if name := getattr(df, "_granary_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
-        spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -69,7 +70,9 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = path.rsplit("/", 1)[1].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._granary_path, out._granary_table = path, name
+    return out
 
 
 SPACE_BYTE = re.compile(rb"[ \t-\r]")

@@ -42,11 +42,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts anywhere else, removed from every whole text."""
+    """Bytes covered by a 400-byte string that starts anywhere else, removed from every whole text; ``text`` is what stays."""
     found = suffix_dedup.Repeats(read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
-    told = written(found.texts.select("text_key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "suffix-told")
-    return found.members.join(told, "text_key").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    told = written(found.texts.select("text_key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text")), "suffix-told")
+    found.close()
+    return found.members.join(told, "text_key").select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

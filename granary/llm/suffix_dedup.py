@@ -1,11 +1,14 @@
 """Repeated-passage removal with longest-previous-factor arrays.
 
-A byte is repeated if some ``length``-byte string that covers it starts
-anywhere else.  Such strings are found without sorting the whole corpus:
+A symbol is repeated if some string of ``length`` symbols that covers it starts
+anywhere else.  Symbols are bytes or, with ``unit="word"``, words: runs of other than
+ASCII white space, where a character from U+3000 on is a word of its own; a word
+stands as four bytes of its hash, so white space between words does not count.
+Such strings are found without sorting the whole corpus:
 
 1. Equal texts are one text with a copy count.
-2. Minimisers (smallest rolling hash of ``gram_size`` bytes over every
-   ``length``-byte string) put an anchor into every string, at the same place in
+2. Minimisers (smallest rolling hash of ``gram_size`` symbols over every
+   string of ``length``) put an anchor into every string, at the same place in
    every occurrence.  Only anchors whose gram occurs elsewhere go on; an anchor
    whose whole surroundings occur elsewhere is settled at once.
 3. The other surroundings meet by gram.  Their repeated strings are put in
@@ -22,7 +25,9 @@ order of their smallest id, then bytes), so the first copy stays; otherwise all
 copies go.  Overlapping strings and those within one text count.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes;
-repeated rows are copies of each other; a null id sorts first.
+repeated rows are copies of each other; a null id sorts first; very long texts are
+hashed in segments that overlap by what a string needs; extra columns are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,20 +42,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.buckets import by_group
-from granary.llm.common import bucketed, sliced, written
+from granary.llm.common import bucketed, discard, sliced, written
 
-LEAST = 100
-RANGE = 50
+LEAST = {"byte": 100, "word": 16}
+SYMBOL = {"byte": np.dtype("<u1"), "word": np.dtype("<u4")}
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WIDE, WIDER = 0xE3, 0xF0  # first bytes from which on a character is a word, and has four bytes
+LONG_WORD = 256
 MULTIPLIER = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
 NULL_FIRST = -(1 << 63)
 
 
 def gram_size(length: int) -> int:
-    """Bytes of an anchor's gram: 150 of 400."""
+    """Symbols of an anchor's gram: 150 of 400."""
     return 3 * length // 8
 
 
+def word_marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends."""
+    data = np.frombuffer(text, np.uint8)
+    held = ~SPACES[data]
+    begins = held.copy()
+    begins[1:] &= ~held[:-1]
+    wide = np.flatnonzero(data >= WIDE)
+    begins[wide] = True
+    after = wide + 3 + (data[wide] >= WIDER)
+    after = after[after < len(data)]
+    begins[after[held[after]]] = True
+    ends = held.copy()
+    ends[:-1] &= ~held[1:] | begins[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_symbols(text: bytes) -> np.ndarray:
+    """A 32-bit hash of each word."""
+    starts, stops = word_marks(text)
+    out = np.zeros(len(starts), np.uint32)
+    data = np.frombuffer(text, np.uint8)
+    low = 0
+    while low < len(starts):
+        high = int(np.searchsorted(starts, starts[low] + SEGMENT))
+        begin, a = starts[low], starts[low:high] - starts[low]
+        b = np.minimum(stops[low:high] - begin, a + LONG_WORD)
+        base, inverse = powers(SEGMENT + LONG_WORD + 1)
+        part = data[begin : begin + b[-1]].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * base[: len(part)], dtype=np.uint64)])
+        out[low:high] = mixed((sums[b] - sums[a]) * inverse[a]) >> np.uint64(32)
+        low = high
+    for i in np.flatnonzero(stops - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh32_intdigest(text[starts[i] : stops[i]])
+    return out
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = hashes ^ hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ hashes >> np.uint64(32)
+
+
 @lru_cache(maxsize=1)
 def power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = np.full(size, MULTIPLIER, np.uint64), np.full(size, pow(MULTIPLIER, -1, 1 << 64), np.uint64)
@@ -74,7 +124,7 @@ def sliding(values: np.ndarray, width: int, accumulate) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions and their gram hashes; at least one in every ``length`` bytes, chosen by those bytes alone."""
+    """Anchor positions and their gram hashes; at least one in every ``length`` symbols, chosen by those alone."""
     gram = gram_size(length)
     width = length - gram + 1
     base, inverse = powers(SEGMENT + 4 * length + 8)
@@ -85,10 +135,7 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         if len(part) < length:
             continue
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * base[: len(part)], dtype=np.uint64)])
-        rolled = (sums[gram:] - sums[:-gram]) * inverse[: len(part) - gram + 1]
-        rolled ^= rolled >> np.uint64(29)
-        rolled *= np.uint64(0xBF58476D1CE4E5B9)
-        rolled ^= rolled >> np.uint64(32)
+        rolled = mixed((sums[gram:] - sums[:-gram]) * inverse[: len(part) - gram + 1])
         least = sliding(rolled, width, np.minimum.accumulate)
         edge = np.zeros(width - 1, np.uint64)
         chosen = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum.accumulate) == rolled)
@@ -99,11 +146,11 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def surroundings(n: int, at: int, length: int) -> tuple[int, int]:
-    """The bytes of all strings that contain the gram at ``at``."""
+    """The symbols of all strings that contain the gram at ``at``."""
     return max(0, at - (length - gram_size(length))), min(n, at + length)
 
 
-def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool) -> list[np.ndarray]:
+def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool, symbol: np.dtype = SYMBOL["byte"]) -> list[np.ndarray]:
     """For each part: the starts in it whose string occurs at another text position (an earlier one unless ``both``).
 
     ``begins[i]``: the text position of part i in a numbering of all texts.
@@ -116,14 +163,15 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
     the same string.  Next smaller positions of the mirrored order give the
     longest next factor in the same way.
     """
-    sizes = np.array([len(p) for p in parts])
+    wide = symbol.itemsize
+    sizes = np.array([len(p) // wide for p in parts])
     joined = b"".join(parts)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     counts = sizes - length + 1
     ids = np.repeat(np.arange(len(parts)), counts)
     within = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = offsets[ids] + within
-    data = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
+    data = np.frombuffer(joined, symbol).astype(np.uint64) + np.uint64(1)
     base, inverse = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * base[: len(data)], dtype=np.uint64)])
     key = (sums[starts + length] - sums[starts]) * inverse[starts]
@@ -134,13 +182,14 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
         return [np.zeros(0, np.int64)] * len(parts)
     opens = np.concatenate([[True], key[alive][1:] != key[alive][:-1]])
     names = np.cumsum(opens) - 1
-    at, heads = starts[alive].tolist(), starts[alive[opens]].tolist()
-    if not all(joined[s : s + length] == joined[(h := heads[n]) : h + length] for s, n in zip(at, names.tolist(), strict=True)):  # two strings of one hash
+    at, heads = (wide * starts[alive]).tolist(), (wide * starts[alive[opens]]).tolist()
+    span = wide * length
+    if not all(joined[s : s + span] == joined[(h := heads[n]) : h + span] for s, n in zip(at, names.tolist(), strict=True)):  # two strings of one hash
         strings: dict[bytes, int] = {}
-        names = np.array([strings.setdefault(joined[s : s + length], len(strings)) for s in at], np.int64)
+        names = np.array([strings.setdefault(joined[s : s + span], len(strings)) for s in at], np.int64)
         heads = [at[i] for i in np.unique(names, return_index=True)[1].tolist()]
     rank = np.empty(len(heads), np.int64)
-    rank[sorted(range(len(heads)), key=lambda n: joined[heads[n] : heads[n] + length])] = np.arange(len(heads))
+    rank[sorted(range(len(heads)), key=lambda n: joined[heads[n] : heads[n] + span])] = np.arange(len(heads))
     texts = begins[ids[alive]] + within[alive]
     order = np.lexsort((texts, rank[names]))
     names, texts, alive = names[order], texts[order], alive[order]
@@ -194,40 +243,54 @@ def text_key(text: Column) -> Column:
 
 
 class Repeats:
-    """Finds repeated spans; ``texts`` and ``members`` are its results.
+    """Finds repeated spans of ``length`` bytes or words; ``texts`` and ``members`` are its results.
 
-    With ``words``, only spans of at least so many whole words or ``or_bytes`` bytes are removed.
-
-    ``texts``: text_key, n_bytes, n_copies, spans array<struct<a,b>> of bytes to
+    ``texts``: text_key, n_bytes, n_symbols (null for words of a text that neither
+    repeats nor loses anything), n_copies, spans array<struct<a,b>> of bytes to
     remove, kept binary: one row per distinct text (of its first copy).
     ``members``: id, text_key, first: one row per input row.
     """
 
-    def __init__(self, docs: DataFrame, length: int = 400, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", group: int = 512, whole_chars: bool = False, words: int = 0, or_bytes: int = 0):
-        if length < LEAST:
-            raise ValueError(f"length must be at least {LEAST}")
-        self.length, self.keep_first, self.group, self.whole_chars = length, keep_first, group, whole_chars
-        self.words, self.or_bytes = words, or_bytes
+    def __init__(self, docs: DataFrame, length: int = 400, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", group: int = 512, whole_chars: bool = False, unit: str = "byte"):
+        if length < LEAST[unit]:
+            raise ValueError(f"length must be at least {LEAST[unit]}")
+        self.length, self.keep_first, self.group, self.whole_chars, self.unit = length, keep_first, group, whole_chars, unit
+        self.made: list[DataFrame] = []
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
         self.members = rows.select("id", "text_key")
         once = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.coalesce("id", F.lit(NULL_FIRST))).alias("first"), F.first("text").cast("binary").alias("text"))
         self.unique = bucketed(once, "text_key", "suffix-texts")
-        self.texts = self._cleaned(self._spans())
+        self.spans = written(self._spans(), "suffix-spans")
+        while self.made:
+            discard(self.made.pop())
+        self.texts = self._cleaned(self.spans)
+
+    def _kept(self, df: DataFrame, label: str) -> DataFrame:
+        """A written table that goes once the spans are known."""
+        self.made.append(written(df, f"suffix-{label}"))
+        return self.made[-1]
+
+    def _symbols(self):
+        """A function from a text to the bytes of its symbols."""
+        return (lambda text: word_symbols(text).astype("<u4").tobytes()) if self.unit == "word" else (lambda text: text)
 
     def _spans(self) -> DataFrame:
-        length, left = self.length, self.length - gram_size(self.length)
-        long = self.unique.filter(F.octet_length("text") >= length)
+        length, left, symbol, symbols = self.length, self.length - gram_size(self.length), SYMBOL[self.unit], self._symbols()
+        wide = symbol.itemsize
+        long = self.unique.filter(F.octet_length("text") >= (length if wide == 1 else 2 * length - 1))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=4 << 20):
                 out: list[tuple] = []
                 for key, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    at, gram = anchors_of(np.frombuffer(text, np.uint8), length)
+                    raw = symbols(text)
+                    data = np.frombuffer(raw, symbol)
+                    at, gram = anchors_of(data, length)
                     seen: dict[int, list[int]] = {}
                     spans = []
                     for p, g in zip(at.tolist(), gram.view(np.int64).tolist(), strict=True):
-                        a, b = surroundings(len(text), p, length)
-                        context = xxhash.xxh3_64_intdigest(text[a:b], p - a) - (1 << 63)
+                        a, b = surroundings(len(data), p, length)
+                        context = xxhash.xxh3_64_intdigest(raw[wide * a : wide * b], p - a) - (1 << 63)
                         if context in seen:  # a run of short period has very many anchors, but few surroundings
                             seen[context][2] += 1
                             spans.append((a, b))
@@ -238,16 +301,17 @@ class Repeats:
                 if out:
                     yield rows_of(out, {"text_key": pa.binary(), "first": pa.int64(), "at": pa.int32(), "gram": pa.int64(), "context": pa.int64(), "n": pa.int32(), "b": pa.int32()})
 
-        found = written(long.select("text_key", "first", "text").mapInArrow(find, "text_key binary, first long, at int, gram long, context long, n int, b int"), "suffix-anchors")
+        found = self._kept(long.select("text_key", "first", "text").mapInArrow(find, "text_key binary, first long, at int, gram long, context long, n int, b int"), "anchors")
         within = found.filter("gram IS NULL").select("text_key", F.col("at").alias("a"), "b")
         anchors = found.filter("gram IS NOT NULL").drop("b")
-        kinds = written(anchors.groupBy("gram", "context").agg(F.sum("n").alias("n")), "suffix-kinds")
-        grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("m")).filter("all > 1").drop("all")
-        kinds = kinds.join(grams, "gram")
-        met = written(anchors.drop("n").join(kinds, ["gram", "context"]), "suffix-met")
+        kinds = self._kept(anchors.groupBy("gram", "context").agg(F.sum("n").alias("n")), "kinds")
+        # written first, so that a join with a gram of very many surroundings can be split
+        grams = self._kept(kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("m")).filter("all > 1").drop("all"), "grams")
+        kinds = self._kept(kinds.join(grams, "gram"), "shared")
+        met = self._kept(anchors.drop("n").join(kinds, ["gram", "context"]), "met")
 
         order = self.order()
-        firsts = written(met.groupBy("gram", "context").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("m").alias("m")), "suffix-firsts")
+        firsts = self._kept(met.groupBy("gram", "context").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("m").alias("m")), "firsts")
         settled = met.filter("n > 1")
         if self.keep_first:
             settled = settled.join(firsts.filter("n > 1").select("gram", "context", "one"), ["gram", "context"]).filter(order != F.col("one"))
@@ -273,19 +337,21 @@ class Repeats:
         return self.unique.select("text_key", "first", "text").join(asked, "text_key")
 
     def _by_order(self, wanted: DataFrame) -> DataFrame:
-        length, both = self.length, not self.keep_first
+        length, both, symbol, symbols = self.length, not self.keep_first, SYMBOL[self.unit], self._symbols()
+        wide = symbol.itemsize
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=2 << 20):
                 for key, first, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    spans = [surroundings(len(text), x["at"], length) for x in asked]
-                    yield binary_rows({"gram": ([x["gram"] for x in asked], pa.int64()), "first": ([first] * len(asked), pa.int64()), "text_key": ([key] * len(asked), pa.binary()), "a": ([a for a, _ in spans], pa.int32()), "part": ([text[a:b] for a, b in spans], pa.binary())})
+                    raw = symbols(text)
+                    spans = [surroundings(len(raw) // wide, x["at"], length) for x in asked]
+                    yield binary_rows({"gram": ([x["gram"] for x in asked], pa.int64()), "first": ([first] * len(asked), pa.int64()), "text_key": ([key] * len(asked), pa.binary()), "a": ([a for a, _ in spans], pa.int32()), "part": ([raw[wide * a : wide * b] for a, b in spans], pa.binary())})
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             texts = sorted({(first, key) for _, first, key, _, _ in rows})
             number = {t: i for i, t in enumerate(texts)}
             begins = np.array([(number[first, key] << 32) + a for _, first, key, a, _ in rows], np.int64)
-            found = repeated_starts([r[4] for r in rows], begins, length, both)
+            found = repeated_starts([r[4] for r in rows], begins, length, both, symbol)
             out = [(key, a + x, a + y) for (_, _, key, a, _), starts in zip(rows, found, strict=True) for x, y in runs(starts, length)]
             return binary_rows({"text_key": ([x[0] for x in out], pa.binary()), "a": ([x[1] for x in out], pa.int32()), "b": ([x[2] for x in out], pa.int32())})
 
@@ -307,77 +373,80 @@ class Repeats:
 
     def _by_ranges(self, wanted: DataFrame) -> list[DataFrame]:
         """Grams with very many different surroundings."""
-        length, left = self.length, self.length - gram_size(self.length)
-        n_ranges = -(-(left + 1) // RANGE)
+        length, left, symbols, wide = self.length, self.length - gram_size(self.length), self._symbols(), SYMBOL[self.unit].itemsize
+        step = length // 8
+        n_ranges = -(-(left + 1) // step)
 
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=2 << 20):
                 for key, first, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    out = []
+                    out, raw = [], symbols(text)
                     for at in (x["at"] for x in asked):
                         for k in range(n_ranges):  # strings that start between at - high and at - low
-                            low, high = max(k * RANGE, at + length - len(text)), min((k + 1) * RANGE - 1, left, at)
+                            low, high = max(k * step, at + length - len(raw) // wide), min((k + 1) * step - 1, left, at)
                             if low <= high:
                                 tag = k.to_bytes(4, "little")
-                                core = text[max(0, at - k * RANGE) : at - (k + 1) * RANGE + 1 + length]
-                                out.append((at, k, low, high, digest(tag, core), digest(tag, (low).to_bytes(4, "little"), (high).to_bytes(4, "little"), text[at - high : at - low + length])))
+                                core = raw[wide * max(0, at - k * step) : wide * (at - (k + 1) * step + 1 + length)]
+                                out.append((at, k, low, high, digest(tag, core), digest(tag, (low).to_bytes(4, "little"), (high).to_bytes(4, "little"), raw[wide * (at - high) : wide * (at - low + length)])))
                     yield binary_rows({"first": ([first] * len(out), pa.int64()), "text_key": ([key] * len(out), pa.binary()), **{c: ([x[i] for x in out], t) for i, (c, t) in enumerate((("at", pa.int32()), ("k", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.binary()), ("union", pa.binary())))}})
 
-        dealt = written(self._asked(wanted).mapInArrow(ranges, "first long, text_key binary, at int, k int, low int, high int, core binary, union binary"), "suffix-ranges")
+        dealt = self._kept(self._asked(wanted).mapInArrow(ranges, "first long, text_key binary, at int, k int, low int, high int, core binary, union binary"), "ranges")
         order = self.order()
-        unions = written(dealt.groupBy("union").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("earliest")).filter("n > 1"), "suffix-unions")
-        cores = written(dealt.groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).filter("n_core > 1"), "suffix-cores")
+        unions = self._kept(dealt.groupBy("union").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("earliest")).filter("n > 1"), "unions")
+        cores = self._kept(dealt.groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).filter("n_core > 1"), "cores")
         told = dealt.join(unions, "union", "left")
         done = F.col("n").isNotNull() & (order != F.col("earliest")) if self.keep_first else F.col("n").isNotNull()
         settled = told.filter(done).select("text_key", (F.col("at") - F.col("high")).alias("a"), (F.col("at") - F.col("low") + length).alias("b"))
         witness = F.col("n").isNull() | (order == F.col("earliest"))  # of equal ranges the earliest still meets the others' strings
-        open_ = written(told.filter(witness).join(cores, "core", "left_semi").select("text_key", "at", "low", "high"), "suffix-open")
+        open_ = self._kept(told.filter(witness).join(cores, "core", "left_semi").select("text_key", "at", "low", "high"), "open")
 
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=2 << 20):
                 for key, first, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    raw = symbols(text)
                     starts = sorted({x["at"] - d for x in asked for d in range(x["low"], x["high"] + 1)})
-                    yield binary_rows({"first": ([first] * len(starts), pa.int64()), "text_key": ([key] * len(starts), pa.binary()), "at": (starts, pa.int32()), "string": ([xxhash.xxh3_128_digest(text[s : s + length]) for s in starts], pa.binary())})
+                    yield binary_rows({"first": ([first] * len(starts), pa.int64()), "text_key": ([key] * len(starts), pa.binary()), "at": (starts, pa.int32()), "string": ([xxhash.xxh3_128_digest(raw[wide * s : wide * (s + length)]) for s in starts], pa.binary())})
 
-        single = written(self._asked(open_, "low", "high").mapInArrow(strings, "first long, text_key binary, at int, string binary"), "suffix-strings")
-        repeated = written(single.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("earliest")).filter("n > 1"), "suffix-repeated")
+        single = self._kept(self._asked(open_, "low", "high").mapInArrow(strings, "first long, text_key binary, at int, string binary"), "strings")
+        repeated = self._kept(single.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("earliest")).filter("n > 1"), "repeated")
         hits = single.join(repeated, "string")
         if self.keep_first:
             hits = hits.filter(order != F.col("earliest"))
         return [settled, hits.select("text_key", F.col("at").alias("a"), (F.col("at") + length).alias("b"))]
 
     def _cleaned(self, spans: DataFrame) -> DataFrame:
-        length, all_copies, whole_chars = self.length, not self.keep_first, self.whole_chars
-        words, or_bytes = self.words, self.or_bytes
+        length, all_copies, whole_chars, by_words = self.length, not self.keep_first, self.whole_chars, self.unit == "word"
         found = spans.groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("found"))
         rows = self.unique.join(found, "text_key", "left").select("text_key", "n_copies", "text", "found")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, max_bytes=4 << 20):
-                removed, kept, sizes = [], [], []
+                removed, kept, sizes, counts = [], [], [], []
                 for _, copies, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    gone = [(x["a"], min(x["b"], len(text))) for x in own or ()]
-                    gone = [(0, len(text))] if all_copies and copies > 1 and len(text) >= length else merged(gone)
-                    if words:
-                        gone = [(a, b) for a, b in gone if b - a >= or_bytes or whole_words(text, a, b) >= words]
+                    whole = all_copies and copies > 1
+                    starts, stops = word_marks(text) if by_words and (own or copies > 1) else (None, None)
+                    n = len(text) if starts is None else len(starts)
+                    gone = [(0, n)] if whole and n >= length else merged([(x["a"], min(x["b"], n)) for x in own or ()])
+                    if starts is not None:
+                        gone = [(int(starts[a]), int(stops[b - 1])) for a, b in gone]
                     if whole_chars:
                         gone = [g for g in (inner(text, a, b) for a, b in gone) if g[0] < g[1]]
                     edges = [0, *(x for g in gone for x in g), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                     removed.append([{"a": a, "b": b} for a, b in gone])
                     sizes.append(len(text))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(removed, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], ["text_key", "n_bytes", "n_copies", "spans", "kept"])
+                    counts.append(n if starts is not None or not by_words else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), batch.column(1), pa.array(removed, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], ["text_key", "n_bytes", "n_symbols", "n_copies", "spans", "kept"])
 
-        return rows.mapInArrow(cut, "text_key binary, n_bytes long, n_copies long, spans array<struct<a:int,b:int>>, kept binary")
+        return rows.mapInArrow(cut, "text_key binary, n_bytes long, n_symbols long, n_copies long, spans array<struct<a:int,b:int>>, kept binary")
 
     def firsts(self) -> DataFrame:
         return self.unique.select("text_key", "first")
 
-
-def whole_words(text: bytes, a: int, b: int) -> int:
-    """How many words (runs of other than ASCII white space) lie whole inside a span."""
-    cut = [x for x in (a, b) if 0 < x < len(text) and len(text[x - 1 : x + 1].strip()) == 2]
-    return max(0, len(text[a:b].split()) - len(cut))
+    def close(self) -> None:
+        """Delete what ``texts`` and ``firsts`` read, once their rows are used."""
+        discard(self.spans)
+        discard(self.unique)
 
 
 def inner(text: bytes, a: int, b: int) -> tuple[int, int]:

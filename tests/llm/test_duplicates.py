@@ -286,9 +286,9 @@ def test_pipeline_removes_repeats_of_over_fifty_words(spark):
     rng = random.Random(7)
     prose = lambda n, most=9: [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** rng.randint(1, most - 1))}" for _ in range(n)]
     tiny = lambda n: [rng.choice("abcdefghijklmnop") for _ in range(n)]
-    passages = [prose(51, 6), tiny(51), prose(50, 6), prose(120), tiny(50), ["".join(tiny(410))]]
+    passages = [prose(51, 6), tiny(51), prose(50, 6), prose(120), tiny(50), prose(52, 30)]
     texts = [" ".join(prose(30) + p + prose(30)) for p in passages for _ in range(3)] + [" ".join(tiny(51) + prose(20))]
-    assert len(" ".join(passages[0])) < 400 and len(" ".join(passages[1])) == C.SHORTEST
+    assert len(" ".join(passages[0])) < 400 and len(" ".join(passages[1])) == 101
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in C.repeated_passages(spark, docs, DATA).collect()}
     for i, text in enumerate(texts):
@@ -297,6 +297,74 @@ def test_pipeline_removes_repeats_of_over_fifty_words(spark):
         assert (passage not in got[i] and len(text) - len(got[i]) <= len(passage) + 4) if gone else got[i] == text, i
 
 
+WORD = re.compile("[\u3000-\U0010ffff]|[^\\x20\\x09-\\x0D\u3000-\U0010ffff]+")
+
+
+def brute_word_repeats(texts, length, keep_first):
+    words = [[m.group() for m in WORD.finditer(t)] for t in texts]
+    count, seen, out = {}, set(), []
+    for w in words:
+        for p in range(len(w) - length + 1):
+            count[tuple(w[p : p + length])] = count.get(tuple(w[p : p + length]), 0) + 1
+    for t, w in zip(texts, words):
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - length + 1):
+            s = tuple(w[p : p + length])
+            if s in seen if keep_first else count[s] > 1:
+                gone[p : p + length] = True
+            seen.add(s)
+        marks, kept, last = [m.span() for m in WORD.finditer(t)], "", 0
+        for i in np.flatnonzero(gone).tolist():
+            a = marks[i - 1][1] if i and gone[i - 1] else marks[i][0]
+            kept, last = kept + t[last:a], marks[i][1]
+        out.append(kept + t[last:])
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from(list("aé日。😀 \n\x0b\x1c\u2028\u3000")), max_size=60))
+def test_words(text):
+    raw = text.encode()
+    starts, stops = suffix_dedup.word_marks(raw)
+    words = [m.group() for m in WORD.finditer(text)]
+    assert [raw[a:b].decode() for a, b in zip(starts, stops)] == words
+    symbols = suffix_dedup.word_symbols(raw).tolist()
+    assert {w: s for w, s in zip(words, symbols)} == dict(zip(words, symbols)) and len(set(symbols)) == len(set(words))
+
+
+def test_words_over_segments(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcé日", k=rng.choice([1, 3, 8, 300]))) for _ in range(500)).encode()
+    whole = suffix_dedup.word_symbols(text).tolist()
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 97)
+    assert suffix_dedup.word_symbols(text).tolist() == whole
+
+
+def test_anchors_over_segments(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 200, 20_000).astype(np.uint8)
+    at, grams = suffix_dedup.anchors_of(data, 100)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    again = suffix_dedup.anchors_of(data, 100)
+    assert at.tolist() == again[0].tolist() and grams.tolist() == again[1].tolist()
+
+
+@pytest.mark.parametrize("group", [512, 2])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_word_repeats(spark, group, keep_first):
+    texts = [t.decode() for t in passages(4)]
+    cjk = "".join(random.Random(3).choices("日本語文字列、。", k=90))
+    texts += [cjk + " end", "begin " + cjk[:70], texts[0].replace(" ", "\n")]
+    found = suffix_dedup.Repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 51, keep_first, unit="word", group=group)
+    told = {bytes(r["text_key"]): r for r in found.texts.collect()}
+    firsts = {bytes(r["text_key"]): r["first"] for r in found.firsts().collect()}
+    want = brute_word_repeats(texts, 51, keep_first)
+    for r in found.members.collect():
+        key = bytes(r["text_key"])
+        if not keep_first or r["id"] == firsts[key]:
+            assert bytes(told[key]["kept"]).decode() == want[r["id"]], r["id"]
+    found.close()
+
+
 @pytest.mark.parametrize("length", [101, 250])
 def test_shorter_repeats(spark, length):
     docs = list(enumerate(passages(4)))
