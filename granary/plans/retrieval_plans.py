@@ -46,6 +46,10 @@ bs AS (SELECT coalesce(ti.query_id, b.query_id) AS query_id, coalesce(ti.doc_id,
   FROM ti FULL JOIN (SELECT query_id, doc_id, CASE WHEN high > low THEN (bm25 - low) / (high - low) ELSE 0 END AS bm25 FROM bm JOIN span USING (query_id)) b ON ti.query_id = b.query_id AND ti.doc_id = b.doc_id)"""
 
 
+ALL_SQL = """
+every AS (SELECT b.item_id AS query_id, d.doc_id, coalesce({score}, 0) AS {score} FROM benchmark b CROSS JOIN documents d LEFT JOIN {source} s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)"""
+
+
 def _top(source: str, score: str, k: int) -> str:
     return f"SELECT query_id, doc_id, rank, round({score}, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k}"
 
@@ -56,15 +60,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("score"))
 
 
-@query(f"WITH {TFIDF_SQL} {_top('ti', 'tfidf', 5)}")
+@query(f"WITH {TFIDF_SQL}, {ALL_SQL.format(source='ti', score='tfidf')} {_top('every', 'tfidf', 5)}")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.ranked(index.tfidf(_docs(spark, sf_dir), _queries(spark, sf_dir)), 5, "tfidf")
+    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    best = retrieval.ranked(index.with_zeros(index.tfidf(docs, queries), docs, queries, 5), 5, "tfidf")
     return best.select("query_id", "doc_id", "rank", F.round("tfidf", 4).alias("score"))
 
 
-@query(f"WITH {BASIC_SQL} {_top('bs', 'score', 5)}")
+@query(f"WITH {BASIC_SQL}, {ALL_SQL.format(source='bs', score='score')} {_top('every', 'score', 5)}")
 def basic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.ranked(index.basic(_docs(spark, sf_dir), _queries(spark, sf_dir)), 5)
+    """Five documents for every query, those without a common word last."""
+    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    best = retrieval.ranked(index.with_zeros(index.basic(docs, queries), docs, queries, 5), 5)
     return best.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -111,23 +118,30 @@ def chunk_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JACCARD = "len(list_intersect({a}, {b})) / greatest(1, len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE"
-SETS_SQL = f"ws AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents)"
+SETS_SQL = f"ws AS MATERIALIZED (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents)"
 
 
-@query(f"""WITH RECURSIVE {TFIDF_SQL}, {SETS_SQL},
-pool AS (SELECT * FROM (SELECT query_id, doc_id, tfidf, row_number() OVER (PARTITION BY query_id ORDER BY round(tfidf, 9) DESC, doc_id) AS candidate_rank FROM ti) JOIN ws USING (doc_id) WHERE candidate_rank <= 50),
-sel AS (
-  SELECT DISTINCT query_id, 0 AS step, []::BIGINT[] AS chosen, NULL::BIGINT AS doc_id, 0::DOUBLE AS score FROM pool
-  UNION ALL
-  SELECT s.query_id, s.step + 1, list_append(s.chosen, b.doc_id), b.doc_id, b.score FROM sel s, LATERAL (
-    SELECT p.doc_id, round(0.7 * p.tfidf - 0.3 * coalesce((SELECT max({JACCARD.format(a='o.w', b='p.w')}) FROM pool o WHERE o.query_id = s.query_id AND list_contains(s.chosen, o.doc_id)), 0), 9) AS score
-    FROM pool p WHERE p.query_id = s.query_id AND NOT list_contains(s.chosen, p.doc_id) ORDER BY score DESC, p.candidate_rank LIMIT 1) b
-  WHERE s.step < 5)
-SELECT query_id, step::BIGINT AS rank, doc_id, round(score, 4) AS mmr_score FROM sel WHERE step > 0""")
+def _mmr_sql(k: int, own: float) -> str:
+    """Step by step over all pairs: relevance and the largest cosine to what is chosen."""
+    out = [
+        "unit AS MATERIALIZED (SELECT doc_id, gram, w / norm AS w FROM gw JOIN gn USING (doc_id))",
+        ALL_SQL.format(source="ti", score="tfidf"),
+        "st1 AS MATERIALIZED (SELECT query_id, doc_id, tfidf AS rel, 0::DOUBLE AS near FROM every)",
+    ]
+    for step in range(1, k + 1):
+        out.append(f"pick{step} AS MATERIALIZED (SELECT query_id, doc_id, gain FROM (SELECT *, round({own} * rel - {round(1 - own, 9)} * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
+        if step < k:
+            out.append(f"sim{step} AS MATERIALIZED (SELECT p.query_id, b.doc_id, sum(a.w * b.w) AS sim FROM pick{step} p JOIN unit a ON a.doc_id = p.doc_id JOIN unit b ON b.gram = a.gram GROUP BY ALL)")
+            out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, rel, greatest(near, coalesce(sim, 0)) AS near FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id LEFT JOIN sim{step} m ON m.query_id = s.query_id AND m.doc_id = s.doc_id)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {step}::BIGINT AS rank, doc_id, round(gain, 4) AS mmr_score FROM pick{step}" for step in range(1, k + 1))
+
+
+@query(f"WITH {TFIDF_SQL}, {_mmr_sql(5, 0.7)}")
 def card_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    rel = index.tfidf(docs, queries).withColumnRenamed("tfidf", "score")
-    return retrieval.lexical_mmr(rel, docs, 5, 0.7).select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"))
+    """Diverse cards of the whole library: TF-IDF cosines are both the relevance and the redundancy."""
+    queries, library = _queries(spark, sf_dir), index.Tfidf(_docs(spark, sf_dir))
+    picks = retrieval.lexical_mmr(library.scores(queries).withColumnRenamed("tfidf", "score"), queries, library, 5, 0.7)
+    return picks.select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"))
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,25 +159,32 @@ lib AS (SELECT d.doc_id, d.source AS source_id, {label_sql('d.doc_id')} AS prim,
   CASE WHEN quality IS NULL THEN 0.35 ELSE (5 * quality + 5 - toxic + 3.5 + quality) / 3.0 / 5 END AS quality FROM documents d LEFT JOIN labels USING (doc_id)),
 ask AS (SELECT item_id AS query_id, {label_sql('item_id')} AS label, list_distinct({words_sql('text')}) AS w FROM benchmark),
 sc AS (SELECT query_id, doc_id, source_id, prim, 0.3 * coalesce(score, 0) + 0.2 * coalesce(tfidf, 0) + 0.25 * (prim = label)::INT + 0.08 * coalesce((sec = label)::INT, 0) + 0.07 * {JACCARD.format(a='ask.w', b='lib.kw')} + 0.1 * lib.quality AS score
-  FROM lib CROSS JOIN ask LEFT JOIN bs USING (query_id, doc_id)),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS candidate_rank FROM sc) JOIN ws USING (doc_id) WHERE candidate_rank <= 50),
-sel AS (
-  SELECT query_id, 0 AS step, []::BIGINT[] AS chosen, []::VARCHAR[] AS srcs, NULL::BIGINT AS doc_id, NULL::VARCHAR AS source_id, NULL::VARCHAR AS prim, 0::DOUBLE AS score FROM ask
-  UNION ALL
-  SELECT s.query_id, s.step + 1, list_append(s.chosen, b.doc_id), list_append(s.srcs, b.source_id), b.doc_id, b.source_id, b.prim, b.score FROM sel s, LATERAL (
-    SELECT p.doc_id, p.source_id, p.prim, round(p.score + CASE WHEN list_contains(s.srcs, p.source_id) THEN 0 ELSE 0.08 END - 0.15 * coalesce((SELECT max({JACCARD.format(a='o.w', b='p.w')}) FROM pool o WHERE o.query_id = s.query_id AND list_contains(s.chosen, o.doc_id)), 0), 9) AS score
-    FROM pool p WHERE p.query_id = s.query_id AND NOT list_contains(s.chosen, p.doc_id) AND len(list_filter(s.srcs, lambda x: x = p.source_id)) < 2 ORDER BY score DESC, p.candidate_rank LIMIT 1) b
-  WHERE s.step < 5)"""
+  FROM lib CROSS JOIN ask LEFT JOIN bs USING (query_id, doc_id))"""
+
+
+def _portfolio_sql(k: int) -> str:
+    """Step by step over all pairs: score, a bonus for a new source, a penalty for common words, at most two cards of a source."""
+    out = ["st1 AS MATERIALIZED (SELECT query_id, doc_id, source_id, prim, score, 0::DOUBLE AS near, 0 AS used FROM sc)"]
+    near = JACCARD.format(a="x.w", b="y.w")
+    for step in range(1, k + 1):
+        out.append(f"pick{step} AS MATERIALIZED (SELECT * FROM (SELECT *, round(score + CASE WHEN used = 0 THEN 0.08 ELSE 0 END - 0.15 * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
+        if step < k:
+            out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, s.source_id, s.prim, s.score, greatest(s.near, {near}) AS near, s.used + (s.source_id = p.source_id)::INT AS used FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id JOIN ws x ON x.doc_id = s.doc_id JOIN ws y ON y.doc_id = p.doc_id WHERE s.used + (s.source_id = p.source_id)::INT < 2)")
+    union = " UNION ALL ".join(f"SELECT query_id, {step} AS step, doc_id, source_id, prim, gain FROM pick{step}" for step in range(1, k + 1))
+    return ", ".join([*out, f"sel AS ({union})"])
+
+
+PORTFOLIO_SQL = f"{CARD_SQL}, {_portfolio_sql(5)}"
 
 
-@query(f"WITH RECURSIVE {CARD_SQL} SELECT query_id, step::BIGINT AS rank, doc_id, source_id, round(score, 4) AS adjusted FROM sel WHERE step > 0")
+@query(f"WITH {PORTFOLIO_SQL} SELECT query_id, step::BIGINT AS rank, doc_id, source_id, round(gain, 4) AS adjusted FROM sel")
 def card_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = _library(spark, sf_dir)
     picks = retrieval.portfolio(retrieval.card_scores(library, _asked(spark, sf_dir)), library)
     return picks.select("query_id", "rank", "doc_id", "source_id", F.round("adjusted", 4).alias("adjusted"))
 
 
-@query(f"WITH RECURSIVE {CARD_SQL} SELECT query_id, count(*) AS n_selected, count(DISTINCT source_id) AS n_sources, string_agg(DISTINCT prim, ' | ' ORDER BY prim) AS labels FROM sel WHERE step > 0 GROUP BY query_id")
+@query(f"WITH {PORTFOLIO_SQL} SELECT query_id, count(*) AS n_selected, count(DISTINCT source_id) AS n_sources, string_agg(DISTINCT prim, ' | ' ORDER BY prim) AS labels FROM sel GROUP BY query_id")
 def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = _library(spark, sf_dir)
     return retrieval.report(retrieval.portfolio(retrieval.card_scores(library, _asked(spark, sf_dir)), library).drop("source_id"), library)

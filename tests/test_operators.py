@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -90,7 +91,90 @@ def test_empty_library_and_unknown_words(spark):
     empty = library(spark, [])
     queries = spark.createDataFrame([(1, "zz")], "query_id long, text string")
     assert index.basic(empty, queries).count() == 0
-    assert index.basic(library(spark, [(1, "a bb")]), queries).count() == 0
+    assert retrieval.ranked(index.with_zeros(index.basic(empty, queries), empty, queries, 3), 3).count() == 0
+    docs = library(spark, [(i, "a bb") for i in range(9)])
+    got = retrieval.ranked(index.with_zeros(index.basic(docs, queries), docs, queries, 3), 3).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
+def test_zeros_fill_the_places_that_are_left(spark):
+    docs = library(spark, [(1, "xx yy"), (2, "cc dd"), (3, "ee ff"), (4, "aa bb"), (5, "gg hh")])
+    queries = spark.createDataFrame([(1, "aa bb cc"), (2, None)], "query_id long, text string")
+    got = retrieval.ranked(index.with_zeros(index.tfidf(docs, queries), docs, queries, 4), 4, "tfidf").orderBy("query_id", "rank").collect()
+    assert [r["doc_id"] for r in got] == [4, 2, 1, 3, 1, 2, 3, 4]
+
+
+def plain_tfidf(texts):
+    """Unit vectors by word and word pair."""
+    import re
+    from collections import Counter
+
+    each = [Counter((w := re.findall(r"\b\w\w+\b", t.lower())) + [f"{a} {b}" for a, b in zip(w, w[1:])]) for t in texts]
+    df = Counter(g for c in each for g in c)
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+    unit = lambda c: {g: n * idf[g] / (math.sqrt(sum((m * idf[x]) ** 2 for x, m in c.items() if x in idf)) or 1) for g, n in c.items() if g in idf}
+    return [unit(c) for c in each], lambda t: unit(Counter((w := re.findall(r"\b\w\w+\b", t.lower())) + [f"{a} {b}" for a, b in zip(w, w[1:])]))
+
+
+def random_cards(spark, n):
+    pick = random.Random(5)
+    texts = [" ".join(pick.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=pick.randint(0, 12))) for _ in range(n)]
+    rows = [(i, t, pick.choice(["s1", "s2", None]), pick.choice(["p", "q"]), pick.choice([[], ["p"]]), pick.choice([[], ["alpha", "mu"]]), pick.random()) for i, t in enumerate(texts)]
+    asked = [(0, "alpha beta beta", "p"), (1, "zzz", "q"), (2, "kappa iota theta eta", None), (3, None, "q")]
+    return rows, asked, spark.createDataFrame(rows, "doc_id long, text string, source_id string, primary string, secondary array<string>, keywords array<string>, quality double"), spark.createDataFrame(asked, "query_id long, text string, label string")
+
+
+def test_whole_library_mmr_against_plain_loops(spark):
+    rows, asked, cards, queries = random_cards(spark, 40)
+    vectors, vector_of = plain_tfidf([r[1] for r in rows])
+    cosine = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
+    want = {}
+    for q, text_, _ in asked:
+        rel, chosen = [cosine(vector_of(text_ or ""), v) for v in vectors], []
+        while len(chosen) < 6:
+            gains = [(round(0.7 * rel[i] - 0.3 * max((cosine(vectors[i], vectors[j]) for j in chosen), default=0.0), 9), -i) for i in range(len(rows)) if i not in chosen]
+            chosen.append(-max(gains)[1])
+        want[q] = chosen
+    got = {}
+    for r in retrieval.retrieve("dense_mmr", cards, queries, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == want
+    given = spark.createDataFrame([(0, 7, 0.9), (0, 8, 0.5), (1, 3, 0.1)], "query_id long, doc_id long, similarity double")
+    first = {r["query_id"]: (r["doc_id"], r["breakdown"]) for r in retrieval.retrieve("dense_mmr", cards, queries, 1, semantic=given).collect()}
+    assert first[0] == (7, {"semantic_similarity": 0.9, "mmr_selected_rank": 1.0}) and (first[1][0], first[2][0]) == (3, 0)
+
+
+def test_portfolio_against_plain_loops(spark):
+    rows, asked, cards, queries = random_cards(spark, 60)
+    scores = {(r["query_id"], r["doc_id"]): r for r in retrieval.card_scores(cards, queries).collect()}
+    assert len(scores) == len(rows) * len(asked)
+    words = [set(r[1].split()) for r in rows]
+    want = {}
+    for q, _, _ in asked:
+        chosen, counts = [], {}
+        while len(chosen) < 5:
+            best = None
+            for i, row in enumerate(rows):
+                source = row[2] or "UNKNOWN"
+                if i in chosen or counts.get(source, 0) >= 2:
+                    continue
+                near = max((len(words[i] & words[j]) / max(1, len(words[i] | words[j])) for j in chosen), default=0.0)
+                adjusted = round(scores[q, i]["score"] + (0 if counts.get(source) else 0.08) - 0.15 * near, 9)
+                best = max(best or (-9, 0), (adjusted, -i))
+            chosen.append(-best[1])
+            source = rows[-best[1]][2] or "UNKNOWN"
+            counts[source] = counts.get(source, 0) + 1
+        want[q] = chosen
+    picks = retrieval.retrieve("card_aware", cards, queries, 5).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in picks:
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+        parts = r["breakdown"]
+        assert set(parts) == {*retrieval.WEIGHTS, "portfolio_adjusted_score"}
+        assert r["score"] == pytest.approx(sum(w * parts[n] for n, w in retrieval.WEIGHTS.items()))
+    assert got == want
+    with pytest.raises(ValueError):
+        retrieval.card_scores(cards, queries, {"primary_match": 1.0})
 
 
 def test_published_score_arithmetic():
