@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import generated_keywords, keyword_set, normalize_space, or_default, overlap, quote_in_passage, split_words, tokens
+from granary.functions.text import generated_keywords, keyword_set, normalize_space, or_default, overlap, split_words, tokens
+from granary.operators.layout import dealt
 
 
 def normalize_cards(cards: DataFrame) -> DataFrame:
@@ -36,14 +37,17 @@ def coverage(cards: DataFrame, label: str = "primary_label", source: str = "sour
 
 def pack_coverage(cards: DataFrame, examples: int = 3) -> DataFrame:
     """Coverage with the sorted source ids, the number of secondary links and the first ids as examples."""
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), F.col("card_id").cast("string").alias("id")))), lambda x: x["id"])
-    return cards.groupBy("primary_label").agg(
+    rank = F.row_number().over(Window.partitionBy("primary_label").orderBy("ord", "card_id"))
+    first = cards.select("primary_label", "ord", F.col("card_id").cast("string").alias("card_id")).withColumn("_rank", rank).filter(F.col("_rank") <= examples)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "card_id"))), lambda x: x["card_id"]), "; ")
+    first = first.groupBy(F.col("primary_label").alias("_label")).agg(shown.alias("example_card_ids"))
+    counts = cards.groupBy("primary_label").agg(
         F.count(F.lit(1)).alias("num_candidate_cards"),
         F.countDistinct("source_id").alias("num_sources"),
         F.array_join(F.array_sort(F.collect_set("source_id")), "; ").alias("source_ids"),
         F.sum(F.size("secondary_labels")).cast("long").alias("num_secondary_links"),
-        F.array_join(F.slice(in_order, 1, examples), "; ").alias("example_card_ids"),
     )
+    return counts.join(first, F.col("primary_label").eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def select_passages(passages: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -52,12 +56,12 @@ def select_passages(passages: DataFrame, labels: DataFrame, most: int) -> DataFr
     passages: passage_id, ord, text; labels: label, terms array (the stated set).
     """
     asked = labels.select("label", tokens(F.array_join("terms", " ")).alias("_wanted"))
-    held = passages.withColumn("_held", F.array_distinct(tokens("text")))  # words are made once per passage
-    scored = held.crossJoin(F.broadcast(asked)).withColumn("score", overlap(F.col("_wanted"), F.col("_held"))).drop("_wanted", "_held")
+    held = dealt(passages.select("passage_id", "ord", "text")).select("passage_id", "ord", F.array_distinct(tokens("text")).alias("_held"))  # words are made once per passage
+    scored = held.crossJoin(asked).select("label", "passage_id", "ord", overlap(F.col("_wanted"), F.col("_held")).alias("score"))
     by = Window.partitionBy("label")
-    scored = scored.withColumn("_top", F.max("score").over(by)).filter((F.col("score") > 0) | (F.col("_top") <= 0))
-    order = by.orderBy(F.round("score", 9).desc(), "ord")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).drop("_top")
+    best = scored.withColumn("rank", F.row_number().over(by.orderBy(F.round("score", 9).desc(), "ord")).cast("long")).filter(F.col("rank") <= most)
+    best = best.withColumn("_top", F.max("score").over(by)).filter((F.col("score") > 0) | (F.col("_top") <= 0)).drop("_top", "ord")  # of at most ``most`` rows a label
+    return passages.join(best, "passage_id")
 
 
 def first_accepted(passages: DataFrame, accepted: Column, n: int) -> DataFrame:
@@ -117,10 +121,6 @@ def assemble_cards(outputs: DataFrame) -> DataFrame:
     )
 
 
-def grounded(cards: DataFrame, quote: str = "source_quote", passage: str = "passage") -> Column:
-    return quote_in_passage(quote, passage)
-
-
 def missing_fields(required: dict[str, list[str]]) -> Column:
     """Names of fields whose columns (any of the alternates) are all blank."""
     return F.array_compact(F.array(*[F.when(F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns]).isNull(), F.lit(name)) for name, columns in required.items()]))

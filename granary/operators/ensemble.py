@@ -109,7 +109,3 @@ def best_epoch(metrics: DataFrame, score: str = "macro_f1") -> DataFrame:
     """Per run the epoch of the greatest score, the first of equal ones."""
     best = F.struct(F.col(score), -F.col("epoch"))
     return metrics.groupBy("run").agg(F.max_by("epoch", best).alias("epoch"), F.max(score).alias(score))
-
-
-def truncated(col_name: str, n: int) -> Column:
-    return F.slice(col_name, 1, n)

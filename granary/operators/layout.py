@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from granary.sources.paths import new_path
 
@@ -32,3 +33,21 @@ def discard(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         target = sc._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
+    """``rows`` with before (the sum of ``amount`` over the rows that stand earlier in their group) and total (over the group).
+
+    Rows are dealt by ranges of group and order, so a hot group lies in many
+    ranges; only one sum per range meets in a window.  Stores the dealt rows.
+    """
+    placed = stored(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "running")
+    earlier = (Window.unboundedPreceding, -1)
+    own = placed.withColumn("_own", F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(*earlier)), F.lit(0)))
+    sums = placed.groupBy(*by, "_part").agg(F.sum(amount).alias("_sum"))
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    offsets = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(*earlier)), F.lit(0)).alias("_offset"), F.sum("_sum").over(group).alias("total"))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(offsets, same).withColumn("before", F.col("_own") + F.col("_offset")).drop("_part", "_at", "_own", "_offset", *[f"_{c}" for c in by])

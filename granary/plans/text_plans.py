@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import nested, text
 from granary.operators import cards as card_ops
-from granary.operators import chunking, profile
+from granary.operators import chunking, profile, quotes
 from granary.plans.base import CARDS_SQL, TERMS, TERMS_SQL, cards, flat_sql, label_of, label_sql, query, table, term_sets, words_sql
 
 
@@ -78,16 +78,8 @@ WITH q AS (SELECT item_id, lower({flat_sql('text')}) AS q FROM benchmark), d AS
 j AS (SELECT item_id, doc_id FROM q JOIN d ON q <> '' AND p <> '' AND (contains(p, q) OR (len({words_sql('q')}) >= 5 AND contains(array_to_string({words_sql('p')}, ' '), array_to_string({words_sql('q')}, ' ')))))
 SELECT item_id, doc_id FROM j""")
 def quote_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark items are the stated query set, held against all documents; words are made once per row."""
-
-    def side(name: str, key: str, p: str) -> DataFrame:
-        flat = F.lower(text.normalize_space("text"))
-        rows = table(spark, sf_dir, name).select(F.col(key), flat.alias(f"{p}_flat"), text.tokens(flat).alias("w"))
-        return rows.select(key, f"{p}_flat", F.array_join("w", " ").alias(f"{p}_words"), F.size("w").alias(f"{p}_n"))
-
-    quotes, docs = side("benchmark", "item_id", "q"), side("documents", "doc_id", "p")
-    hit = F.contains("p_flat", F.col("q_flat")) | ((F.col("q_n") >= 5) & F.contains("p_words", F.col("q_words")))
-    return docs.join(quotes, (F.col("q_flat") != "") & (F.col("p_flat") != "") & hit).select("item_id", "doc_id")
+    """The benchmark items are the stated query set, held against all documents."""
+    return quotes.quote_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT c.doc_id, upper(regexp_replace(regexp_replace('Model 9b', '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' || source_id || '_' || replace(split_part(primary_label, ' ', 1), '.', '_') || '_' || doc_id) AS made_id, regexp_replace(regexp_replace(title, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(regexp_replace(upper(url), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS source_key FROM (WITH {CARDS_SQL} SELECT * FROM cards) c")
