@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import base, card_plans, profile_plans, retrieval_plans, stream_plans, text_plans, vote_plans  # noqa: F401  each registers its queries
+from granary.plans import base, card_plans, model_plans, profile_plans, retrieval_plans, source_plans, stream_plans, text_plans, vote_plans  # noqa: F401  each registers its queries
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import functools
 import json
+import operator
 from typing import Any
 
 import pandas as pd
@@ -15,11 +17,20 @@ from granary.functions.text import col
 
 
 def json_object(x: Column | str) -> Column:
-    """The text as a JSON object (VARIANT): whole, or from its first brace to its last; else null."""
+    """The text as a JSON object (VARIANT): whole, from its first brace to its last, or that ``repaired``; else null."""
     text = F.trim(col(x))
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    whole, part = F.try_parse_json(text), F.try_parse_json(F.nullif(inner, F.lit("")))
-    return F.coalesce(F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole), F.when(F.schema_of_variant(part).startswith("OBJECT"), part))
+    tries = [F.try_parse_json(t) for t in (text, F.nullif(inner, F.lit("")), repaired(text))]
+    return F.coalesce(*[F.when(F.schema_of_variant(t).startswith("OBJECT"), t) for t in tries])
+
+
+def repaired(text: Column) -> Column:
+    """What models often get wrong in an object: typographic quotes, Python's constants, commas before a closing bracket, a missing last brace."""
+    out = F.regexp_extract(F.translate(text, "\u201c\u201d", '""'), r"(?s)(\{.*)", 1)
+    out = F.when(F.contains(out, F.lit("}")) & ~F.rtrim(out).endswith('"'), F.regexp_extract(out, r"(?s)(.*\})", 1)).otherwise(F.concat(out, F.lit("}")))
+    for name, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        out = F.regexp_replace(out, rf"(?<=[:\[,])(\s*){name}(?=\s*[,}}\]])", f"$1{value}")
+    return F.nullif(F.regexp_replace(out, r",(\s*[}\]])", "$1"), F.lit("}"))
 
 
 def json_object_or(x: Column | str, fallback: Column) -> Column:
@@ -59,7 +70,7 @@ def _is_kind(kind: str, name: str, value: Column) -> Column:
 
 
 def schema_errors(x: Column | str, schema: dict[str, Any]) -> Column:
-    """Messages of a JSON text against a JSON schema: required, additionalProperties, type, enum, minLength and nested properties."""
+    """Messages of a JSON text against a JSON schema: required, additionalProperties, type, enum, minLength, nested properties, and type, enum and minLength of items."""
     text = col(x)
 
     def rules(at: str, rule: dict[str, Any]) -> list[Column]:
@@ -87,6 +98,18 @@ def schema_errors(x: Column | str, schema: dict[str, Any]) -> Column:
         if rule.get("additionalProperties") is False:
             extra = F.array_except(keys, F.array(*[F.lit(k) for k in rule.get("properties", {})]))
             found.append(F.when(is_object & (F.size(extra) > 0), F.concat(F.lit(f"{name}: unknown "), F.array_join(F.array_sort(extra), ", "))))
+        if items := rule.get("items"):
+            each = F.try_variant_get(doc, f"${at}", "array<variant>")
+            kinds = items.get("type", [])
+            bad_kind, told = F.lit(False), lambda v: F.try_variant_get(v, "$", "string")
+            if kinds := [kinds] if isinstance(kinds, str) else kinds:
+                fits = lambda v: [_is_kind(F.schema_of_variant(v), k, told(v).try_cast("double")) for k in kinds]
+                bad_kind = F.exists(each, lambda v: ~functools.reduce(operator.or_, fits(v)))
+            found.append(F.when(present & bad_kind, F.lit(f"{name}[]: type")))
+            if "enum" in items:
+                found.append(F.when(present & F.exists(each, lambda v: ~F.coalesce(told(v).isin([e for e in items["enum"] if e is not None]), F.lit(None in items["enum"]))), F.lit(f"{name}[]: enum")))
+            if "minLength" in items:
+                found.append(F.when(present & F.exists(each, lambda v: F.schema_of_variant(v).startswith("STRING") & (F.char_length(told(v)) < items["minLength"])), F.lit(f"{name}[]: minLength")))
         for key, inner in rule.get("properties", {}).items():
             found += rules(f"{at}.{key}", inner)
         return found

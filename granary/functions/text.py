@@ -139,6 +139,11 @@ def definition_of(alignment: Column | str) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), col(alignment))
 
 
+def with_prompt(x: Column | str, prompt: str = "") -> Column:
+    """What an embedding model is given: queries take a prompt before the text, documents none."""
+    return F.concat(F.lit(prompt), F.coalesce(col(x), F.lit("")))
+
+
 def strip_control(x: Column | str) -> Column:
     return F.regexp_replace(col(x), CONTROL, "")
 

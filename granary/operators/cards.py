@@ -22,6 +22,23 @@ def normalize_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumns({"status": or_default("status", "candidate"), **texts, "secondary_labels": F.coalesce("secondary_labels", F.array().cast("array<string>")), "keywords": keyword_set("keywords"), "source": source, "validation": validation})
 
 
+def source_metadata(source: Column) -> Column:
+    """A JSON source of any shape (VARIANT) as the fixed struct: trimmed texts, whole numbers for year and page or null, the file's stem as the title where there is none."""
+    text = lambda c: F.nullif(F.trim(F.try_variant_get(source, f"$.{c}", "string")), F.lit(""))
+    whole = lambda c: F.when(F.schema_of_variant(F.try_variant_get(source, f"$.{c}", "variant")).rlike("^(BIGINT|INT|SMALLINT|TINYINT)"), F.try_variant_get(source, f"$.{c}", "int"))
+    stem = F.regexp_replace(F.regexp_extract(text("file_name"), "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.struct(
+        F.coalesce(text("source_id"), F.lit("UNKNOWN")).alias("source_id"),
+        F.coalesce(text("title"), F.translate(stem, "_-", "  "), F.lit("")).alias("title"),
+        text("publisher").alias("publisher"),
+        whole("year").alias("year"),
+        whole("page").alias("page"),
+        text("section").alias("section"),
+        text("url").alias("url"),
+        text("file_name").alias("file_name"),
+    )
+
+
 def dedupe_cards(cards: DataFrame, keys: list[Column], order: Column | str = "ord", valid: Column | None = None) -> DataFrame:
     """The first card of each key; validity is judged afterwards, so an invalid first card hides later ones."""
     first = Window.partitionBy(*keys).orderBy(order)

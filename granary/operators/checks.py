@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.ensemble import refuse
@@ -75,3 +75,13 @@ def metric_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def clamp(position: int, n: int) -> int:
     return max(0, min(position, n - 1))
+
+
+def clamped(position: Column, n: int) -> Column:
+    """The same for a column."""
+    return F.greatest(F.lit(0), F.least(position, F.lit(n - 1)))
+
+
+def sorted_distinct(rows: DataFrame, column: str) -> DataFrame:
+    """The different values, sorted."""
+    return rows.select(column).distinct().orderBy(column)

@@ -76,8 +76,8 @@ def fallback_rate(voted: DataFrame) -> DataFrame:
 
 
 def prediction_frame(probs: DataFrame, labels: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """row_id, instance_id, text and probs with the first most likely label; wide probability columns on request."""
-    out = probs.withColumn("pred_id", argmax("probs")).withColumn("confidence", F.array_max("probs"))
+    """row_id, instance_id, text and probs with the first most likely label, its probability (as confidence and softmax_max_value); wide probability columns on request."""
+    out = probs.withColumn("pred_id", argmax("probs")).withColumn("confidence", F.array_max("probs")).withColumn("softmax_max_value", F.col("confidence"))
     out = out.join(F.broadcast(labels.select(F.col("label_id").alias("pred_id"), F.col("label").alias("label_pred"))), "pred_id")  # one row per label
     if names:
         out = out.select("*", *[F.col("probs")[i].alias(n) for i, n in enumerate(names)])
@@ -91,6 +91,12 @@ def annotate(corpus: DataFrame, predictions: DataFrame, task: str, key: str = "i
     return corpus.join(last, key, "left")
 
 
+def flat(annotated: DataFrame, *tasks: str) -> DataFrame:
+    """The structs of ``annotate`` as columns task_field, for flat files."""
+    fields = ("label_pred", "confidence", "used_fallback")
+    return annotated.select(*[c for c in annotated.columns if c not in tasks], *[F.col(f"{t}.{f}").alias(f"{t}_{f}") for t in tasks for f in fields])
+
+
 def exact_cover(corpus: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Inner join; the ids of both sides must be the same."""
     a, b = corpus.select(key).distinct().withColumn("_a", F.lit(1)), predictions.select(key).distinct().withColumn("_b", F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import col, join_list, split_list
+from granary.operators.layout import running
 
 
 def expert_sheet(cards: DataFrame) -> DataFrame:
@@ -78,6 +79,12 @@ def arranged(rows: DataFrame, preferred: list[str]) -> DataFrame:
     return rows.select(*[c for c in preferred if c in rows.columns], *sorted(c for c in rows.columns if c not in preferred))
 
 
+def in_card_order(rows: DataFrame, key: str = "card_id", order: str = "card_order") -> DataFrame:
+    """``rows`` with place (from 1) by ``order``, those without one last, then by key."""
+    placed = rows.withColumn("_o", F.coalesce(F.col(order).cast("double"), F.lit(1e9))).withColumn("_one", F.lit(1))
+    return running(placed, [], ["_o", key], "_one").withColumn("place", (F.col("before") + 1).cast("long")).drop("_o", "_one", "before", "total")
+
+
 def score_1_3(x: Column | str) -> Column:
     value = col(x).try_cast("double")
     return F.when(value.isin(1.0, 2.0, 3.0), value.cast("int"))

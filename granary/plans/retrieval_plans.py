@@ -67,7 +67,10 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", "rank", F.round("tfidf", 4).alias("score"))
 
 
-@query(f"WITH {BASIC_SQL}, {ALL_SQL.format(source='bs', score='score')} {_top('every', 'score', 5)}")
+BASIC_TOP_SQL = f"WITH {BASIC_SQL}, {ALL_SQL.format(source='bs', score='score')} {_top('every', 'score', 5)}"
+
+
+@query(BASIC_TOP_SQL)
 def basic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five documents for every query, those without a common word last."""
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
@@ -129,28 +132,31 @@ def _mmr_sql(k: int, own: float) -> str:
         "st1 AS MATERIALIZED (SELECT query_id, doc_id, tfidf AS rel, 0::DOUBLE AS near FROM every)",
     ]
     for step in range(1, k + 1):
-        out.append(f"pick{step} AS MATERIALIZED (SELECT query_id, doc_id, gain FROM (SELECT *, round({own} * rel - {round(1 - own, 9)} * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
+        out.append(f"pick{step} AS MATERIALIZED (SELECT query_id, doc_id, gain, rel FROM (SELECT *, round({own} * rel - {round(1 - own, 9)} * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
         if step < k:
             out.append(f"sim{step} AS MATERIALIZED (SELECT p.query_id, b.doc_id, sum(a.w * b.w) AS sim FROM pick{step} p JOIN unit a ON a.doc_id = p.doc_id JOIN unit b ON b.gram = a.gram GROUP BY ALL)")
-            out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, rel, greatest(near, coalesce(sim, 0)) AS near FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id LEFT JOIN sim{step} m ON m.query_id = s.query_id AND m.doc_id = s.doc_id)")
-    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {step}::BIGINT AS rank, doc_id, round(gain, 4) AS mmr_score FROM pick{step}" for step in range(1, k + 1))
+            out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, s.rel, greatest(near, coalesce(sim, 0)) AS near FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id LEFT JOIN sim{step} m ON m.query_id = s.query_id AND m.doc_id = s.doc_id)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {step}::BIGINT AS rank, doc_id, round(gain, 4) AS mmr_score, round(rel, 4) AS relevance FROM pick{step}" for step in range(1, k + 1))
+
 
+MMR_SQL = f"WITH {TFIDF_SQL}, {_mmr_sql(5, 0.7)}"
 
-@query(f"WITH {TFIDF_SQL}, {_mmr_sql(5, 0.7)}")
+
+@query(MMR_SQL)
 def card_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diverse cards of the whole library: TF-IDF cosines are both the relevance and the redundancy."""
     queries, library = _queries(spark, sf_dir), index.Tfidf(_docs(spark, sf_dir))
     picks = retrieval.lexical_mmr(library.scores(queries).withColumnRenamed("tfidf", "score"), queries, library, 5, 0.7)
-    return picks.select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"))
+    return picks.select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"), F.round("relevance", 4).alias("relevance"))
 
 
-def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = "validation"
     quality = retrieval.validation_quality(F.col(f"{v}.faithfulness"), F.col(f"{v}.edos_alignment"), F.col(f"{v}.usefulness"))
     return cards(spark, sf_dir).select("doc_id", F.col("source_quote").alias("text"), F.col("source.source_id").alias("source_id"), F.col("primary_label").alias("primary"), F.coalesce("secondary_labels", F.array().cast("array<string>")).alias("secondary"), "keywords", quality.alias("quality"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries(spark, sf_dir).withColumn("label", label_of(F.col("query_id")))
 
 
@@ -170,22 +176,25 @@ def _portfolio_sql(k: int) -> str:
         out.append(f"pick{step} AS MATERIALIZED (SELECT * FROM (SELECT *, round(score + CASE WHEN used = 0 THEN 0.08 ELSE 0 END - 0.15 * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
         if step < k:
             out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, s.source_id, s.prim, s.score, greatest(s.near, {near}) AS near, s.used + (s.source_id = p.source_id)::INT AS used FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id JOIN ws x ON x.doc_id = s.doc_id JOIN ws y ON y.doc_id = p.doc_id WHERE s.used + (s.source_id = p.source_id)::INT < 2)")
-    union = " UNION ALL ".join(f"SELECT query_id, {step} AS step, doc_id, source_id, prim, gain FROM pick{step}" for step in range(1, k + 1))
+    union = " UNION ALL ".join(f"SELECT query_id, {step} AS step, doc_id, source_id, prim, score, gain FROM pick{step}" for step in range(1, k + 1))
     return ", ".join([*out, f"sel AS ({union})"])
 
 
 PORTFOLIO_SQL = f"{CARD_SQL}, {_portfolio_sql(5)}"
 
 
+CARD_TOP_SQL = f"WITH {PORTFOLIO_SQL} SELECT query_id, step::BIGINT AS rank, doc_id, round(score, 4) AS score FROM sel"
+
+
 @query(f"WITH {PORTFOLIO_SQL} SELECT query_id, step::BIGINT AS rank, doc_id, source_id, round(gain, 4) AS adjusted FROM sel")
 def card_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = _library(spark, sf_dir)
-    picks = retrieval.portfolio(retrieval.card_scores(library, _asked(spark, sf_dir)), library)
+    library = library_cards(spark, sf_dir)
+    picks = retrieval.portfolio(retrieval.card_scores(library, asked(spark, sf_dir)), library)
     return picks.select("query_id", "rank", "doc_id", "source_id", F.round("adjusted", 4).alias("adjusted"))
 
 
 @query(f"WITH {PORTFOLIO_SQL} SELECT query_id, count(*) AS n_selected, count(DISTINCT source_id) AS n_sources, string_agg(DISTINCT prim, ' | ' ORDER BY prim) AS labels FROM sel GROUP BY query_id")
 def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = _library(spark, sf_dir)
-    return retrieval.report(retrieval.portfolio(retrieval.card_scores(library, _asked(spark, sf_dir)), library).drop("source_id"), library)
+    library = library_cards(spark, sf_dir)
+    return retrieval.report(retrieval.portfolio(retrieval.card_scores(library, asked(spark, sf_dir)), library).drop("source_id"), library)
 

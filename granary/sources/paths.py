@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+OLD = ".old"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
@@ -24,5 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def resolved(path: str, root: str) -> str:
+    """A path as it is if it is absolute or has a scheme, else under ``root``."""
+    return path if path.startswith("/") or "://" in path else f"{root.rstrip('/')}/{path}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/granary-{label}-{uuid.uuid4().hex}"

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.text import source_id, title_of, year_of
+from granary.functions.text import label_text, source_id, title_of, year_of
 from granary.operators.ensemble import refuse
-from granary.operators.splits import require
+from granary.operators.layout import running
+from granary.operators.splits import require, with_label_ids
+from granary.sources.paths import OLD
 
 CARD_SCHEMA = (
     "card_id string, status string, source struct<source_id:string,title:string,publisher:string,year:int,page:int,section:string,url:string,file_name:string>, "
@@ -26,10 +28,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Rows of JSON lines; blank lines are skipped.  A missing file is empty, or an error if strict, as is a bad line."""
-    if not strict and not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """Rows of JSON lines; blank lines are skipped.  A missing file is empty, or an error if strict, as is a bad line, which is named by file and line."""
+    if not strict:
+        return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    refuse_bad_lines(spark, path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def refuse_bad_lines(spark: SparkSession, path: str) -> None:
+    """Raise if a line is no JSON object.  Only files with such lines are read again as a whole, to number their lines."""
+    bad = (F.length(F.trim("value")) > 0) & ~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    found = spark.read.text(path).filter(bad).select(F.col("_metadata.file_path").alias("file")).limit(1).collect()
+    if found:
+        first = numbered_lines(spark, found[0]["file"]).filter(bad).agg(F.min("line").alias("line")).head()["line"]
+        raise ValueError(f"{found[0]['file']}, line {first + 1}: no JSON object")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows``, as read from files, with ord: their place (from 1) by file name and place in the file."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"), F.lit(1).alias("_one"))
+    return running(placed, [], ["_file", "_block", "_place"], "_one").withColumn("ord", (F.col("before") + 1).cast("long")).drop("_file", "_block", "_place", "_one", "before", "total")
 
 
 def jsonl_from_text(spark: SparkSession, content: str, schema: str) -> DataFrame:
@@ -55,12 +73,12 @@ def json_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def keyed_json(spark: SparkSession, path: str, value: str, id_col: str = "instance_id") -> DataFrame:
-    """An object of objects: the key becomes the id; values that are no objects are skipped."""
+def keyed_json(spark: SparkSession, path: str, value: str, id_col: str = "instance_id", place: str | None = None) -> DataFrame:
+    """An object of objects: the key becomes the id; values that are no objects are skipped.  ``place``: a column of the object's number (from 0) in the file."""
     whole = spark.read.text(path, wholetext=True)
-    pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias(id_col, "_item"))
-    rows = pairs.filter(F.substring(F.trim("_item"), 1, 1) == "{")
-    return rows.select(id_col, F.from_json("_item", value).alias("_r")).select(id_col, "_r.*")
+    items = F.filter(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.substring(F.trim(e["value"]), 1, 1) == "{")
+    rows = whole.select(F.posexplode(items).alias("_at", "_e")).select("_at", F.col("_e.key").alias(id_col), F.from_json("_e.value", value).alias("_r"))
+    return rows.select(*([F.col("_at").cast("long").alias(place)] if place else []), id_col, "_r.*")
 
 
 def json_list(spark: SparkSession, path: str, value: str, id_col: str = "instance_id") -> DataFrame:
@@ -101,25 +119,36 @@ def csv_with_ids(spark: SparkSession, path: str, optional: tuple[str, ...] = ("t
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """An annotation sheet as text, null as empty text; a missing sheet has no rows."""
-    if not exists(spark, path):
+    """An annotation sheet as text, null as empty text; a missing sheet has no rows.  Where a writer stopped between its two renames, the old sheet is still there."""
+    found = next((p for p in (path, path + OLD) if exists(spark, p)), None)
+    if found is None:
         return spark.createDataFrame([], "card_id string")
-    return csv(spark, path, "card_id").na.fill("")
+    return csv(spark, found, "card_id").na.fill("")
 
 
 def strict_corpus(spark: SparkSession, path: str, field: str = "HATE_SPEECH") -> DataFrame:
-    """row_id, instance_id, text of a keyed corpus; a blank text is an error."""
-    rows = keyed_json(spark, path, f"`{field}` string").select("instance_id", F.col(field).alias("text"))
+    """row_id (the place in the file), instance_id, text of a keyed corpus; a blank text is an error."""
+    rows = keyed_json(spark, path, f"`{field}` string", place="row_id").select("row_id", "instance_id", F.col(field).alias("text"))
     refuse(rows.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).select("instance_id"), "blank text")
-    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("instance_id")) - 1)
+    return rows
+
+
+def augmentation(spark: SparkSession, path: str, taxonomy: DataFrame, task: str = "c") -> DataFrame:
+    """text, label, ord of made-up training rows; task b takes the label's parent.  Labels outside the taxonomy raise."""
+    rows = in_order(csv(spark, path, "generated_text", "label_vector")).select(F.col("generated_text").alias("text"), label_text("label_vector").alias("label"), "ord")
+    told = with_label_ids(rows, taxonomy)
+    return told.select("text", (F.col("parent") if task == "b" else F.col("label")).alias("label"), "ord")
 
 
 def cards(spark: SparkSession, paths: dict[str, str], schema: str = CARD_SCHEMA) -> DataFrame:
-    """Cards of several models with model and file; an id must be there and be unique over all."""
+    """Cards of several models with model, card_order (the place, from 1, over all files in the order given) and n_cards; an id must be there and be unique over all."""
     rows = None
-    for model, path in paths.items():
-        part = jsonl(spark, path, schema, strict=True).withColumn("model", F.lit(model))
+    for number, (model, path) in enumerate(paths.items()):
+        part = jsonl(spark, path, schema, strict=True)
+        part = part.select("*", F.lit(model).alias("model"), F.lit(number).alias("_number"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"), F.lit(1).alias("_one"))
         rows = part if rows is None else rows.unionByName(part)
+    rows = running(rows, [], ["_number", "_file", "_block", "_place"], "_one")
+    rows = rows.withColumn("card_order", (F.col("before") + 1).cast("long")).withColumn("n_cards", F.col("total").cast("long")).drop("_number", "_file", "_block", "_place", "_one", "before", "total")
     refuse(rows.filter(F.coalesce(F.trim("card_id"), F.lit("")) == "").select("model"), "cards without id")
     refuse(rows.groupBy("card_id").count().filter("count > 1"), "repeated card ids")
     return rows
