@@ -9,7 +9,8 @@ Scoring takes the model in shards of at most ``shard_entries`` entries: whole
 languages while they fit, else ranges of the byte before the predicted one
 (grams, their suffixes and their contexts fall into one shard).  A document
 passes only the shards of its language, its partial sums are added up, and no
-text is shuffled.
+text is shuffled.  Shards are sent one after another: a pass writes its sums, then its
+shard is taken from the driver and the executors, so neither holds more than one.
 
 A document is rejected if the log perplexity per byte exceeds the threshold of
 its language: the ``quantile`` of its trusted documents plus ``slack`` times the
@@ -20,7 +21,9 @@ bound over the trusted documents of such lengths.
 
 Defined cases: null text is empty; empty texts, and texts of a language without
 trusted text (or, if short, without short trusted text), are kept without a threshold; null language is a language of its
-own; repeated rows are scored alike; without trusted rows all is kept.
+own; repeated rows are scored alike; without trusted rows all is kept; very long
+texts are counted and scored in runs; extra columns are not read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import LONG, release, sliced, texts_of, written
+from granary.llm.common import LONG, discard, release, sliced, texts_of, written
 
 ORDER = 5
 NO_LANG = ""
@@ -90,6 +93,7 @@ def mask(k: int) -> int:
 def fit(trusted: DataFrame) -> DataFrame:
     """The model: k (order), lang, g, p (of a seen gram) or w (back-off weight of a context, under the order it serves)."""
     levels = {ORDER: written(counted(trusted), "kn-counts")}
+    made = [levels[ORDER]]
     for k in range(ORDER - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy("lang", F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count(F.lit(1)).alias("c"))
     lower: DataFrame | None = None
@@ -114,6 +118,7 @@ def fit(trusted: DataFrame) -> DataFrame:
         if lower is not None:
             seen = seen.join(lower, ["lang", "suffix"])
         probs = written(seen.select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("w") * below).alias("p")), "kn-probs")
+        made.append(probs)
         weights = context.select("lang", F.col("ctx").alias("g"), "w")
         parts.append(probs.select(F.lit(k).alias("k"), "lang", "g", "p", F.lit(None).cast("double").alias("w")))
         parts.append(weights.select(F.lit(k).alias("k"), "lang", "g", F.lit(None).cast("double").alias("p"), "w"))
@@ -123,7 +128,10 @@ def fit(trusted: DataFrame) -> DataFrame:
         out = out.unionByName(p)
     # the byte before the predicted one: last of a context, last but one of a gram; the lowest order serves all
     before = F.when(F.col("k") == 1, F.lit(-1).cast("long")).when(F.col("p").isNull(), F.col("g").bitwiseAND(255)).otherwise(F.shiftright("g", 8).bitwiseAND(255))
-    return written(out.withColumn("before", before), "kn-model")
+    model = written(out.withColumn("before", before), "kn-model")
+    for table in made:
+        discard(table)
+    return model
 
 
 class Shard:
@@ -230,6 +238,8 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t) for t in texts], pa.int64()), pa.array(total)], ["id", "lang", "digest", "n_bytes", "log_prob"])
 
         part = docs.filter(F.col("lang").isin(list(held))).select("id", "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, schema)
+        part = written(part, "kn-part")
+        sent.destroy()  # nothing reads it again: the pass is written
         (whole if all(b is None for b in held.values()) else split).append(part)
     without = docs.filter(~F.col("lang").isin([lang for held in plan for lang in held]))
     found = without.select("id", "lang", F.xxhash64("text").alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_prob"))
@@ -279,6 +289,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     model = fit(rows.join(ids.hint("merge"), "id", "left_semi"))
     scored = score(rows, model, shard_entries).withColumn("log_ppl", -F.col("log_prob") / F.greatest(F.lit(1), F.col("n_bytes")))
     judged = written(scored.join(ids.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
+    discard(model)
     told = judged.join(F.broadcast(thresholds(judged, quantile, slack, min_bytes)), "lang", "left")
     bound = F.when(F.col("n_bytes") >= min_bytes, F.col("threshold")).when(F.col("n_bytes") > 0, F.col("median") + F.col("short") / F.sqrt("n_bytes"))
     told = told.withColumn("threshold", bound).drop("median", "short")
