@@ -7,11 +7,14 @@ at least one piece unchanged.  All pieces are found in one pass (Aho-Corasick),
 and each place is verified with Myers' bit-parallel edit distance.
 
 Items are taken in blocks of about ``block_items``, so no step holds an
-unbounded benchmark; every block sees every document.
+unbounded benchmark; every block sees every document.  A block is sent once to each
+executor, and a worker builds its automaton once.
 
 Defined cases: null text is empty; items without word characters match
 nothing; short items have budget 0 and must occur as whole words; repeated
-items and repeated documents give a row each.
+items and repeated documents give a row each; very long texts are normalised in
+pieces; extra columns are not read or, by ``clean``, passed on as they are; empty tables
+give no rows, and an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -114,6 +117,11 @@ def matcher(items: tuple[str, ...], rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
+def sent_block(docs: DataFrame, texts: tuple[str, ...], ids: list[list]):
+    """A block as a broadcast: about block_items items."""
+    return docs.sparkSession.sparkContext.broadcast((texts, ids))
+
+
 def blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[tuple[tuple[str, ...], list[list]]]:
     """Normalised texts and their ids, block by block."""
     rows = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -136,7 +144,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_it
     out = docs.sparkSession.createDataFrame([], schema)
     for texts, ids in blocks(items, item_col, item_text_col, block_items):
 
-        def search(batches: Iterator[pa.RecordBatch], texts=texts, ids=ids) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent_block(docs, texts, ids)) -> Iterator[pa.RecordBatch]:
+            texts, ids = sent.value
             found = matcher(texts, rate)
             for batch in sliced(batches):
                 hits = [(doc, item, *m[1:]) for doc, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True) for m in found.matches(normalise(t)) for item in ids[m[0]]]
@@ -153,8 +162,8 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_items: in
     place, schema = docs.columns.index(text_col), docs.schema
     for texts, _ in blocks(items, item_col, item_text_col, block_items):
 
-        def sift(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
-            found = matcher(texts, rate)
+        def sift(batches: Iterator[pa.RecordBatch], sent=sent_block(docs, texts, [])) -> Iterator[pa.RecordBatch]:
+            found = matcher(sent.value[0], rate)
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not found.matches(normalise(t or "")) for t in batch.column(place).to_pylist()]))
 
