@@ -77,16 +77,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     are deleted.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.xxhash64("text")
+    digest = suffix_dedup.text_key(F.col("text"))
     rank = F.struct("doc_id", "source", "lang")
-    firsts = docs.groupBy(digest.alias("digest"), F.octet_length("text").alias("size")).agg(F.min(rank).alias("first"))
+    # written first, so that the join with a text of very many copies can be split
+    firsts = written(docs.groupBy(digest.alias("digest")).agg(F.min(rank).alias("first")), "token-counts-firsts")
     multi = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    one = token_rollups.with_counts(docs.withColumn("digest", digest).withColumn("size", F.octet_length("text")), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    one = token_rollups.with_counts(docs.withColumn("digest", digest), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
     one = written(one, "token-counts-one")
     both = docs.withColumn("squeezed", F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " ")))
     plain = token_rollups.with_counts(both, multi, public_tokenizers.PATTERN, "old_tokens")
     two = written(token_rollups.with_counts(plain, multi, public_tokenizers.PATTERN, "n_tokens", "squeezed"), "token-counts-two")
-    copies = one.join(firsts, ["digest", "size"]).filter(rank != F.col("first"))
+    copies = one.join(firsts, "digest").filter(rank != F.col("first"))
     rollup = token_rollups.Rollup(spark, new_path(spark, "rollup"))
     batches = {
         "1-insert": one.select(F.lit(token_rollups.INSERT).alias("op"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "n_tokens", F.lit(None).cast("long").alias("old_tokens")),
