@@ -9,12 +9,15 @@ penalised log-likelihood (half the logarithm of the gram count per language).
 The prediction is the language of the largest proportion, its score that
 proportion.
 
-The learnt table has BUCKETS entries per language; at most ``most_languages``
-languages are allowed, so it may be sent to every task.
+The learnt table has BUCKETS entries of four bytes per language (a quarter of a
+MB); at most ``most_languages`` are allowed, 128 MB, so it may be sent to every
+task.  The driver fetches its counts for a few languages at a time.
 
 Defined cases: null text or text without a letter is ``und`` with score 0;
 rows without a language do not train; ties go to the first language in
-alphabetical order; an empty training table predicts ``und``.
+alphabetical order; an empty training table predicts ``und``; repeated rows are
+predicted alike; very long texts are counted in pieces; extra columns are not
+read, and kept ones must not be named like a result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LONG, cut_at_spaces, sliced
+from granary.llm.common import LONG, cut_at_spaces, discard, sliced, written
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -63,7 +66,7 @@ def letter_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[by], np.searchsorted(owner[by], np.arange(len(texts) + 1))
 
 
-def learn(training: DataFrame, most_languages: int = 2000) -> tuple[list[str], np.ndarray]:
+def learn(training: DataFrame, most_languages: int = 512) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order, and the log-likelihood of each bucket in each (BUCKETS x languages)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,16 +82,20 @@ def learn(training: DataFrame, most_languages: int = 2000) -> tuple[list[str], n
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["lang", "bucket", "n"])
 
     counted = training.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, "lang string, bucket int, n long")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows per language
-    langs = sorted(set(pc.unique(rows.column("lang")).to_pylist()))
+    totals = written(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    langs = sorted(r["lang"] for r in totals.select("lang").distinct().limit(most_languages + 1).collect())
     if len(langs) > most_languages:
-        raise ValueError(f"{len(langs)} languages; at most {most_languages} are allowed")
-    if not langs:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    place = np.searchsorted(np.array(langs), np.array(rows.column("lang").to_pylist()))
-    table = np.full((BUCKETS, len(langs)), SMOOTHING)
-    np.add.at(table, (rows.column("bucket").to_numpy(), place), rows.column("n").to_numpy())
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+        raise ValueError(f"more than {most_languages} languages")
+    table = np.zeros((BUCKETS, len(langs)), np.float32)
+    for k in range(0, len(langs), 16):
+        own = langs[k : k + 16]
+        rows = totals.filter(F.col("lang").isin(own)).toArrow()  # at most 16 times BUCKETS rows
+        place = pc.index_in(rows.column("lang"), value_set=pa.array(own, pa.string())).to_numpy()
+        counts = np.full((BUCKETS, len(own)), SMOOTHING)
+        np.add.at(counts, (rows.column("bucket").to_numpy(), place), rows.column("n").to_numpy())
+        table[:, k : k + 16] = np.log(counts / counts.sum(axis=0))
+    discard(totals)
+    return langs, table
 
 
 def proportions(counts: np.ndarray, logs: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -128,6 +135,8 @@ def infer(distinct: np.ndarray, counts: np.ndarray, table: np.ndarray, rounds: i
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns ``keep``, lang_pred, score, and mixture: map of language to proportion."""
     langs, table = model
+    if clash := {id_col, *keep} & {"lang_pred", "score", "mixture"}:
+        raise ValueError(f"the result has columns of its own named {sorted(clash)}")
     rows = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(table)
     names = [f.name for f in rows.schema.fields[:-1]]
