@@ -14,8 +14,11 @@ falls on the text of each assistant turn in the window where it is new.
 
 Defined cases: null role or text is empty; a null conversation id is a
 conversation; turns are ordered by (turn, role, text), nulls first, so ties and
-repeated rows are kept in a fixed order; an empty table gives no windows.
-A conversation is one output unit, so its turns meet in one row.
+repeated rows are kept in a fixed order; an empty table gives no windows; very long
+texts are windows of their own; extra columns are not read, whatever their names.
+A conversation is one output unit, so its turns meet in one row; a window looks at
+its own turns and at the few before it that ``history`` can hold, so the work is
+in proportion to the turns.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
+MARKS = 10  # tokens of the marks alone, the fewest that a turn has
 
 
 def escape(text: Column) -> Column:
@@ -59,26 +63,33 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, con
     opens = (F.col("pos") > 1) & ~F.lag("system").over(conv) & (F.col("key") != F.lag("key").over(conv))
     rows = rows.withColumn("window", F.sum(F.coalesce(opens, F.lit(False)).cast("long")).over(so_far))
 
+    rows = rows.withColumn("opens", F.when((F.col("pos") == 1) | F.coalesce(opens, F.lit(False)), F.struct("pos", "window")))
     packed = rows.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "window", "system", "tokens", "prefix", (F.col("role") == "assistant").alias("loss"), F.char_length("head").alias("head"), F.char_length("body").alias("body"), "formatted"))).alias("all"),
-        F.max("window").alias("last"),
+        F.array_sort(F.collect_list("opens")).alias("firsts"),
         F.max("system_tokens").alias("system_tokens"),
     )
 
-    def lay_out(w: Column) -> Column:
-        new = F.filter("all", lambda t: t["window"] == w)
+    ends = F.concat(F.transform(F.slice("firsts", 2, F.size("firsts")), lambda f: f["pos"]), F.array(F.size("all") + 1))
+    spans = F.zip_with("firsts", ends, lambda f, end: F.struct(f["window"].alias("window"), f["pos"].alias("pos"), (end - f["pos"]).alias("n")))
+
+    def lay_out(span: Column) -> Column:
+        new = F.slice("all", span["pos"], span["n"])
         fresh = F.filter(new, lambda t: ~t["system"])
         used = F.aggregate(fresh, F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
         room = F.greatest(F.lit(0).cast("long"), F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("system_tokens") - used))
         began = fresh[0]["prefix"] - fresh[0]["tokens"]
-        before = F.filter("all", lambda t: (t["window"] < w) & (t["system"] | (t["prefix"] - t["tokens"] >= began - room)))
+        reach = F.least(span["pos"] - 1, F.lit(history // MARKS + 1))
+        near = F.filter(F.slice("all", span["pos"] - reach, reach), lambda t: ~t["system"] & (t["prefix"] - t["tokens"] >= began - room))
+        head = F.filter(F.slice("all", 1, F.least(span["pos"] - 1, F.lit(1))), lambda t: t["system"])
+        before = F.concat(head, near)
         return F.concat(F.transform(before, lambda t: t.withField("loss", F.lit(False)).withField("pos", F.lit(0))), new)
 
     def placed(items: Column) -> Column:
         starts = F.transform(items, lambda t, i: F.aggregate(F.slice(items, F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x["formatted"])))
         return F.transform(items, lambda t, i: F.struct(starts[i].alias("start"), F.char_length(t["formatted"]).alias("length"), (starts[i] + t["head"]).alias("body_start"), t["body"].alias("body_length"), (t["pos"] == 0).alias("repeated"), t["loss"].alias("target")))
 
-    windows = packed.select("conv_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda w: F.struct(w.alias("window"), lay_out(w).alias("items")))).alias("w"))
+    windows = packed.select("conv_id", F.explode(F.transform(spans, lambda s: F.struct(s["window"].alias("window"), lay_out(s).alias("items")))).alias("w"))
     windows = windows.select("conv_id", F.col("w.window").alias("window"), F.col("w.items").alias("items"))
     return windows.select("conv_id", "window", F.array_join(F.transform("items", lambda t: t["formatted"]), "").alias("text"), placed(F.col("items")).alias("turns"))
 
