@@ -87,15 +87,19 @@ def first_accepted(passages: DataFrame, accepted: Column, n: int) -> DataFrame:
     return passages.filter(accepted).withColumn("accepted_rank", F.row_number().over(order).cast("long")).filter(F.col("accepted_rank") <= n)
 
 
+def mock_id(label: str, number: str) -> Column:
+    safe = F.replace(F.replace(F.replace(F.replace(label, F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_")), F.lit("&"), F.lit("and")), F.lit("."), F.lit("_"))
+    return F.concat(F.lit("MOCK_"), safe, F.format_string("_%03d", F.col(number)))
+
+
 def mock_cards(passages: DataFrame, definition: Column) -> DataFrame:
     """A card per selected passage without a model: the first 28 words as its quote.
 
     The wording of id, claim and alignment is a fixed value.
     """
-    safe = F.replace(F.replace(F.replace(F.replace("label", F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_")), F.lit("&"), F.lit("and")), F.lit("."), F.lit("_"))
     words = F.split(F.translate("label", "&.", "  "), " +")
     return passages.select(
-        F.concat(F.lit("MOCK_"), safe, F.format_string("_%03d", F.col("rank"))).alias("card_id"),
+        mock_id("label", "rank").alias("card_id"),
         F.lit("candidate").alias("status"),
         "passage_id",
         F.array_join(F.slice(split_words("text"), 1, 28), " ").alias("source_quote"),

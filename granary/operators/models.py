@@ -115,6 +115,30 @@ def echo_generator(fields: tuple[str, ...] = ("reasoning", "argument")) -> Calla
     return factory
 
 
+def http_generator(url: str, model: str, temperature: float = 0.0, timeout: float = 120.0, schema: dict | None = None, **options) -> Callable[[], Generate]:
+    """A chat service over HTTP that answers in JSON, or by a JSON schema; ``generate`` tries again where a call fails."""
+
+    def factory() -> Generate:
+        import urllib.request
+
+        def ask(prompt: str) -> str:
+            body = {"model": model, "stream": False, "format": schema or "json", "messages": [{"role": "user", "content": prompt}], "options": {"temperature": temperature, **options}}
+            request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return json.loads(answer.read())["message"]["content"]
+
+        return lambda prompts: [ask(p) for p in prompts]
+
+    return factory
+
+
+def generator(spec: dict) -> Callable[[], Generate]:
+    """The model of a specification: an HTTP service where it names a url, else the stand-in."""
+    if spec.get("url"):
+        return http_generator(spec["url"], spec.get("model_id", spec["alias"]), spec.get("temperature", 0.0), spec.get("timeout", 120.0), spec.get("schema"))
+    return echo_generator(tuple(spec.get("fields", ("reasoning", "argument"))))
+
+
 def linear_classifier(train: DataFrame, text: str = "text", label: str = "label_id", weight: str | None = None, features: int = 1 << 14):
     """A weighted logistic regression over hashed words, the built-in stand-in for a trained classifier."""
     from pyspark.ml import Pipeline

@@ -154,6 +154,21 @@ def cards(spark: SparkSession, paths: dict[str, str], schema: str = CARD_SCHEMA)
     return rows
 
 
+#: Published names of card fields, and the library's.
+PUBLISHED = {"primary_edos_label": "primary_label", "secondary_edos_labels": "secondary_labels", "retrieval_keywords": "keywords"}
+
+
+def card_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Cards of JSON lines under the published or the library's names, with ord (the place over all files)."""
+    if not strict and not exists(spark, path):
+        return spark.createDataFrame([], CARD_SCHEMA + ", ord long")
+    if strict:
+        refuse_bad_lines(spark, path)
+    kinds = {"primary_edos_label": "string", "secondary_edos_labels": "array<string>", "retrieval_keywords": "array<string>"}
+    rows = in_order(spark.read.schema(CARD_SCHEMA + "".join(f", {c} {t}" for c, t in kinds.items())).json(path))
+    return rows.withColumns({own: F.coalesce(own, c) for c, own in PUBLISHED.items()}).drop(*PUBLISHED)
+
+
 def single_card(spark: SparkSession, path: str, schema: str = CARD_SCHEMA) -> DataFrame:
     """One card: an object, or a list of just one."""
     rows = json_document(spark, path, schema)

@@ -15,6 +15,13 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def card_lines(df: DataFrame, path: str) -> None:
+    """Cards as JSON lines under the published names."""
+    from granary.sources.readers import PUBLISHED
+
+    jsonl(df.select(*[F.col(c).alias(next((p for p, own in PUBLISHED.items() if own == c), c)) for c in df.columns]), path)
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

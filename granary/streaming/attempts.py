@@ -28,10 +28,14 @@ def all_attempted(planned: DataFrame, log: DataFrame, *keys: str) -> bool:
     return remaining(planned, log, *keys).isEmpty()
 
 
-def counters(log: DataFrame, *by: str) -> DataFrame:
-    """accepted, rejected, errors and attempts."""
+def counters(log: DataFrame, *by: str, planned: DataFrame | None = None, before: DataFrame | None = None, keys: tuple[str, ...] = ("label", "chunk_id")) -> DataFrame:
+    """accepted, rejected, errors and attempts; with ``planned`` also skipped: planned work that the log had before."""
     kinds = {"accepted": "accepted", "rejected": "rejected", "errors": "error"}
-    return log.groupBy(*by).agg(*[F.count_if(F.col("status") == v).alias(k) for k, v in kinds.items()], F.count(F.lit(1)).alias("attempts"))
+    counts = log.groupBy(*by).agg(*[F.count_if(F.col("status") == v).alias(k) for k, v in kinds.items()], F.count(F.lit(1)).alias("attempts"))
+    if planned is None or before is None:
+        return counts
+    skipped = planned.join(before.select(*by, *keys).distinct(), [*by, *keys], "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("skipped"))
+    return counts.join(skipped, list(by), "full").na.fill(0)
 
 
 def may_resume(stored: str | None, now: str) -> bool:
