@@ -36,7 +36,8 @@ def vote(rows: DataFrame, voters: list[str], fallback: str) -> DataFrame:
 
     Every frame is a struct of pred_id and probs.  Adds pred_id, used_fallback,
     top_vote_count, confidence (mean base probability of the winner, or the
-    fallback's probability of its own label), confidence_kind and vote_counts.
+    fallback's probability of its own label), confidence_kind and vote_counts (a
+    JSON object by label).
     """
     preds = F.array(*[F.col(f"{v}.pred_id") for v in voters])
     tally = F.array_sort(F.transform(F.array_distinct(F.col("_votes")), lambda p: F.struct((-F.size(F.filter(F.col("_votes"), lambda q: q == p))).alias("n"), p.alias("label"))))
@@ -49,7 +50,7 @@ def vote(rows: DataFrame, voters: list[str], fallback: str) -> DataFrame:
     confidence = F.when(F.col("used_fallback"), F.col(f"{fallback}.probs")[F.col("pred_id")]).otherwise(mean)
     kind = F.when(F.col("used_fallback"), "fallback_probability").otherwise("mean_base_probability")
     counts = F.array_sort(F.transform("_tally", lambda t: F.struct(t["label"].alias("label"), (-t["n"]).alias("n"))))
-    return out.withColumn("confidence", confidence).withColumn("confidence_kind", kind).withColumn("vote_counts", F.array_join(F.transform(counts, lambda t: F.concat_ws(":", t["label"], t["n"])), ",")).drop("_votes", "_tally")
+    return out.withColumn("confidence", confidence).withColumn("confidence_kind", kind).withColumn("vote_counts", F.to_json(F.map_from_entries(counts))).drop("_votes", "_tally")
 
 
 def vote_generic(rows: DataFrame, voters: list[str], fallback: str) -> DataFrame:

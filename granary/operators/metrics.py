@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.ensemble import refuse
+
 
 def confusion(rows: DataFrame, labels: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """gold, pred, n over the whole grid of labels (the stated set), zeros included."""
@@ -41,8 +43,10 @@ def averages(report: DataFrame) -> DataFrame:
     return macro.unionByName(weighted)
 
 
-def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """label, n, weight = rows / (classes * n)."""
+def class_weights(rows: DataFrame, label: str, labels: DataFrame | None = None) -> DataFrame:
+    """label, n, weight = rows / (classes * n).  With ``labels``, one that has no row raises."""
+    if labels is not None:
+        refuse(missing_classes(rows, labels, label), "classes without a row")
     counts = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     whole = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     return counts.crossJoin(F.broadcast(whole)).select("label", "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))

@@ -198,3 +198,9 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = library_cards(spark, sf_dir)
     return retrieval.report(retrieval.portfolio(retrieval.card_scores(library, asked(spark, sf_dir)), library).drop("source_id"), library)
 
+
+
+@query(f"WITH {PORTFOLIO_SQL} SELECT count(DISTINCT query_id) AS n_queries, count(*)::BIGINT AS n_selected FROM sel")
+def retrieval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries were given how many cards."""
+    return retrieval.totals(retrieval_report(spark, sf_dir))

@@ -19,7 +19,7 @@ def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOTES_SQL = f"""
 v AS (SELECT doc_id, unnest([{', '.join(f'(doc_id // {s}) % 4' for s in VOTERS.values())}]) AS label FROM documents),
 c AS (SELECT doc_id, label, count(*) AS n FROM v GROUP BY ALL),
-t AS (SELECT doc_id, max(n) AS top, string_agg(label || ':' || n, ',' ORDER BY label) AS vote_counts FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, max(n) AS top, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' AS vote_counts FROM c GROUP BY doc_id),
 l AS (SELECT doc_id, any_value(top) AS top, any_value(vote_counts) AS vote_counts, count(*) > 1 AS used_fallback, min(label) AS leader FROM c JOIN t USING (doc_id) WHERE n = top GROUP BY doc_id),
 voted AS (SELECT doc_id, CASE WHEN used_fallback THEN (doc_id // {FALLBACK[1]}) % 4 ELSE leader END AS pred_id, used_fallback, top AS top_vote_count, vote_counts FROM l)"""
 MEAN_SQL = "(" + " + ".join(prob_sql(s, "pred_id") for s in VOTERS.values()) + f") / {len(VOTERS)}.0"

@@ -253,6 +253,8 @@ def test_metrics_corner_cases(spark):
     assert metrics.averages(metrics.class_report(rows)).count() == 2
     labels = spark.createDataFrame([("a",), ("z",)], "label string")
     assert [r["label"] for r in metrics.missing_classes(rows, labels, "gold").collect()] == ["z"]
+    with pytest.raises(ValueError, match="classes without a row"):
+        metrics.class_weights(rows, "gold", labels)
 
 
 @pytest.mark.parametrize(("decision", "f", "a", "u", "ok"), [("Accepted", None, None, None, True), (" REJECTed", "5", "5", "5", False), ("", "4", "4", "3.5", True), (None, "4", "4", "", False), ("", "4", "x", "5", False), ("maybe", "4", "3.9", "5", False)])
