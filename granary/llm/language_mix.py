@@ -98,15 +98,33 @@ def learn(training: DataFrame, most_languages: int = 512) -> tuple[list[str], np
     return langs, table
 
 
-def proportions(counts: np.ndarray, logs: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Mixture proportions by expectation-maximisation, and the log-likelihood."""
-    top = logs.max(axis=1)
-    like = np.exp(logs - top[:, None])
-    share = np.full(like.shape[1], 1 / like.shape[1])
-    for _ in range(rounds):
-        mixed = like @ share
-        share = share * ((counts / mixed) @ like) / counts.sum()
-    return share, float(counts @ (np.log(like @ share) + top))
+class Batch:
+    """Distinct buckets of several texts, one after another, with what each language says to them."""
+
+    def __init__(self, found: np.ndarray, counts: np.ndarray, edges: np.ndarray, table: np.ndarray):
+        logs = table[found].astype(np.float64)
+        self.top = logs.max(axis=1)
+        self.like = np.exp(logs - self.top[:, None])
+        self.counts, self.edges = counts.astype(np.float64), edges
+
+    def of(self, texts: np.ndarray) -> Batch:
+        """Some of the texts, by a mask."""
+        out, sizes = object.__new__(Batch), np.diff(self.edges)
+        rows = np.repeat(texts, sizes)
+        out.top, out.like, out.counts = self.top[rows], self.like[rows], self.counts[rows]
+        out.edges = np.concatenate([[0], np.cumsum(sizes[texts])])
+        return out
+
+    def proportions(self, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mixture proportions of every text over its allowed languages by expectation-maximisation, and the log-likelihoods."""
+        starts, sizes = self.edges[:-1], np.diff(self.edges)
+        total = np.add.reduceat(self.counts, starts)
+        share = allowed / allowed.sum(axis=1, keepdims=True)
+        mix = lambda: np.einsum("nl,nl->n", self.like, np.repeat(share, sizes, axis=0))
+        for _ in range(rounds):
+            weight = self.counts / mix()
+            share = share * np.add.reduceat(weight[:, None] * self.like, starts, axis=0) / total[:, None]
+        return share, np.add.reduceat(self.counts * (np.log(mix()) + self.top), starts)
 
 
 def bucket_counts(text: str) -> np.ndarray:
@@ -114,22 +132,39 @@ def bucket_counts(text: str) -> np.ndarray:
     return sum(np.bincount(letter_grams([p])[0], minlength=BUCKETS) for p in cut_at_spaces(text))
 
 
-def infer(distinct: np.ndarray, counts: np.ndarray, table: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Proportions of all languages, zero outside the chosen set, from the distinct buckets and their counts."""
-    counts = counts.astype(np.float64)
-    logs = table[distinct].astype(np.float64)
-    kept = np.arange(table.shape[1])
-    share, value = proportions(counts, logs, rounds)
-    penalty = 0.5 * np.log(counts.sum())
-    while len(kept) > 1:
-        rest = np.delete(np.arange(len(kept)), share.argmin())
-        less, lower = proportions(counts, logs[:, kept[rest]], rounds) if len(rest) > 1 else (np.ones(1), float(counts @ logs[:, kept[rest[0]]]))
-        if lower + penalty < value:
-            break
-        kept, share, value = kept[rest], less, lower
-    out = np.zeros(table.shape[1])
-    out[kept] = share
-    return out
+def infer(found: np.ndarray, counts: np.ndarray, edges: np.ndarray, table: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Proportions of all languages, zero outside the chosen set, of texts given by their distinct buckets and counts.
+
+    ``edges``: where the buckets of each text (one at least) begin, and the end.
+    All texts lose their smallest language at once, as long as each gains by it.
+    """
+    whole = Batch(found, counts, edges, table)
+    kept = np.ones((len(edges) - 1, table.shape[1]), bool)
+    share, value = whole.proportions(kept, rounds)
+    penalty = 0.5 * np.log(np.add.reduceat(whole.counts, edges[:-1]))
+    open_ = kept.sum(axis=1) > 1
+    while open_.any():
+        fewer = kept[open_]
+        fewer[np.arange(len(fewer)), np.where(fewer, share[open_], np.inf).argmin(axis=1)] = False
+        less, lower = whole.of(open_).proportions(fewer, rounds)
+        gain = lower + penalty[open_] >= value[open_]
+        at = np.flatnonzero(open_)[gain]
+        kept[at], share[at], value[at] = fewer[gain], less[gain], lower[gain]
+        open_[:] = False
+        open_[at] = kept[at].sum(axis=1) > 1
+    return np.where(kept, share, 0.0)
+
+
+def runs(sizes: np.ndarray, languages: int, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts whose tables of buckets by languages stay small, or one text."""
+    low, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > low and (held + n) * languages > most:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if low < len(sizes):
+        yield low, len(sizes)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -146,24 +181,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         for batch in sliced(batches, max_bytes=2 << 20):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             long = len(texts) == 1 and len(texts[0]) > 2 * LONG
-            buckets, edges = letter_grams([""] if long else texts)
-            pred, score, mix = [], [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if long:
-                    every = bucket_counts(texts[0])
-                    found, counts = np.flatnonzero(every), every[every > 0]
-                else:
-                    found, counts = np.unique(buckets[a:b], return_counts=True)
-                if not len(found) or not langs:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    mix.append([])
-                    continue
-                share = infer(found, counts, sent.value)
-                best = int(share.argmax())
-                pred.append(langs[best])
-                score.append(min(1.0, float(share[best])))
-                mix.append([(langs[i], float(share[i])) for i in np.flatnonzero(share).tolist()])
+            if long:
+                every = bucket_counts(texts[0])
+                found, counts, edges = np.flatnonzero(every), every[every > 0], np.array([0, np.count_nonzero(every)])
+            else:
+                buckets, begins = letter_grams(texts)
+                owners = np.repeat(np.arange(len(texts)), np.diff(begins))
+                keys, counts = np.unique(owners * BUCKETS + buckets, return_counts=True)
+                found, edges = keys % BUCKETS, np.searchsorted(keys // BUCKETS, np.arange(len(texts) + 1))
+            shares = np.zeros((len(texts), len(langs)))
+            some = np.flatnonzero(np.diff(edges)) if langs else np.zeros(0, np.int64)
+            for low, high in runs(np.diff(edges)[some], len(langs)):
+                own = some[low:high]  # texts without a bucket take no room between their neighbours
+                a, b = edges[own[0]], edges[own[-1] + 1]
+                shares[own] = infer(found[a:b], counts[a:b], np.append(edges[own], b) - a, sent.value)
+            best, known = shares.argmax(axis=1) if langs else None, np.isin(np.arange(len(texts)), some)
+            pred = [langs[best[i]] if known[i] else UNKNOWN for i in range(len(texts))]
+            score = [min(1.0, float(shares[i, best[i]])) if known[i] else 0.0 for i in range(len(texts))]
+            mix = [[(langs[k], float(x[k])) for k in np.flatnonzero(x).tolist()] for x in shares]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.map_(pa.string(), pa.float64()))], [*names, "lang_pred", "score", "mixture"])
 
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, mixture map<string,double>")
