@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[A-Za-zÀ-ÿ0-9']+"
-TERM = r"(?U)\b\w\w+\b"
+TERM = r"(?U)\w{2,}"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
