@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, chat_windows, decontaminate, itq_dedup, kneser_ney, language_mix, simhash, suffix_dedup, token_files, token_rollups
+from granary.llm import byte_bpe, chat_windows, decontaminate, hard_negatives, itq_dedup, kneser_ney, language_mix, pair_index, sequenced_changes, simhash, suffix_dedup, token_files, token_rollups
 from granary.llm.common import new_path, read_table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,31 @@ def op6_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and each of its five best rows of its label, the five best rows of other labels at 80 to 100 % of that score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_rows(read_table(spark, sf_dir, "embeddings"), 256.0, label=label)
+    found = hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, k=5, n_positives=5, lower=80, upper=100)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of every client applied in the order of their numbers, in ten batches that arrive late and mixed."""
+    h = F.crc32(F.col("change_id").cast("string").cast("binary"))
+    day = (F.unix_date(F.col("valid_at").cast("date")) + 5 * (h % 4)).cast("int")
+    batch = F.when(F.col("valid_at").isNotNull() & (h % 11 != 0), F.least(F.lit(sequenced_changes.BATCHES), 1 + F.floor((F.col("day") - 19723) * 10 / 160)).cast("int"))
+    found = sequenced_changes.apply_changes(read_table(spark, sf_dir, "client_changes"), day, batch)
+    return found.select("change_id", "client_id", "status", "batch", "missed", "city", "cents", "current")
+
+
+def op13_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word BPE ids of every whole text by an index of pairs, and the text they decode to, as digests."""
+    path = public_tokenizers.path(WORD_BPE)
+    encoded = pair_index.encode(read_table(spark, sf_dir, "documents"), path)
+    decoded = pair_index.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), path, keep=("n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over the documents."""
     import corpus_pipeline
@@ -113,5 +139,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
-ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL}
+QUERIES = {"pipeline": pipeline, "op11_hard_negatives": op11_hard_negatives, "op12_sequenced_changes": op12_sequenced_changes, "op13_pair_index_bpe": op13_pair_index_bpe, "op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
+ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL}
