@@ -12,15 +12,16 @@ passes only the shards of its language, its partial sums are added up, and no
 text is shuffled.  Shards are sent one after another: a pass writes its sums, then its
 shard is taken from the driver and the executors, so neither holds more than one.
 
-A document is rejected if the log perplexity per byte exceeds the threshold of
-its language: the ``quantile`` of its trusted documents plus ``slack`` times the
-spread from their median to it, for they helped to train the model.  Documents of
-fewer than ``min_bytes`` bytes vary more, about as one over the root of their
-length; their distance from the median times that root is held against the same
-bound over the trusted documents of such lengths.
+Documents are dealt into folds by a hash of their text.  A document is scored by
+the model of the other folds' trusted texts (counts are additive: the total less
+its own fold), so trusted documents did not help to train what scores them, and
+other documents are scored just like them.  A document is rejected if the
+distance of its log perplexity per byte from its language's median exceeds the
+``quantile`` of that distance over the trusted documents, both in units of a
+spread that falls with the length, as one over its root.
 
 Defined cases: null text is empty; empty texts, and texts of a language without
-trusted text (or, if short, without short trusted text), are kept without a threshold; null language is a language of its
+trusted text in other folds, are kept without a threshold; null language is a language of its
 own; repeated rows are scored alike; without trusted rows all is kept; very long
 texts are counted and scored in runs; extra columns are not read, whatever their
 names; an empty table gives no rows.
@@ -40,7 +41,8 @@ from granary.llm.common import LONG, discard, release, sliced, texts_of, written
 
 ORDER = 5
 NO_LANG = ""
-BINS = 1000  # a quantile is exact to 1 / BINS of a nat
+BINS = 1000  # a quantile is exact to 1 / BINS of a nat, or of a unit of distance
+FOLDS = 4
 
 
 def grams_of(text: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -73,26 +75,27 @@ def gram_runs(texts: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def counted(trusted: DataFrame) -> DataFrame:
-    """lang, g, c: gram counts of all trusted texts."""
+    """lang, fold, g, c: gram counts of all trusted texts, per fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, max_bytes=4 << 20):
-            langs, texts = batch.column(0).to_pylist(), texts_of(batch)
-            for lang in sorted(set(langs)):
-                for grams, _, _ in gram_runs([(0, t.encode()) for t, x in zip(texts, langs, strict=True) if x == lang]):
+            groups = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            texts = texts_of(batch)
+            for lang, fold in sorted(set(groups)):
+                for grams, _, _ in gram_runs([(0, t.encode()) for t, x in zip(texts, groups, strict=True) if x == (lang, fold)]):
                     g, c = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "g", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array([fold] * len(g), pa.int32()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "fold", "g", "c"])
 
-    return trusted.select("lang", "text").mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return trusted.select("lang", "text", "fold").mapInArrow(count, "lang string, fold int, g long, c long").groupBy("lang", "fold", "g").agg(F.sum("c").alias("c"))
 
 
 def mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
-def fit(trusted: DataFrame) -> DataFrame:
-    """The model: k (order), lang, g, p (of a seen gram) or w (back-off weight of a context, under the order it serves)."""
-    levels = {ORDER: written(counted(trusted), "kn-counts")}
+def fit(counts: DataFrame) -> DataFrame:
+    """``counts``: lang, g, c.  The model: k (order), lang, g, p (of a seen gram) or w (back-off weight of a context, under the order it serves)."""
+    levels = {ORDER: written(counts, "kn-counts")}
     made = [levels[ORDER]]
     for k in range(ORDER - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy("lang", F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count(F.lit(1)).alias("c"))
@@ -199,8 +202,8 @@ def passes(model: DataFrame, shard_entries: int) -> list[dict[str, set[int] | No
     return plan
 
 
-def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) -> DataFrame:
-    """id, lang, digest, n_bytes, log_prob per row of ``docs`` (id, lang, text); log_prob is null where the language has no model."""
+def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """id, lang, digest, n_bytes, log_prob per row of ``docs`` (id, lang, text), and the tables it reads; log_prob is null where the language has no model."""
     spark = docs.sparkSession
     id_type = docs.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, lang string, digest long, n_bytes long, log_prob double"
@@ -256,41 +259,50 @@ def score(docs: DataFrame, model: DataFrame, shard_entries: int = 4_000_000) ->
         copies = (F.col("n") / times[F.col("lang")]).cast("long")
         summed = summed.withColumn("copies", copies).withColumn("log_prob", F.col("log_prob") / F.col("copies")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         found = found.unionByName(summed.select("id", "lang", "digest", "n_bytes", "log_prob"))
-    return found
+    return found, [*whole, *split]
 
 
-def quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """``values``: lang, x.  lang and a column of each share's quantile, from counts by bin."""
+def quantiles(values: DataFrame, share: float, name: str) -> DataFrame:
+    """``values``: lang, x.  lang and ``name``: of n values in order the one at ceil((n + 1) * share), or the last, from counts by bin."""
     bins = values.groupBy("lang", F.floor(F.col("x") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")
     bins = bins.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return bins.groupBy("lang").agg(*(((F.min(F.when(F.col("below") >= share * F.col("all"), F.col("bin"))) + 1) / BINS).alias(name) for name, share in shares.items()))
+    place = F.least(F.col("all"), F.ceil((F.col("all") + 1) * share))
+    return bins.groupBy("lang").agg(((F.min(F.when(F.col("below") >= place, F.col("bin"))) + 1) / BINS).alias(name))
 
 
-def thresholds(scored: DataFrame, quantile: float, slack: float, min_bytes: int) -> DataFrame:
-    """lang, median, threshold, short: bounds of the log perplexity, and of its distance from the median times the root of a short length."""
-    shares = {"middle": 0.5, "high": quantile}
-    bound = F.col("high") + slack * (F.col("high") - F.col("middle"))
+def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
+    """lang, median, distance: the bound of n bytes is median + distance / sqrt(n); one row per language."""
     trusted = scored.filter("trusted AND n_bytes > 0 AND log_ppl IS NOT NULL")
-    long = quantiles(trusted.filter(F.col("n_bytes") >= min_bytes).select("lang", F.col("log_ppl").alias("x")), shares).select("lang", F.col("middle").alias("median"), bound.alias("threshold"))
-    apart = (F.col("log_ppl") - F.col("median")) * F.sqrt("n_bytes")
-    short = trusted.filter(F.col("n_bytes") < min_bytes).join(F.broadcast(long), "lang").select("lang", apart.alias("x"))
-    return long.join(quantiles(short, shares).select("lang", bound.alias("short")), "lang", "left")
+    middle = quantiles(trusted.select("lang", F.col("log_ppl").alias("x")), 0.5, "median")
+    units = trusted.join(F.broadcast(middle), "lang").select("lang", ((F.col("log_ppl") - F.col("median")) * F.sqrt("n_bytes")).alias("x"))
+    return middle.join(quantiles(units, quantile, "distance"), "lang")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 0.5, min_bytes: int = 64, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.985, folds: int = FOLDS, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, lang, digest, n_bytes, log_ppl, threshold, trusted, kept.
 
-    ``trusted_ids``: one column of ids whose texts train the model and set the thresholds.
+    ``trusted_ids``: one column of ids whose texts train the models and set the thresholds.
     """
     ids = trusted_ids.toDF("id").filter("id IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))
     # a shuffle join at every size: labels grow with the corpus
-    model = fit(rows.join(ids.hint("merge"), "id", "left_semi"))
-    scored = score(rows, model, shard_entries).withColumn("log_ppl", -F.col("log_prob") / F.greatest(F.lit(1), F.col("n_bytes")))
+    counts = written(counted(rows.join(ids.hint("merge"), "id", "left_semi")), "kn-fold-counts")
+    found, parts = None, []
+    for fold in range(folds):
+        others = counts.filter(F.col("fold") != fold)
+        model = fit(others.select("lang", "g", "c") if folds == 2 else others.groupBy("lang", "g").agg(F.sum("c").alias("c")))
+        own, tables = score(rows.filter(F.col("fold") == fold), model, shard_entries)
+        discard(model)
+        parts += tables
+        found = own if found is None else found.unionByName(own)
+    discard(counts)
+    scored = found.withColumn("log_ppl", -F.col("log_prob") / F.greatest(F.lit(1), F.col("n_bytes")))
     judged = written(scored.join(ids.withColumn("trusted", F.lit(True)), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
-    discard(model)
-    told = judged.join(F.broadcast(thresholds(judged, quantile, slack, min_bytes)), "lang", "left")
-    bound = F.when(F.col("n_bytes") >= min_bytes, F.col("threshold")).when(F.col("n_bytes") > 0, F.col("median") + F.col("short") / F.sqrt("n_bytes"))
-    told = told.withColumn("threshold", bound).drop("median", "short")
+    for table in parts:
+        discard(table)
+    told = judged.join(F.broadcast(thresholds(judged, quantile)), "lang", "left")
+    bound = F.when(F.col("n_bytes") > 0, F.col("median") + F.col("distance") / F.sqrt("n_bytes"))
+    told = told.withColumn("threshold", bound).drop("median", "distance")
     return told.withColumn("kept", ~F.coalesce(F.col("log_ppl") > F.col("threshold"), F.lit(False)))

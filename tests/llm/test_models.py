@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,23 +54,56 @@ def plain_kneser_ney(texts):
     return score
 
 
+def fold_of(text):
+    """pmod(xxhash64(text), FOLDS) as Spark hashes strings (FOLDS is a power of two)."""
+    return xxhash.xxh64_intdigest((text or "").encode(), 42) % kneser_ney.FOLDS
+
+
+def plain_quality(rows, trusted, quantile=0.985):
+    """(id, lang, text) to log perplexity per byte and bound, by models trained on the other folds' trusted texts."""
+    out = []
+    for lang in {x or "" for _, x, _ in rows}:
+        own = [(i, t or "") for i, x, t in rows if (x or "") == lang]
+        texts = {f: [t.encode() for i, t in own if i in trusted and fold_of(t) != f] for f in range(kneser_ney.FOLDS)}
+        score = {f: plain_kneser_ney(t) if any(t) else None for f, t in texts.items()}
+        found = [(i, t, -score[fold_of(t)](t.encode()) / len(t.encode()) if t and score[fold_of(t)] else None) for i, t in own]
+        place = lambda values, share: sorted(values)[min(len(values), math.ceil((len(values) + 1) * share)) - 1]
+        binned = lambda values, share: (math.floor(place(values, share) * 1000) + 1) / 1000
+        held = [(x, len(t.encode())) for i, t, x in found if i in trusted and x is not None]
+        middle = binned([x for x, _ in held], 0.5) if held else None
+        apart = binned([(x - middle) * math.sqrt(n) for x, n in held], quantile) if held else None
+        out += [(i, lang, t, x, middle + apart / math.sqrt(len(t.encode())) if t and held else None) for i, t, x in found]
+    return out
+
+
 @pytest.mark.parametrize("entries", [10**6, 150])
 def test_kneser_ney(spark, entries):
     rng = random.Random(1)
     prose = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "été", "hat"]) for _ in range(30))
-    trusted = [(i, "en" if i % 3 else None, prose()) for i in range(12)]
+    trusted = [(i, "en" if i % 3 else None, prose()) for i in range(24)]
     others = [(100, "en", "the cat ### $$$ zzz qq"), (101, None, "été"), (102, "xx", "no model"), (103, "en", ""), (104, "en", None), (105, "en", prose()), (105, "en", "same id, other text")]
     docs = spark.createDataFrame([*trusted, *others, others[5]], "doc_id long, lang string, text string").withColumn("digest", F.lit(1)).withColumn("threshold", F.lit(0))
     ids = spark.createDataFrame([(i,) for i, _, _ in trusted] + [(None,)], "doc_id long")
-    got = kneser_ney.classify(docs, ids, min_bytes=1, shard_entries=entries).collect()
-    for lang in ("en", ""):
-        score = plain_kneser_ney([t.encode() for _, x, t in trusted if (x or "") == lang])
-        want = Counter((i, round(-score((t or "").encode()) / max(1, len((t or "").encode())), 5)) for i, x, t in [*trusted, *others, others[5]] if (x or "") == lang)
-        assert Counter((r["id"], round(r["log_ppl"], 5)) for r in got if r["lang"] == lang) == want
-    assert all(r["kept"] for r in got if r["id"] < 100 or r["id"] in (102, 103, 104))
+    got = kneser_ney.classify(docs, ids, shard_entries=entries).collect()
+    told = lambda i, lang, x, bound, kept: (i, lang, None if x is None else round(x, 5), None if bound is None else round(bound, 5), kept)
+    plain = plain_quality([*trusted, *others, others[5]], {i for i, _, _ in trusted})
+    want = Counter(told(i, lang, x, b, x is None or b is None or x <= b) for i, lang, _, x, b in plain)
+    assert Counter(told(r["id"], r["lang"], r["log_ppl"] if r["n_bytes"] else None, r["threshold"], r["kept"]) for r in got) == want
+    assert all(r["kept"] for r in got if r["id"] in (102, 103, 104))
     assert not next(r for r in got if r["id"] == 100)["kept"]
 
 
+def test_held_out_trusted_documents_stay(spark):
+    """Half of the trusted documents train; of the other half, just as trusted, at most 2 % go in every language."""
+    data = "/root/testdata/sf0.1"
+    marks = read_table(spark, data, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = kneser_ney.classify(read_table(spark, data, "documents"), marks.filter(half))
+    held = got.join(marks.filter(~half).toDF("id"), "id")
+    for r in held.groupBy("lang").agg(F.count_if(~F.col("kept")).alias("gone"), F.count(F.lit(1)).alias("n")).collect():
+        assert r["n"] > 100 and r["gone"] <= 0.02 * r["n"], r
+
+
 def test_without_trusted_text_all_stays(spark):
     docs = spark.createDataFrame([(1, "en", "x" * 100)], "doc_id long, lang string, text string")
     none = spark.createDataFrame([], "doc_id long")

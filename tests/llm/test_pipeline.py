@@ -12,7 +12,7 @@ import tiktoken
 import corpus_pipeline as C
 from granary.llm import byte_bpe, decontaminate
 from tests.llm.test_duplicates import brute_word_repeats, plain_components
-from tests.llm.test_models import plain_distance, plain_kneser_ney
+from tests.llm.test_models import plain_distance, plain_quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,33 +62,10 @@ def ids(frame):
     return sorted(r["doc_id"] for r in frame.collect())
 
 
-def plain_quantile(values, share):
-    bins = sorted(math.floor(x * 1000) for x in values)
-    return (bins[math.ceil(share * len(bins)) - 1] + 1) / 1000
-
-
 def test_quality(spark, world):
     path, rows, labels, _ = world
     trusted = {i for i, q, t in labels if q == 1 and t == 0}
-    kept = []
-    for lang in {r[2] for r in rows}:
-        own = [(i, (t or "").encode()) for i, t, x, _, _ in rows if x == lang]
-        score = plain_kneser_ney([t for i, t in own if i in trusted]) if any(i in trusted for i, _ in own) else None
-        per_byte = {i: -score(t) / len(t) for i, t in own if t} if score else {}
-        size = {i: len(t) for i, t in own}
-        long = [x for i, x in per_byte.items() if i in trusted and size[i] >= 64]
-        middle, high = (plain_quantile(long, 0.5), plain_quantile(long, 0.99)) if long else (None, None)
-        short = [(x - middle) * math.sqrt(size[i]) for i, x in per_byte.items() if i in trusted and size[i] < 64] if long else []
-        for i, _ in own:
-            bound = math.inf
-            if i in per_byte and long:
-                if size[i] >= 64:
-                    bound = high + 0.5 * (high - middle)
-                elif short:
-                    a, b = plain_quantile(short, 0.5), plain_quantile(short, 0.99)
-                    bound = middle + (b + 0.5 * (b - a)) / math.sqrt(size[i])
-            if per_byte.get(i, 0) <= bound:
-                kept.append(i)
+    kept = [i for i, _, _, x, bound in plain_quality([(r[0], r[2], r[1]) for r in rows], trusted) if x is None or bound is None or x <= bound]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert ids(C.quality(spark, docs, path)) == sorted(kept) and not {r[0] for r in rows if r[3] == "junk"} <= set(kept)
 
