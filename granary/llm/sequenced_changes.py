@@ -40,8 +40,11 @@ COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment
 FEED = "client_id long, n long, change_id long, day int, op string, city string, balance double, batch int, later boolean, upto long"
 OUTPUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
 BATCHES, WAIT, FRESH = 10, 8, 20_000
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream; a state store is closed with its task, for the next start opens it anew.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 class Applier(StatefulProcessor):
@@ -173,16 +176,17 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
     for old in rows._parts:
         discard(old)
     spark.createDataFrame([], FEED).write.parquet(f"{feed}/rows-0")
-    fields = [f.name for f in spark.createDataFrame([], FEED).schema]
-    provider = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    schema = spark.createDataFrame([], FEED).schema
+    before = {key: spark.conf.get(key) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         for number in range(1, batches + 2):
             earlier = [largest[b] for b in largest if b < number]
             if earlier:  # the checkpoint holds a state
                 today = None if number > batches else max(earlier)
                 ticks = expired(spark, checkpoint, today).withColumn("batch", F.lit(number)).withColumn("later", F.lit(False))
-                ticks.select(*[F.col(c) if c in ticks.columns else F.lit(None).alias(c) for c in fields]).select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], FEED).schema]).write.parquet(f"{feed}/clock-{number}")
+                ticks.select(*[(F.col(f.name) if f.name in ticks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{feed}/clock-{number}")
             moved(spark, f"{root}/staged/part={number}", f"{feed}/rows-{number}")
             if earlier or number in largest:
                 stream(spark, feed).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(output).awaitTermination()
@@ -190,7 +194,8 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
             return told(spark.createDataFrame([], OUTPUT), None)
         return told(spark.read.schema(OUTPUT).parquet(output), spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "client").load())
     finally:
-        spark.conf.set(PROVIDER, provider)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stream(spark: SparkSession, feed: str) -> DataFrame:
