@@ -12,7 +12,8 @@ block's first k hold whatever of it is among the first k of all.
 
 Scores are exact: components are integers, scores are computed as doubles where
 all sums stay below 2^53 and as Python integers where they may not.  Components
-beyond 64 bits count as the nearest 64-bit integer, and so do scores in the result.
+beyond 64 bits count as the nearest 64-bit integer; scores are ordered by 38
+digits and told as the nearest 64-bit integer.
 
 Defined cases: rows with a null id, label or vector, or with a null or
 non-finite component take no part; wholly repeated rows count once; rows of one
@@ -25,6 +26,8 @@ positives, and a positive without negatives give no rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +37,9 @@ from granary.llm.common import discard, written
 
 ANCHORS, ROWS = 1024, 16384
 CHUNK = 1 << 20  # scores at once
-LIMIT = 1 << 63
+LONG = (1 << 63) - 1
+DIGITS = 10**38 - 1
+EXACT = "decimal(38,0)"
 
 
 def integer_rows(rows: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | None = None) -> DataFrame:
@@ -69,8 +74,12 @@ def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.array([np.asarray(v, np.int64) for v in vectors], np.int64).reshape(len(vectors), dim)
 
 
-def clipped(score) -> int:
-    return int(min(max(int(score), -LIMIT), LIMIT - 1))
+def exact(score) -> Decimal:
+    return Decimal(min(max(int(score), -DIGITS), DIGITS))
+
+
+def told(score: str) -> Column:
+    return F.least(F.lit(LONG), F.greatest(F.lit(-LONG - 1), F.col(score))).cast("long").alias(score)
 
 
 def by_anchor(anchors: pd.DataFrame, rows: pd.DataFrame):
@@ -108,14 +117,14 @@ def mine(rows: DataFrame, is_anchor: Column, k: int = 5, n_positives: int = 5, l
             for anchor, value in by_anchor(left, right):
                 at = np.flatnonzero((labels == anchor.label) & ~((ids == anchor.vec_id) & (ties == anchor.row)))
                 for i in at[ordered(value[at], ids[at], ties[at])[:n_positives]]:
-                    out.append((anchor.vec_id, anchor.row, ids[i], ties[i], clipped(value[i]), str(value[i])))
-        return pd.DataFrame(out, columns=["vec_id", "row", "positive_id", "positive_row", "positive_score", "exact"])
+                    out.append((anchor.vec_id, anchor.row, ids[i], ties[i], exact(value[i])))
+        return pd.DataFrame(out, columns=["vec_id", "row", "positive_id", "positive_row", "positive_score"])
 
     left, right = dealt(rows, anchors, n_rows, n_anchors)
-    found = left.cogroup(right).applyInPandas(best_of_label, "vec_id long, row long, positive_id long, positive_row long, positive_score long, exact string")
+    found = left.cogroup(right).applyInPandas(best_of_label, f"vec_id long, row long, positive_id long, positive_row long, positive_score {EXACT}")
     order = Window.partitionBy("vec_id", "row").orderBy(F.col("positive_score").desc(), "positive_id", "positive_row")
     chosen = written(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_positives), "negatives-positives")
-    positives = chosen.groupBy("vec_id", "row").agg(F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_row", "positive_score", "exact"))).alias("positives"))  # at most n_positives
+    positives = chosen.groupBy("vec_id", "row").agg(F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_row", "positive_score"))).alias("positives"))  # at most n_positives
     asking = written(anchors.join(positives, ["vec_id", "row"]), "negatives-anchors")
 
     def near_below(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -127,18 +136,18 @@ def mine(rows: DataFrame, is_anchor: Column, k: int = 5, n_positives: int = 5, l
                 at = at[ordered(value[at], ids[at], ties[at])]
                 falling = -value[at]
                 for p in anchor.positives:
-                    score = int(p["exact"])
+                    score = int(p["positive_score"])
                     top, least = upper * score // 100, -(-lower * score // 100)  # the whole numbers that fit
                     first, stop = np.searchsorted(falling, -top, "left"), np.searchsorted(falling, -least, "right")
                     for i in at[first : max(first, min(stop, first + k))]:
-                        out.append((anchor.vec_id, anchor.row, p["place"], p["positive_id"], p["positive_row"], p["positive_score"], ids[i], ties[i], clipped(value[i])))
+                        out.append((anchor.vec_id, anchor.row, p["place"], p["positive_id"], p["positive_row"], p["positive_score"], ids[i], ties[i], exact(value[i])))
         return pd.DataFrame(out, columns=["anchor_id", "anchor_row", "place", "positive_id", "positive_row", "positive_score", "negative_id", "negative_row", "negative_score"])
 
     left, right = dealt(rows, asking, n_rows, n_anchors)
-    found = left.cogroup(right).applyInPandas(near_below, "anchor_id long, anchor_row long, place int, positive_id long, positive_row long, positive_score long, negative_id long, negative_row long, negative_score long")
+    found = left.cogroup(right).applyInPandas(near_below, f"anchor_id long, anchor_row long, place int, positive_id long, positive_row long, positive_score {EXACT}, negative_id long, negative_row long, negative_score {EXACT}")
     order = Window.partitionBy("anchor_id", "anchor_row", "place").orderBy(F.col("negative_score").desc(), "negative_id", "negative_row")
     kept = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    result = written(kept.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "anchor_row", "positive_row", "negative_row"), "negatives")
+    result = written(kept.select("anchor_id", "positive_id", "rank", "negative_id", told("positive_score"), told("negative_score"), "anchor_row", "positive_row", "negative_row"), "negatives")
     for old in (chosen, asking, rows):
         discard(old)
     return result

@@ -2,11 +2,11 @@
 
 Every client has a number ``next``; a change is held until its number is next,
 and rejected if its number is held already or has gone by.  The state of a
-client is one small value and a map from number to held change.  What waited too
-long lets a client's number jump; a client without rows would never be woken, so
-before each start the checkpoint is read through the state-store source, the
-clients that hold expired changes are found, and a clock row goes to those
-alone, telling up to which number they may jump.
+client is one value with at most ``INLINE`` held changes, and a map from number to
+change for what it holds beyond.  What waited too long lets a client's number
+jump; a client without rows would never be woken, so before each start the
+checkpoint is read through the state-store source, the clients that hold expired
+changes are found, and a clock row goes to those alone.
 
 Nothing but ten numbers (the largest day of each batch) comes to the driver.
 Numbers are dense ranks found over ranges of (client, seq), so a hot client lies
@@ -14,7 +14,7 @@ in many tasks; of equal numbers in a batch only the first can be applied, so the
 later ones are found by an aggregate and never reach the state.  What is left of one client
 is applied in order, by one task at a time: that is the operator's meaning.  Its
 changes stay in the state store; a task holds at most ``FRESH`` of them, and the
-numbers of those held when it jumps.
+numbers and days of those held when it jumps.
 
 Defined cases: wholly repeated rows count once; a null client is a client of
 its own; a null seq stands first in its client; rows with a null change_id or
@@ -37,9 +37,10 @@ from granary.llm.common import discard, new_path, written
 from granary.operators.layout import running
 
 COLUMNS = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
-FEED = "client_id long, n long, change_id long, day int, op string, city string, balance double, batch int, later boolean, upto long"
+FEED = "client_id long, n long, change_id long, day int, op string, city string, balance double, batch int, later boolean, clock int"
 OUTPUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
-BATCHES, WAIT, FRESH = 10, 8, 20_000
+BATCHES, WAIT, FRESH, INLINE = 10, 8, 20_000, 32
+END_OF_TIME = (1 << 31) - 1
 #: Settings of the stream; a state store is closed with its task, for the next start opens it anew.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,81 +49,107 @@ SETTINGS = {
 
 
 class Applier(StatefulProcessor):
-    """Rows of one client and batch, each number once; a row with ``upto`` is the clock's."""
+    """Rows of one client and batch, each number once; a row with ``clock`` tells the largest day of earlier batches."""
+
+    def __init__(self, fresh: int, inline: int):
+        self.most_fresh, self.most_kept = fresh, inline
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.client = handle.getValueState("client", "next long, city string, balance double, held long, last long")
-        self.held = handle.getMapState("held", "n long", "change_id long, day int, op string, city string, balance double, batch int")
+        # kept: held changes; spilled: how many more are in the map; earliest: no day of theirs is smaller
+        self.client = handle.getValueState("client", "next long, city string, balance double, last long, kept array<struct<n:long,change_id:long,day:int,op:string,city:string,balance:double>>, spilled long, earliest int")
+        self.beyond = handle.getMapState("beyond", "n long", "change_id long, day int, op string, city string, balance double, batch int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.client.get()
-        self.next, self.city, self.balance, self.count, self.last = before or (1, None, None, 0, None)
-        fresh: dict[int, Row] = {}
-        batch = upto = None
+        self.next, self.city, self.balance, self.last, kept, self.spilled, self.earliest = before or (1, None, None, None, (), 0, END_OF_TIME)
+        self.kept = {row[0]: tuple(row[1:]) for row in kept}
+        self.changed = before is None
+        fresh: dict[int, tuple] = {}
+        batch = clock = None
         full = False
         for row in rows:
             batch = row.batch
-            if row.upto is not None:
-                upto = row.upto
-            elif row.n < self.next or self.count and self.held.containsKey((row.n,)):
-                yield self.told(key, row.n, row, "rejected", batch)
-            else:
-                fresh[row.n] = row
-                if len(fresh) >= FRESH:
-                    full = True
-                    for n in fresh:
-                        self.hold(fresh[n])
-                    fresh.clear()
-        if upto is not None and self.count:
-            waiting = sorted(n for (n,), held in self.held.iterator() if held[5] < batch)
-            for n in waiting:
+            if row.clock is not None:
+                clock = row.clock
+                continue
+            change = (row.change_id, row.day, row.op, row.city, row.balance)
+            if row.n < self.next or self.holds(row.n):
+                yield self.told(key, row.n, change, "rejected", batch)
+                continue
+            fresh[row.n] = change
+            if len(fresh) >= self.most_fresh:
+                full = True
+                for n, change in fresh.items():
+                    self.spill(n, change, batch)
+                fresh.clear()
+        if clock is not None and (self.kept or self.spilled):
+            days = {n: change[1] for n, change in self.kept.items()}
+            if self.spilled:
+                held = {n: (day, since) for (n,), (_, day, _, _, _, since) in self.beyond.iterator()}
+                self.earliest = min(day for day, _ in held.values())
+                days |= {n: day for n, (day, since) in held.items() if since < batch}
+            upto = max((n for n, day in days.items() if day + WAIT <= clock), default=0)
+            for n in sorted(days):
                 if n > max(upto, self.next):
                     break
                 yield self.apply(key, n, self.take(n), batch)
             if full:
-                for n in sorted(n for (n,), held in self.held.iterator() if n < self.next):
+                for n in sorted(n for n in held if n < self.next and n not in days):
                     yield self.told(key, n, self.take(n), "rejected", batch)
         moved = full
         for n in sorted(fresh):
-            while moved and self.count and self.next < n and self.held.containsKey((self.next,)):
+            while moved and self.next < n and self.holds(self.next):
                 yield self.apply(key, self.next, self.take(self.next), batch)
             moved = n == self.next
             if n < self.next:
                 yield self.told(key, n, fresh[n], "rejected", batch)
             elif moved:
                 yield self.apply(key, n, fresh[n], batch)
+            elif len(self.kept) < self.most_kept:
+                self.kept[n] = fresh[n]
+                self.changed = True
             else:
-                self.hold(fresh[n])
-        while moved and self.count and self.held.containsKey((self.next,)):
+                self.spill(n, fresh[n], batch)
+        while moved and self.holds(self.next):
             yield self.apply(key, self.next, self.take(self.next), batch)
-        after = (self.next, self.city, self.balance, self.count, self.last)
-        if after != before:
-            self.client.update(after)
-
-    def hold(self, row: Row) -> None:
-        self.held.updateValue((row.n,), (row.change_id, row.day, row.op, row.city, row.balance, row.batch))
-        self.count += 1
-
-    def take(self, n: int) -> Row:
-        change_id, _, op, city, balance, _ = self.held.getValue((n,))
-        self.held.removeKey((n,))
-        self.count -= 1
-        return Row(change_id=change_id, op=op, city=city, balance=balance)
-
-    def apply(self, key, n: int, row: Row, batch: int) -> Row:
+        if self.changed:
+            self.client.update((self.next, self.city, self.balance, self.last, [(n, *change) for n, change in self.kept.items()], self.spilled, self.earliest))
+
+    def holds(self, n: int) -> bool:
+        return n in self.kept or self.spilled > 0 and self.beyond.containsKey((n,))
+
+    def spill(self, n: int, change: tuple, batch: int) -> None:
+        self.beyond.updateValue((n,), (*change, batch))
+        self.spilled += 1
+        self.earliest = min(self.earliest, change[1])
+        self.changed = True
+
+    def take(self, n: int) -> tuple:
+        self.changed = True
+        if n in self.kept:
+            return self.kept.pop(n)
+        change = self.beyond.getValue((n,))
+        self.beyond.removeKey((n,))
+        self.spilled -= 1
+        if not self.spilled:
+            self.earliest = END_OF_TIME
+        return change[:5]
+
+    def apply(self, key, n: int, change: tuple, batch: int) -> Row:
+        _, _, op, city, balance = change
         missed = n - self.next
-        if row.op == "I":
-            self.city, self.balance = row.city, row.balance
-        elif row.op == "U":
-            self.city = self.city if row.city is None else row.city
-            self.balance = self.balance if row.balance is None else row.balance
-        elif row.op == "D":
+        if op == "I":
+            self.city, self.balance = city, balance
+        elif op == "U":
+            self.city = self.city if city is None else city
+            self.balance = self.balance if balance is None else balance
+        elif op == "D":
             self.city = self.balance = None
-        self.next, self.last = n + 1, n
-        return self.told(key, n, row, "applied", batch, missed, self.city, self.balance)
+        self.next, self.last, self.changed = n + 1, n, True
+        return self.told(key, n, change, "applied", batch, missed, self.city, self.balance)
 
-    def told(self, key, n: int, row: Row, status: str, batch: int, missed: int = 0, city=None, balance=None) -> Row:
-        return Row(change_id=row.change_id, client_id=key[0], n=n, op=row.op, status=status, batch=batch, missed=missed, city=city, balance=balance)
+    def told(self, key, n: int, change: tuple, status: str, batch: int, missed: int = 0, city=None, balance=None) -> Row:
+        return Row(change_id=change[0], client_id=key[0], n=n, op=change[2], status=status, batch=batch, missed=missed, city=city, balance=balance)
 
     def close(self) -> None:
         pass
@@ -139,18 +166,16 @@ def numbered(changes: DataFrame, day: Column, batch: Column) -> DataFrame:
     firsts = written(left.groupBy(F.col("client_id").alias("_c"), F.col("seq").alias("_s"), F.col("batch").alias("_b")).agg(F.min(rank).alias("_first")), "changes-firsts")
     with_rank = left.join(ranks, left["client_id"].eqNullSafe(F.col("_client")) & left["seq"].eqNullSafe(F.col("_seq")))
     with_first = with_rank.join(firsts, with_rank["client_id"].eqNullSafe(F.col("_c")) & with_rank["seq"].eqNullSafe(F.col("_s")) & (F.col("batch") == F.col("_b")))
-    out = with_first.select("client_id", "n", "change_id", F.col("day").cast("int").alias("day"), "op", "city", F.col("balance").cast("double").alias("balance"), F.col("batch").cast("int").alias("batch"), (rank != F.col("_first")).alias("later"), F.lit(None).cast("long").alias("upto"))
+    out = with_first.select("client_id", "n", "change_id", F.col("day").cast("int").alias("day"), "op", "city", F.col("balance").cast("double").alias("balance"), F.col("batch").cast("int").alias("batch"), (rank != F.col("_first")).alias("later"), F.lit(None).cast("int").alias("clock"))
     out._parts = (rows, ranks, firsts)
     return out
 
 
-def expired(spark: SparkSession, checkpoint: str, today: int | None) -> DataFrame:
-    """client_id, upto: the largest number that each client holds since ``WAIT`` days or more; all numbers if ``today`` is None."""
-    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
-    held = held.select(F.col("key.client_id").alias("client_id"), F.col("user_map_key.n").alias("n"), F.col("user_map_value.day").alias("day"))
-    if today is not None:
-        held = held.filter(F.col("day") + WAIT <= today)
-    return held.groupBy("client_id").agg(F.max("n").alias("upto"))
+def expired(spark: SparkSession, checkpoint: str, today: int) -> DataFrame:
+    """client_id of every client that holds a change of ``WAIT`` days before ``today`` or more."""
+    clients = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "client").load()
+    late = F.exists("value.kept", lambda x: x["day"] <= today - WAIT) | (F.col("value.spilled") > 0) & (F.col("value.earliest") <= today - WAIT)
+    return clients.filter(late).select(F.col("key.client_id").alias("client_id"))
 
 
 def moved(spark: SparkSession, source: str, target: str) -> bool:
@@ -184,8 +209,8 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
         for number in range(1, batches + 2):
             earlier = [largest[b] for b in largest if b < number]
             if earlier:  # the checkpoint holds a state
-                today = None if number > batches else max(earlier)
-                ticks = expired(spark, checkpoint, today).withColumn("batch", F.lit(number)).withColumn("later", F.lit(False))
+                today = END_OF_TIME if number > batches else max(earlier)
+                ticks = expired(spark, checkpoint, today).withColumn("clock", F.lit(today)).withColumn("batch", F.lit(number)).withColumn("later", F.lit(False))
                 ticks.select(*[(F.col(f.name) if f.name in ticks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{feed}/clock-{number}")
             moved(spark, f"{root}/staged/part={number}", f"{feed}/rows-{number}")
             if earlier or number in largest:
@@ -200,7 +225,7 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
 
 def stream(spark: SparkSession, feed: str) -> DataFrame:
     rows = spark.readStream.schema(FEED).parquet(f"{feed}/*")
-    ordered = rows.filter("NOT later").groupBy("client_id").transformWithState(Applier(), OUTPUT, "append", "none")
+    ordered = rows.filter("NOT later").groupBy("client_id").transformWithState(Applier(FRESH, INLINE), OUTPUT, "append", "none")
     out = rows.filter("later").select("change_id", "client_id", "n", "op", F.lit("rejected").alias("status"), "batch", F.lit(0).cast("long").alias("missed"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("balance"))
     return ordered.unionByName(out)
 
