@@ -19,9 +19,13 @@ counted in the first table where it meets.  Equal vectors are one vector with a
 multiplicity.  Buckets are dealt into tiles, so no group is unbounded; links
 are not listed, a bucket gives sums per vector and a spanning forest.
 
-Defined cases: vectors that are null or zero, hold null or non-finite
-components or differ from the common dimension link with nothing; so do
-rows without id.  Ids name vectors: rows of equal id and vector are copies.
+Each dimension is a group of its own, with its own rotations and tables; vectors
+of different dimensions never link.
+
+Defined cases: vectors that are null or zero or hold null or non-finite
+components link with nothing; so do rows without id.  Ids name vectors: rows of
+equal id and vector are copies, rows of one id with other vectors are vectors of
+that id.  Extra columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.buckets import by_group, paired_groups, spanning_links
-from granary.llm.common import written
+from granary.llm.common import discard, written
 from granary.llm.graph import smallest_members
 
 SAMPLE = 20_000
@@ -136,13 +140,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("dim", F.when(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)), F.size("vec")))
-    sizes = rows.filter("dim IS NOT NULL").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    base = rows.withColumn("ok", F.coalesce(F.col("dim") == dim, F.lit(False))).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.reverse("vec")))
+    base = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.reverse("vec")))
+    told = None
+    for size in sorted(r["dim"] for r in base.filter("dim IS NOT NULL").select("dim").distinct().collect()):  # the few dimensions that occur
+        part = linked(base.filter(F.col("dim") == size), size, threshold, recall, tile)
+        told = part if told is None else told.unionByName(part)
     alone = F.when(F.col("id").isNotNull(), F.col("id"))
-    if not dim:
+    if told is None:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), alone.alias("component"), F.col("id").isNotNull().alias("kept"))
-    nodes = written(base.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "itq-nodes")
+    out = base.select("id", "h1", "h2", "dim").join(told, ["h1", "h2", "dim"], "left")
+    component = F.coalesce("component", alone)
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def linked(base: DataFrame, dim: int, threshold: float, recall: float, tile: int) -> DataFrame:
+    """h1, h2, dim, n_links, component of the distinct vectors of one dimension."""
+    nodes = written(base.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "itq-nodes")
 
     sample = nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").toArrow()
     x = matrix(sample.column(0).combine_chunks(), dim)
@@ -152,7 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     n_rotations, each = len(turns), bits // b if b else 1
     if not b:
         tile *= 4
-    sent = vectors.sparkSession.sparkContext.broadcast((mean, np.concatenate(turns, axis=1)))
+    sent = base.sparkSession.sparkContext.broadcast((mean, np.concatenate(turns, axis=1)))
 
     def keys_of(codes: np.ndarray) -> np.ndarray:
         """n x tables: the substring of each table."""
@@ -225,8 +238,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     judged = written(groups.mapInArrow(judge, "a long, b long, n long"), "itq-links")
     counts = judged.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     found = smallest_members(nodes.select("node", F.col("node").alias("first")), judged.filter("b IS NOT NULL").select("a", "b"), "itq")
-    told = nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(found, "node").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", F.lit(True).alias("ok"))
+    told = nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(found, "node").select("h1", "h2", F.lit(dim).alias("dim"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     told = written(told, "itq-told")
-    out = base.select("id", "h1", "h2", "ok").join(told, ["h1", "h2", "ok"], "left")
-    component = F.coalesce("component", alone)
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    for old in (judged, alive, coded, nodes):
+        discard(old)
+    return told
+
+
+#: The query in SQL: all pairs, and components by the smallest id reachable.
+LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+good AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM v
+  WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM v
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON node = v.vec_id
+"""

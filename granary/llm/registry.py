@@ -140,4 +140,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": pipeline, "op11_hard_negatives": op11_hard_negatives, "op12_sequenced_changes": op12_sequenced_changes, "op13_pair_index_bpe": op13_pair_index_bpe, "op6_itq_dedup": op6_itq_dedup, "op3_language": op3_language, "op5_token_counts": op5_token_counts, "op1_quality": op1_quality, "op10_decontaminate": op10_decontaminate, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op7_chat_windows": op7_chat_windows, "op8_suffix_dedup": op8_suffix_dedup, "op9_simhash": op9_simhash}
-ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL}
+ORACLE: dict[str, str] = {"op7_chat_windows": chat_windows.DIGESTS_SQL, "op6_itq_dedup": itq_dedup.LINKS_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL}

@@ -12,9 +12,10 @@ Such strings are found without sorting the whole corpus:
    every occurrence.  Only anchors whose gram occurs elsewhere go on; an anchor
    whose whole surroundings occur elsewhere is settled at once.
 3. The other surroundings meet by gram.  Their repeated strings are put in
-   suffix order, and previous and next smaller text positions in that order
-   tell whether the longest previous (or next) factor of a start reaches
-   ``length``.
+   suffix order; one stack pass over the positions in that order finds the
+   previous and next smaller text position of each, and the longer of the two
+   common prefixes is its longest previous factor (cut at ``length``).  Starts
+   whose factor reaches ``length`` are repeated.
 4. A gram with more than ``group`` different surroundings is not gathered.  Its
    strings are dealt into ranges of starts; a range whose union occurs
    elsewhere is settled, one whose common core is unique is dropped, and only
@@ -150,18 +151,49 @@ def surroundings(n: int, at: int, length: int) -> tuple[int, int]:
     return max(0, at - (length - gram_size(length))), min(n, at + length)
 
 
+def common_prefixes(a: np.ndarray, b: np.ndarray, sums: np.ndarray, inverse: np.ndarray, length: int) -> np.ndarray:
+    """How many symbols from a and from b on agree, at most ``length``: by bisection over rolling hashes."""
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
+    while (low < high).any():
+        mid = (low + high + 1) >> 1
+        same = (sums[a + mid] - sums[a]) * inverse[a] == (sums[b + mid] - sums[b]) * inverse[b]
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
+def longest_factors(positions: list[int], prefixes: list[int]) -> list[int]:
+    """The longest previous factor of each entry of a suffix order.
+
+    ``positions``: text positions in suffix order; ``prefixes[i]``: common prefix
+    of entry i and the one before it.  The stack holds entries of ascending
+    position, each with the least prefix down to the entry below it.  What stands
+    below a new entry is its previous smaller position; the entry that takes
+    one off the stack is that one's next smaller position.
+    """
+    out = [0] * len(positions)
+    stack: list[tuple[int, int, int]] = []
+    for i, position in enumerate(positions):
+        prefix = prefixes[i]
+        while stack and stack[-1][0] > position:
+            _, below, j = stack.pop()
+            out[j] = max(out[j], prefix)
+            prefix = min(prefix, below)
+        out[i] = prefix if stack else 0
+        stack.append((position, prefix, i))
+    return out
+
+
 def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool, symbol: np.dtype = SYMBOL["byte"]) -> list[np.ndarray]:
     """For each part: the starts in it whose string occurs at another text position (an earlier one unless ``both``).
 
     ``begins[i]``: the text position of part i in a numbering of all texts.
 
     Rolling hashes drop the starts whose string is unique here.  The others are
-    put in suffix order, cut at ``length`` bytes; suffixes equal up to there
-    stand in the order of their text positions.  So the previous smaller
-    position of an entry is its nearest left neighbour at another position, and
-    the longest previous factor reaches ``length`` just if that neighbour has
-    the same string.  Next smaller positions of the mirrored order give the
-    longest next factor in the same way.
+    put in suffix order, cut at ``length`` symbols; suffixes equal up to there
+    stand in the order of their text positions, so all but the first of them
+    have a previous smaller position beside them, at a common prefix of
+    ``length``.  The first ones go through the stack pass of
+    ``longest_factors``; the mirrored positions give the longest next factors.
     """
     wide = symbol.itemsize
     sizes = np.array([len(p) // wide for p in parts])
@@ -189,15 +221,25 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
         names = np.array([strings.setdefault(joined[s : s + span], len(strings)) for s in at], np.int64)
         heads = [at[i] for i in np.unique(names, return_index=True)[1].tolist()]
     rank = np.empty(len(heads), np.int64)
-    rank[sorted(range(len(heads)), key=lambda n: joined[heads[n] : heads[n] + span])] = np.arange(len(heads))
+    by_string = sorted(range(len(heads)), key=lambda n: joined[heads[n] : heads[n] + span])
+    rank[by_string] = np.arange(len(heads))
     texts = begins[ids[alive]] + within[alive]
     order = np.lexsort((texts, rank[names]))
     names, texts, alive = names[order], texts[order], alive[order]
-    new = np.concatenate([[True], names[1:] != names[:-1]])
-    run = np.cumsum(new) - 1
-    hit = texts > texts[np.flatnonzero(new)][run]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    last = np.concatenate([first[1:], [len(names)]]) - 1
+    run = np.repeat(np.arange(len(first)), last - first + 1)
+    ordered = np.array(heads, np.int64)[by_string] // wide
+    prefixes = [0, *common_prefixes(ordered[:-1], ordered[1:], sums, inverse, length).tolist()]
+
+    def factors(ends: np.ndarray, side: int) -> np.ndarray:
+        """Of every entry, with the positions times ``side``; ``ends``: the entry of each run that has none before it there."""
+        of_ends = np.array(longest_factors((side * texts[ends]).tolist(), prefixes), np.int64)
+        return np.where(side * texts > side * texts[ends][run], length, of_ends[run])
+
+    hit = factors(first, 1) >= length
     if both:
-        hit |= texts < texts[np.concatenate([np.flatnonzero(new)[1:], [len(names)]]) - 1][run]
+        hit |= factors(last, -1) >= length
     found = np.sort(alive[hit])
     cut = np.searchsorted(ids[found], np.arange(len(parts) + 1))
     return [within[found[cut[i] : cut[i + 1]]] for i in range(len(parts))]
