@@ -41,8 +41,11 @@ FEED = "client_id long, n long, change_id long, day int, op string, city string,
 OUTPUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
 BATCHES, WAIT, FRESH, INLINE = 10, 8, 20_000, 32
 END_OF_TIME = (1 << 31) - 1
-#: Settings of the stream; a state store is closed with its task, for the next start opens it anew.
+#: Settings of the stream: a state store is closed with its task, for the next start opens it anew, and those of an executor share a bounded memory.
 SETTINGS = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
@@ -98,12 +101,13 @@ class Applier(StatefulProcessor):
                     yield self.told(key, n, self.take(n), "rejected", batch)
         moved = full
         for n in sorted(fresh):
+            if n < self.next:
+                yield self.told(key, n, fresh[n], "rejected", batch)
+                continue
             while moved and self.next < n and self.holds(self.next):
                 yield self.apply(key, self.next, self.take(self.next), batch)
             moved = n == self.next
-            if n < self.next:
-                yield self.told(key, n, fresh[n], "rejected", batch)
-            elif moved:
+            if moved:
                 yield self.apply(key, n, fresh[n], batch)
             elif len(self.kept) < self.most_kept:
                 self.kept[n] = fresh[n]
@@ -202,7 +206,7 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
         discard(old)
     spark.createDataFrame([], FEED).write.parquet(f"{feed}/rows-0")
     schema = spark.createDataFrame([], FEED).schema
-    before = {key: spark.conf.get(key) for key in SETTINGS}
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     try:
@@ -220,7 +224,7 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, batches: int =
         return told(spark.read.schema(OUTPUT).parquet(output), spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "client").load())
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stream(spark: SparkSession, feed: str) -> DataFrame:
