@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from granary.operators.layout import stored
 from granary.plans import base
 from granary.sources import readers, sinks
 from granary.streaming import attempts
+from granary.streaming.commits import Commits
 
 CHUNK = "chunk_id string, source struct<source_id:string,title:string,publisher:string,year:int,page:int,section:string,url:string>, text string"
 
@@ -131,7 +131,9 @@ def generate_cards(spark, a):
     log_schema = "status string, model_alias string, label string, chunk_id string, card_id string, error string, raw_output string"
     for spec in specs:
         log, out = f"{a.output_dir}/{spec['alias']}_attempts", f"{a.output_dir}/{spec['alias']}_cards"
-        done = readers.jsonl(spark, log, log_schema)
+        runs = Commits(spark, f"{a.output_dir}/{spec['alias']}_commits", out, log)
+        run = runs.begin()
+        done = runs.read(log, log_schema)
         left = attempts.remaining(planned, done, "label", "chunk_id")
         if left.isEmpty():
             continue
@@ -143,9 +145,10 @@ def generate_cards(spark, a):
         fault = F.when(F.col("_o").isNull(), F.lit("no JSON object")).otherwise(F.col("error"))
         fault = F.coalesce(fault, F.when(~valid(spark, made.select(*card), a.schema), F.lit("schema errors")))
         judged = stored(models.route(made.withColumn("_fault", fault).withColumn("error", F.col("_error")), F.col("_fault").isNotNull()).withColumnRenamed("status", "_status").withColumn("status", F.lit("candidate")).drop("_o"), "attempts")
-        sinks.card_lines(judged.filter("_status = 'accepted'").select(*card), f"{out}/run={uuid.uuid4().hex}")
-        sinks.jsonl(judged.select(F.col("_status").alias("status"), F.lit(spec["alias"]).alias("model_alias"), "label", "chunk_id", "card_id", F.coalesce("error", "_fault").alias("error"), F.col("output").alias("raw_output")), log, append=True)
-        counts = attempts.counters(readers.jsonl(spark, log, log_schema), "model_alias", planned=planned.withColumn("model_alias", F.lit(spec["alias"])), before=done)
+        sinks.card_lines(judged.filter("_status = 'accepted'").select(*card), f"{out}/run={run}")
+        sinks.jsonl(judged.select(F.col("_status").alias("status"), F.lit(spec["alias"]).alias("model_alias"), "label", "chunk_id", "card_id", F.coalesce("error", "_fault").alias("error"), F.col("output").alias("raw_output")), f"{log}/run={run}")
+        runs.commit(run)  # cards and attempts count from here on, together
+        counts = attempts.counters(runs.read(log, log_schema), "model_alias", planned=planned.withColumn("model_alias", F.lit(spec["alias"])), before=done)
         sinks.json_report(counts, f"{a.output_dir}/{spec['alias']}_summary.json")
 
 
@@ -155,11 +158,15 @@ def generate_one(spark, a):
         chosen = readers.single_card(spark, a.card_json).withColumn("ord", F.lit(1))
     else:
         chosen = checks.point(readers.card_lines(spark, a.cards, strict=True), "card_id", a.card_id)
+    lacking = cards.missing_fields({"card_id": ["card_id"], "primary_edos_label": ["primary_label"], "edos_alignment": ["edos_alignment"], "chunk": ["chunk", "source_quote"], "argument": ["argument", "claim"]})
+    if missing := chosen.select(lacking.alias("m")).head()["m"]:
+        raise ValueError(f"the card lacks {missing}")
     line = source_line(*[F.col(f"source.{c}") for c in ("title", "publisher", "year", "page", "url", "file_name")])
     asked = chosen.withColumn("hate_speech", F.lit(a.hate_speech)).withColumn("prompt", prompts.counter(F.lit(a.hate_speech), line, a.language, a.max_sentences, a.cite_source, a.strategy))
-    spec = {"alias": a.model, "url": a.url, "temperature": a.temperature, "timeout": a.timeout, "fields": ["counterspeech", "card_use", "notes"]}
+    spec = {"alias": a.model, "url": a.url, "temperature": a.temperature, "timeout": a.timeout, "fields": list(models.ANSWER)}
     told = models.generate(asked, models.generator(spec), retries=2)
-    rows = told.select("hate_speech", F.col("primary_label").alias("label"), F.lit(a.strategy).cast("string").alias("strategy"), F.lit(a.language).alias("language"), "card_id", "claim", F.lit(a.model).alias("model"), "output")
+    model = F.struct(F.lit("ollama" if a.url else "stand-in").alias("provider"), F.lit(a.model).alias("model"), F.lit(a.temperature).alias("temperature"), F.lit(a.url).cast("string").alias("ollama_url"))
+    rows = told.withColumns({"strategy": F.lit(a.strategy).cast("string"), "language": F.lit(a.language), "max_sentences": F.lit(a.max_sentences), "model": model})
     sinks.json_report(models.generation_record(rows), a.output)
 
 

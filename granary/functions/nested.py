@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 from granary.functions.text import col
 
 
-def json_object(x: Column | str) -> Column:
-    """The text as a JSON object (VARIANT): whole, from its first brace to its last, or that ``repaired``; else null."""
+def json_object(x: Column | str, repair: bool = True) -> Column:
+    """The text as a JSON object (VARIANT): whole, from its first brace to its last, or (``repair``) that ``repaired``; else null."""
     text = F.trim(col(x))
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    tries = [F.try_parse_json(t) for t in (text, F.nullif(inner, F.lit("")), repaired(text))]
+    tries = [F.try_parse_json(t) for t in (text, F.nullif(inner, F.lit("")), *([repaired(text)] if repair else []))]
     return F.coalesce(*[F.when(F.schema_of_variant(t).startswith("OBJECT"), t) for t in tries])
 
 
@@ -33,8 +33,8 @@ def repaired(text: Column) -> Column:
     return F.nullif(F.regexp_replace(out, r",(\s*[}\]])", "$1"), F.lit("}"))
 
 
-def json_object_or(x: Column | str, fallback: Column) -> Column:
-    return F.coalesce(json_object(x), F.parse_json(F.to_json(fallback)))
+def json_object_or(x: Column | str, fallback: Column, repair: bool = True) -> Column:
+    return F.coalesce(json_object(x, repair), F.parse_json(F.to_json(fallback)))
 
 
 @F.pandas_udf(T.StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import generated_keywords, keyword_set, normalize_space, or_default, overlap, split_words, tokens
-from granary.operators.layout import dealt
+from granary.operators.layout import dealt, running
 
 
 def normalize_cards(cards: DataFrame) -> DataFrame:
@@ -113,10 +113,10 @@ def mock_cards(passages: DataFrame, definition: Column) -> DataFrame:
 
 def ensure_card_ids(cards: DataFrame, label: str = "primary_label") -> DataFrame:
     """Blank card ids become SOURCE_label_NNN, counted in order within the label."""
-    n = F.row_number().over(Window.partitionBy(label).orderBy("ord"))
+    placed = running(cards.withColumn("_one", F.lit(1)), [label], ["ord"], "_one")
     code = F.replace(F.element_at(F.split(label, " "), 1), F.lit("."), F.lit("_"))
-    made = F.concat_ws("_", or_default("source_id", "SRC"), code, F.format_string("%03d", n))
-    return cards.withColumn("card_id", F.coalesce(F.nullif("card_id", F.lit("")), made))
+    made = F.concat_ws("_", or_default("source_id", "SRC"), code, F.format_string("%03d", F.col("before") + 1))
+    return placed.withColumn("card_id", F.coalesce(F.nullif("card_id", F.lit("")), made)).select(cards.columns)
 
 
 def assemble_cards(outputs: DataFrame) -> DataFrame:

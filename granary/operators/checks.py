@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,20 +43,35 @@ def point(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFram
     return found
 
 
-def resolve_checkpoint(root: str, name: str) -> str:
+def _files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """Path and size of every file below a folder of the session's file systems, or of the file itself."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found, out = fs.listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen()))
+    return out
+
+
+def resolve_checkpoint(spark: SparkSession, root: str, name: str) -> str:
     """A model file under ``root``: in a folder of the name, beside it, or the only one anywhere below."""
-    direct = [p for p in (os.path.join(root, name, name), os.path.join(root, name)) if os.path.isfile(p)]
-    if direct:
-        return direct[0]
-    found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files if f == name]
+    found = sorted(p for p, _ in _files(spark, root) if p.endswith(f"/{name}"))
+    base = root.rstrip("/")
+    for direct in (f"{base}/{name}/{name}", f"{base}/{name}"):
+        if hits := [p for p in found if p.endswith(direct)]:
+            return hits[0]
     if len(found) != 1:
         raise FileNotFoundError(f"{len(found)} files named {name} under {root}")
     return found[0]
 
 
-def is_complete(paths: list[str]) -> bool:
+def is_complete(spark: SparkSession, paths: list[str]) -> bool:
     """All artifacts of a run are there and hold something."""
-    return all(os.path.isfile(p) and os.path.getsize(p) > 0 for p in paths)
+    return all(sum(n for _, n in _files(spark, p)) > 0 for p in paths)
 
 
 def label_names(config: dict[int, str], taxonomy: list[str]) -> dict[int, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.sources.paths import new_path
@@ -30,9 +30,24 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored`` once nothing reads it any more."""
     path = getattr(df, "_granary_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        drop_folder(df.sparkSession, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folders(spark: SparkSession, path: str, done: bool = True) -> list[str]:
+    """Names of what lies in a folder; with ``done`` only folders with a writer's success mark."""
+    sc = spark.sparkContext
+    new = sc._jvm.org.apache.hadoop.fs.Path
+    root = new(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if not done or fs.exists(new(s.getPath(), "_SUCCESS")))
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.nested import json_object_or
+
 Embed = Callable[[list[str]], list[list[float]]]
 Generate = Callable[[list[str]], list[str]]
 
@@ -81,10 +83,29 @@ def select_models(specs: list[dict], wanted: list[str] | None = None) -> list[di
     return [s for s in specs if s.get("enabled", True)]
 
 
+# Fields of an answer, and the note beside one that is no JSON object.
+ANSWER = ("counter_narrative", "used_claim", "grounding_note")
+NO_JSON = "Model did not return valid JSON; raw text was stored."
+
+
+def answer(output: Column) -> Column:
+    """The trimmed texts of ``ANSWER``: of the JSON object that the output is or holds, else the output itself and a note."""
+    raw = F.coalesce(output, F.lit(""))
+    fallback = F.struct(F.trim(raw).alias(ANSWER[0]), F.lit("").alias(ANSWER[1]), F.lit(NO_JSON).alias(ANSWER[2]))
+    found = F.array(json_object_or(raw, fallback, repair=False))  # the array binds the object, so it is parsed once
+    strip = lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), r"^\s+|\s+$", "")
+    return F.transform(found, lambda o: F.struct(*[strip(F.try_variant_get(o, f"$.{c}", "string")).alias(c) for c in ANSWER]))[0]
+
+
 def generation_record(rows: DataFrame) -> DataFrame:
-    """Nested record of input, card, generation and model; generated texts are trimmed, missing ones empty."""
-    texts = [F.trim(F.coalesce(F.get_json_object("output", f"$.{c}"), F.lit(""))).alias(c) for c in ("counterspeech", "card_use", "notes")]
-    return rows.select(F.struct("hate_speech", "label", "strategy", "language").alias("input"), F.struct("card_id", "claim").alias("card"), F.struct(*texts).alias("generation"), F.col("model"), F.col("output").alias("raw_output"))
+    """Nested record of input, card, generation, model and raw_model_output.
+
+    rows: hate_speech, strategy, language, max_sentences, card_id,
+    primary_label, reasoning, argument, claim, chunk, source_quote, source, model (a struct), output.
+    """
+    either = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
+    card = F.struct("card_id", F.col("primary_label").alias("primary_edos_label"), "reasoning", either("argument", "claim").alias("argument"), either("chunk", "source_quote").alias("chunk"), "source")
+    return rows.select(F.struct("hate_speech", "strategy", "language", "max_sentences").alias("input"), card.alias("card"), answer(F.col("output")).alias("generation"), "model", F.col("output").alias("raw_model_output"))
 
 
 def hash_embedder(dim: int = 64) -> Callable[[], Embed]:

@@ -15,7 +15,7 @@ Definition: {definition}
 Return the fields source_quote, claim, edos_alignment, secondary_edos_labels and retrieval_keywords.
 source_quote is copied word for word from the passage, {least} to {most} characters long if possible.
 claim says one thing only, which the quote supports; edos_alignment says why it serves this label and no other.
-Do not answer anybody, and return nothing if the passage has no such evidence.
+Do not answer anybody, keep drafts and thoughts to yourself, and return nothing if the passage has no such evidence.
 
 Source: {source}
 
@@ -30,7 +30,7 @@ Definition: {definition}
 Return a JSON object of two texts and nothing else:
 reasoning: two to four sentences on how the passage bears on the idea behind the label;
 argument: one argument of its own against that idea, factual, specific to the label, without insult.
-Invent no facts, figures, laws or sources.
+Invent no facts, figures, laws or sources, and show no drafts.
 
 Source: {source}
 Chunk: {chunk_id}
@@ -40,8 +40,9 @@ Passage:
 
 COUNTER_RULES = """You write short answers to hate against women, in {language}, of at most {sentences} sentences.
 Use the card as the ground and add no facts. Do not insult, do not claim experience of your own, do not repeat the hateful idea.
+Answer the idea itself, and never speak of being a machine or a model.
 {cite}
-Return a JSON object with counter_narrative, used_claim and grounding_note."""
+Return a JSON object with counter_narrative, used_claim and grounding_note, and nothing before or after it."""
 
 COUNTER = """Message:
 {message}

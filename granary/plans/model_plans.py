@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import nested, text
-from granary.operators import cards as card_ops
+from granary.operators import cards as card_ops, trainer
 from granary.operators import checks, ensemble, models, retrieval, review
 from granary.plans import retrieval_plans
 from granary.plans.base import CARDS_SQL, TAXONOMY_SQL, TERMS, VOTERS, cards, flat_sql, label_of, label_sql, predictions, prob_sql, query, table, taxonomy, words_sql
@@ -156,14 +156,29 @@ def selected_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "alias string, place int")
 
 
-@query("SELECT doc_id, 'text ' || lang AS counterspeech, '' AS card_use, lang AS language, 'm' AS model FROM documents")
+ANSWERED_SQL = """
+WITH made AS (SELECT doc_id, lang, source, CASE
+    WHEN doc_id % 3 = 0 THEN '{"counter_narrative": " about ' || coalesce(source, '') || ' ", "used_claim": "c' || doc_id || '", "more": 1}'
+    WHEN doc_id % 3 = 1 THEN 'Sure: {"counter_narrative": "in words", "grounding_note": " by card "} I hope it helps.'
+    ELSE ' no object {, ' || coalesce(source, '') END AS output FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim('about ' || coalesce(source, '')) WHEN 1 THEN 'in words' ELSE trim(output) END AS counter_narrative,
+  CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id ELSE '' END AS used_claim,
+  CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'by card' ELSE 'Model did not return valid JSON; raw text was stored.' END AS grounding_note,
+  lang AS language, 'm' AS model, output AS raw_model_output FROM made"""
+
+
+@query(ANSWERED_SQL)
 def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested records of input, card, trimmed texts and model."""
+    """Records of answers that are an object, hold one amid other text, or are plain text."""
     null = F.lit(None).cast("string")
-    output = F.concat(F.lit('{"counterspeech": " text '), "lang", F.lit(' "}'))
-    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("hate_speech"), null.alias("label"), null.alias("strategy"), F.col("lang").alias("language"), F.col("doc_id").cast("string").alias("card_id"), null.alias("claim"), F.lit("m").alias("model"), output.alias("output"))
+    source = F.coalesce("source", F.lit(""))
+    given = F.concat(F.lit('{"counter_narrative": " about '), source, F.lit(' ", "used_claim": "c'), "doc_id", F.lit('", "more": 1}'))
+    amid = F.lit('Sure: {"counter_narrative": "in words", "grounding_note": " by card "} I hope it helps.')
+    output = F.when(F.col("doc_id") % 3 == 0, given).when(F.col("doc_id") % 3 == 1, amid).otherwise(F.concat(F.lit(" no object {, "), source))
+    model = F.struct(F.lit("ollama").alias("provider"), F.lit("m").alias("model"))
+    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("hate_speech"), null.alias("strategy"), F.col("lang").alias("language"), F.lit(2).alias("max_sentences"), F.col("doc_id").cast("string").alias("card_id"), *[null.alias(c) for c in ("primary_label", "reasoning", "argument", "claim", "chunk", "source_quote", "source")], model.alias("model"), output.alias("output"))
     made = models.generation_record(rows)
-    return made.select(F.col("card.card_id").cast("long").alias("doc_id"), "generation.counterspeech", "generation.card_use", "input.language", "model")
+    return made.select(F.col("card.card_id").cast("long").alias("doc_id"), "generation.*", "input.language", "model.model", "raw_model_output")
 
 
 @query(f"WITH {CARDS_SQL} SELECT doc_id, coalesce(secondary_label, '') AS labels, year::VARCHAR AS year, source_id AS source FROM cards")
@@ -235,3 +250,24 @@ def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review states over the card's own, which stay where nothing was decided."""
     decision = F.when(F.pmod("doc_id", F.lit(4)) == 0, "Accept").otherwise("")
     return cards(spark, sf_dir).select("doc_id", F.coalesce(F.nullif(review.review_status(decision, "status"), F.lit("")), F.lit("blank")).alias("status"))
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[trainer.Trained, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label"))
+    docs = docs.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+    return trainer.train(docs, F.col("held")), docs
+
+
+@query()
+def trained_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and held-out figures of every epoch of a classifier of the language, and the best of them."""
+    found, _ = _trained(spark, sf_dir)
+    rows = [(e["epoch"], e["loss"], e["macro_f1"], e["accuracy"], e["epoch"] == found.best) for e in found.epochs]
+    return spark.createDataFrame(rows, "epoch int, loss double, macro_f1 double, accuracy double, best boolean")
+
+
+@query()
+def trained_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best epoch's model says of every document."""
+    found, docs = _trained(spark, sf_dir)
+    return trainer.predict(found, docs, "doc_id", "held", "label")

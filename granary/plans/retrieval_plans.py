@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import index, retrieval
+from granary.operators.word_index import WordIndex
 from granary.plans.base import cards, label_of, label_sql, query, table, words_sql
+from granary.sources.paths import new_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,40 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("score"))
 
 
+INDEX_SQL = BM25_SQL.replace("FROM documents", "FROM kept")
+KEPT_SQL = "kept AS (SELECT CASE WHEN doc_id % 7 = 3 THEN 'again ' || text ELSE text END AS text, doc_id FROM documents WHERE doc_id % 5 <> 1)"
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """An index that was built, got more documents, new versions and losses, each batch sent twice, and was compacted in between."""
+    docs, found = _docs(spark, sf_dir), WordIndex(spark, new_path(spark, "word-index"))
+    part = F.pmod("doc_id", F.lit(2)) == 0
+    versions = docs.filter(F.pmod("doc_id", F.lit(7)) == 3).withColumn("text", F.concat(F.lit("again "), "text"))
+    steps = [("first", docs.filter(part), None), ("more", docs.filter(~part), None), ("versions", versions, None), ("losses", None, docs.filter(F.pmod("doc_id", F.lit(5)) == 1))]
+    for name, new, gone in steps:
+        if found.apply(name, new, gone) == found.apply(name, new, gone):
+            raise ValueError(f"batch {name} counted twice")
+        if name == "more":
+            found.compact("compacted")
+    return found
+
+
+@query(f"WITH {KEPT_SQL}, {INDEX_SQL} {_top('bm', 'bm25', 5)}")
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a stored index that followed its library."""
+    best = retrieval.ranked(_followed(spark, sf_dir).bm25(_queries(spark, sf_dir)), 5, "bm25")
+    return best.select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("score"))
+
+
+@query(f"WITH {KEPT_SQL}, {INDEX_SQL} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, (SELECT count(*) FROM df) AS n_words, (SELECT sum(df)::BIGINT FROM df) AS n_postings, (SELECT sum(tf)::BIGINT FROM tf) AS n_tokens FROM size")
+def stored_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, words and postings of the same index from its sums."""
+    found = _followed(spark, sf_dir)
+    words = found.read("words").groupBy("word").agg(F.sum("df").alias("df")).filter("df > 0").agg(F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_postings"))
+    tokens_ = found.read("postings").agg(F.sum(F.col("sign") * F.col("tf")).alias("n_tokens"))
+    return found.size().select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(words).crossJoin(tokens_)
+
+
 @query(f"WITH {TFIDF_SQL}, {ALL_SQL.format(source='ti', score='tfidf')} {_top('every', 'tfidf', 5)}")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
@@ -124,19 +160,19 @@ JACCARD = "len(list_intersect({a}, {b})) / greatest(1, len({a}) + len({b}) - len
 SETS_SQL = f"ws AS MATERIALIZED (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents)"
 
 
-def _mmr_sql(k: int, own: float) -> str:
+def _mmr_sql(k: int, own: float, source: str = "ti", score: str = "tfidf") -> str:
     """Step by step over all pairs: relevance and the largest cosine to what is chosen."""
     out = [
         "unit AS MATERIALIZED (SELECT doc_id, gram, w / norm AS w FROM gw JOIN gn USING (doc_id))",
-        ALL_SQL.format(source="ti", score="tfidf"),
-        "st1 AS MATERIALIZED (SELECT query_id, doc_id, tfidf AS rel, 0::DOUBLE AS near FROM every)",
+        ALL_SQL.format(source=source, score=score),
+        f"st1 AS MATERIALIZED (SELECT query_id, doc_id, {score} AS rel, 0::DOUBLE AS near FROM every)",
     ]
     for step in range(1, k + 1):
         out.append(f"pick{step} AS MATERIALIZED (SELECT query_id, doc_id, gain, rel FROM (SELECT *, round({own} * rel - {round(1 - own, 9)} * near, 9) AS gain FROM st{step}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
         if step < k:
             out.append(f"sim{step} AS MATERIALIZED (SELECT p.query_id, b.doc_id, sum(a.w * b.w) AS sim FROM pick{step} p JOIN unit a ON a.doc_id = p.doc_id JOIN unit b ON b.gram = a.gram GROUP BY ALL)")
             out.append(f"st{step + 1} AS MATERIALIZED (SELECT s.query_id, s.doc_id, s.rel, greatest(near, coalesce(sim, 0)) AS near FROM st{step} s JOIN pick{step} p ON p.query_id = s.query_id AND p.doc_id <> s.doc_id LEFT JOIN sim{step} m ON m.query_id = s.query_id AND m.doc_id = s.doc_id)")
-    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {step}::BIGINT AS rank, doc_id, round(gain, 4) AS mmr_score, round(rel, 4) AS relevance FROM pick{step}" for step in range(1, k + 1))
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {step}::BIGINT AS rank, doc_id, {'round(gain, 4) AS mmr_score, ' if source == 'ti' else ''}round(rel, 4) AS relevance FROM pick{step}" for step in range(1, k + 1))
 
 
 MMR_SQL = f"WITH {TFIDF_SQL}, {_mmr_sql(5, 0.7)}"
@@ -150,6 +186,25 @@ def card_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"), F.round("relevance", 4).alias("relevance"))
 
 
+SEMANTIC_SQL = """
+unit_e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12)) AS v FROM embeddings),
+sem AS (SELECT query_id, doc_id, similarity FROM (
+  SELECT b.item_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) AS similarity, row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_dot_product(q.v, d.v), 9) DESC, d.vec_id) AS n
+  FROM benchmark b JOIN unit_e q ON q.vec_id = b.item_id CROSS JOIN unit_e d JOIN documents k ON k.doc_id = d.vec_id) WHERE n <= 50)"""
+
+
+@query(f"WITH {TFIDF_SQL}, {SEMANTIC_SQL}, {_mmr_sql(5, 0.7, 'sem', 'similarity')}")
+def semantic_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diverse documents by the similarity of embeddings (here: of the vectors of the same ids), redundancy by TF-IDF."""
+    docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    asked = queries.join(vectors, F.col("query_id") == F.col("item_id")).select("query_id", "vec")
+    held = vectors.join(docs.select(F.col("doc_id").alias("item_id")), "item_id", "left_semi")
+    similar = retrieval.dense_topk(held, asked, 50).select("query_id", F.col("item_id").alias("doc_id"), F.col("relevance").alias("similarity"))
+    picks = retrieval.retrieve("dense_mmr", docs, queries, 5, 0.7, semantic=similar)
+    return picks.select("query_id", "rank", "doc_id", F.round("score", 4).alias("relevance"))
+
+
 def library_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = "validation"
     quality = retrieval.validation_quality(F.col(f"{v}.faithfulness"), F.col(f"{v}.edos_alignment"), F.col(f"{v}.usefulness"))

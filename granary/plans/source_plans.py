@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import checks, review, splits
+from granary.operators.layout import drop_folder
 from granary.plans.base import CARDS_SQL, TAXONOMY, TAXONOMY_SQL, TERMS, TERMS_SQL, cards, label_of, label_sql, query, table, taxonomy
 from granary.sources import readers, sinks
 from granary.sources.paths import new_path, resolved
+from granary.streaming.library import FollowedFiles
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,12 +100,13 @@ def json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_list(spark, path, "name string")
 
 
-@query("SELECT (2 * n_nationkey)::VARCHAR AS instance_id, n_name AS name FROM nation")
+@query("SELECT (2 * row_number() OVER (PARTITION BY doc_id // 300 ORDER BY doc_id) - 2)::VARCHAR AS instance_id, doc_id, md5(text) AS text_md5 FROM documents")
 def jsonl_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without id take the physical line, blank lines counted."""
+    """Lines without id, in several files, take the physical line of their file, blank lines counted."""
     path = new_path(spark, "lines")
-    sinks.put_text(spark, path, "\n\n".join(json.dumps({"name": r["n_name"]}) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()))
-    return readers.jsonl_by_line(spark, path, "name string")
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 300).alias("part"), "doc_id", F.concat(F.to_json(F.struct("doc_id", "text")), F.lit("\n")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return readers.jsonl_by_line(spark, path, "doc_id long, text string").select("instance_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT n_nationkey::VARCHAR AS instance_id, n_name AS text, '' AS target, '' AS version FROM nation")
@@ -180,9 +183,9 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.put_text(spark, resolved(f"{r['r_name']}.TXT", folder), f"{r['r_name']} text")
     found = readers.files(spark, folder, "*.[tT][xX][tT]")
     first = found.head()
-    if readers.fingerprint(spark, first["path"].replace(" ", "%20") if "%" in first["path"] else first["path"]) != first["sha256"]:
+    if readers.fingerprint(spark, first["path"]) != first["sha256"]:
         raise ValueError("fingerprints differ")
-    return found.select(F.upper(F.replace(F.col("stem"), F.lit("%20"), F.lit(" "))).alias("stem_upper"), F.replace("source_id", F.lit("_20"), F.lit("_")).alias("source_id"), "sha256")
+    return found.select(F.upper("stem").alias("stem_upper"), "source_id", "sha256")
 
 
 @query("SELECT 'there' AS what, true AS found, (SELECT count(*) FROM region) AS n_rows, 'r_other' AS missing UNION ALL SELECT 'none', false, NULL, 'a,b'")
@@ -241,6 +244,26 @@ def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").select(F.col("n_name").alias("path"), "accuracy", "macro_f1")
 
 
+@query("""
+SELECT doc_id, CASE WHEN part = 1 THEN 'new ' || lang ELSE lang END AS note FROM (SELECT doc_id, lang, doc_id % 4 AS part FROM documents) WHERE part <> 2
+UNION ALL SELECT -doc_id - 1, 'added' FROM documents""")
+def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library of four files of which one is replaced, one goes and one comes; the others are not read again."""
+    folder, docs = new_path(spark, "followed"), table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("note"))
+    part = lambda k: docs.filter(F.pmod("doc_id", F.lit(4)) == k)
+    for k in range(4):
+        part(k).coalesce(1).write.json(f"{folder}/in/{k}")
+    held = FollowedFiles(spark, f"{folder}/in", f"{folder}/store", lambda paths: spark.read.schema("doc_id long, note string").json(paths))
+    first = held.sync()
+    part(1).withColumn("note", F.concat(F.lit("new "), "note")).coalesce(1).write.mode("overwrite").json(f"{folder}/in/1")
+    docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("added").alias("note")).coalesce(1).write.json(f"{folder}/in/4")
+    drop_folder(spark, f"{folder}/in/2")
+    second, third = held.sync(), held.sync()
+    if (first["read"], second["read"], second["left"], third["read"]) != (4, 2, 2, 0):
+        raise ValueError(f"files were read again: {first}, {second}, {third}")
+    return held.rows()
+
+
 @query("SELECT page_id, ' id ' || page_id AS text FROM pages")
 def tolerant_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup that regular expressions would misread."""

@@ -48,4 +48,22 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.repartition(3).write.parquet(f"{folder}/in")
     stream = attempts.follow(spark, f"{folder}/in", "event_id long, user_id long, event_type string", "parquet", files_per_trigger=1)
     attempts.keep_latest(stream, f"{folder}/table", f"{folder}/checkpoint", "user_id", "event_id").awaitTermination()
-    return attempts.latest(spark, f"{folder}/table")
+    return attempts.latest(spark, f"{folder}/table", "user_id", "event_id")
+
+
+SUMMARY_SQL = """
+SELECT event_type AS model_alias, count(*) FILTER (s = 'accepted') AS accepted, count(*) FILTER (s = 'rejected') AS rejected, count(*) FILTER (s = 'error') AS errors,
+  count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s <> 'skipped') AS attempts
+FROM (SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'error' ELSE 'skipped' END AS s FROM events) GROUP BY event_type"""
+
+
+@query(SUMMARY_SQL)
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run that stops after half of its attempts and goes on from its checkpoint."""
+    events, folder = table(spark, sf_dir, "events").select("event_id", "event_type"), new_path(spark, "stream")
+    for half in (0, 1):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).write.mode("append").parquet(f"{folder}/in")
+        stream = attempts.follow(spark, f"{folder}/in", "event_id long, event_type string", "parquet")
+        status = F.element_at(F.array(*map(F.lit, ("accepted", "rejected", "error", "skipped"))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+        attempts.summarise(stream.select(F.col("event_type").alias("model_alias"), status.alias("status")), f"{folder}/out", f"{folder}/checkpoint", "model_alias").awaitTermination()
+    return attempts.summary(spark, f"{folder}/out")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from granary.functions import nested, text
 from granary.operators import cards as card_ops
 from granary.operators import chunking, profile, quotes
+from granary.operators.word_index import TrigramIndex
 from granary.plans.base import CARDS_SQL, TERMS, TERMS_SQL, cards, flat_sql, label_of, label_sql, query, table, term_sets, words_sql
+from granary.sources.paths import new_path
 
 
 @query(f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)")
@@ -142,6 +144,16 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"))
 
 
+@query("SELECT doc_id, q FROM (SELECT doc_id, unnest(['worthless', 'the', 'e w']) AS q, text FROM documents) WHERE contains(lower(text), q) AND doc_id % 4 <> 1")
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a string, by a stored index of runs of three characters, from which some documents have gone."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), TrigramIndex(spark, new_path(spark, "trigrams"))
+    held.apply("all", docs)
+    held.apply("gone", None, docs.filter(F.pmod("doc_id", F.lit(4)) == 1))
+    found = [held.holding(docs, q).select("doc_id", F.lit(q.lower()).alias("q")) for q in ("Worthless", "the", "e w")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 CARD_RULES = {
     "type": "object",
     "required": ["id", "claim", "label"],

@@ -89,10 +89,23 @@ def json_list(spark: SparkSession, path: str, value: str, id_col: str = "instanc
     return items.select(own.alias(id_col), F.from_json("_item", value).alias("_r")).select(id_col, "_r.*")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, as read from files, with their zero-based place in their file.
+
+    Rows are counted per split of a file, and the counts of the splits before are
+    added up; only one row per split is moved.
+    """
+    told = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    splits = told.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    found = told.join(shifts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return found.withColumn(name, F.col("_place") + F.col("_shift")).drop("_file", "_block", "_place", "_f", "_b", "_shift")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and its zero-based line in each file, blank lines counted; a file is one row until it is split."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """value and its zero-based line in each file, blank lines counted; large files are read in splits."""
+    return numbered(spark.read.text(path), "line")
 
 
 def jsonl_by_line(spark: SparkSession, path: str, value: str, id_col: str = "instance_id") -> DataFrame:
@@ -114,8 +127,7 @@ def csv_with_ids(spark: SparkSession, path: str, optional: tuple[str, ...] = ("t
     rows = csv(spark, path, optional=optional)
     if "instance_id" in rows.columns:
         return rows.withColumn("instance_id", F.col("instance_id").cast("string"))
-    order = Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
-    return rows.withColumn("instance_id", (F.row_number().over(order) - 1).cast("string"))
+    return numbered(rows, "_at").withColumn("instance_id", F.col("_at").cast("string")).drop("_at")
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granary.operators.review import last_wins
+from granary.operators.layout import drop_folder, folders
+from granary.streaming.keyed import KeyedTable
 
 
 def follow(spark: SparkSession, folder: str, schema: str, fmt: str = "json", files_per_trigger: int = 1000) -> DataFrame:
@@ -28,6 +29,12 @@ def all_attempted(planned: DataFrame, log: DataFrame, *keys: str) -> bool:
     return remaining(planned, log, *keys).isEmpty()
 
 
+def tallies() -> list[Column]:
+    """accepted, rejected, errors, skipped and attempts (all but the skipped)."""
+    kinds = {"accepted": "accepted", "rejected": "rejected", "errors": "error", "skipped": "skipped"}
+    return [*[F.count_if(F.col("status") == v).alias(k) for k, v in kinds.items()], F.count_if(F.col("status") != "skipped").alias("attempts")]
+
+
 def counters(log: DataFrame, *by: str, planned: DataFrame | None = None, before: DataFrame | None = None, keys: tuple[str, ...] = ("label", "chunk_id")) -> DataFrame:
     """accepted, rejected, errors and attempts; with ``planned`` also skipped: planned work that the log had before."""
     kinds = {"accepted": "accepted", "rejected": "rejected", "errors": "error"}
@@ -44,36 +51,34 @@ def may_resume(stored: str | None, now: str) -> bool:
 
 
 def keep_latest(stream: DataFrame, folder: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Fold each batch into a table of the latest row per key.
+    """Fold each batch into a ``KeyedTable``; a batch that is repeated changes nothing."""
+    held = KeyedTable(stream.sparkSession, folder, key, order)
+    return stream.writeStream.foreachBatch(held.fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, key: str, order: str) -> DataFrame:
+    """What ``keep_latest`` has folded so far."""
+    return KeyedTable(spark, folder, key, order).latest()
+
 
-    The table of batch n lies in version=n and is read back from the newest
-    complete version, so a batch that is repeated writes the same version.
+def summarise(stream: DataFrame, folder: str, checkpoint: str, *by: str) -> StreamingQuery:
+    """Counters of a run kept by a stateful stream: they go on from the checkpoint after any stop.
+
+    The counters after batch n lie in ``after=n``; the last but one goes with the next.
     """
     spark = stream.sparkSession
 
-    def versions() -> list[int]:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-        return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def fold(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions() if v < number]
-        rows = batch
-        if before:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{folder}/version={before[-1]}"))
-        last_wins(rows, key, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete version of ``keep_latest``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{folder}/version={max(done)}")
+    def put(batch: DataFrame, number: int) -> None:
+        for name in folders(spark, folder, done=False):
+            if int(name.removeprefix("after=")) < number - 1:
+                drop_folder(spark, f"{folder}/{name}")
+        batch.write.mode("overwrite").parquet(f"{folder}/after={number}")
+
+    counts = stream.groupBy(*by).agg(*tallies())
+    return counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of ``summarise`` after the newest batch."""
+    newest = max(int(name.removeprefix("after=")) for name in folders(spark, folder))
+    return spark.read.parquet(f"{folder}/after={newest}")

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from granary import cli
+from granary.operators import models
 from granary.functions import sql
 from granary.operators import checks
 
@@ -92,14 +93,14 @@ def test_one_answer_over_http(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
-    asked = []
+    asked, said = [], ['{"counter_narrative": " answer ", "used_claim": "claim of c2"}']
 
     class Chat(BaseHTTPRequestHandler):
         def do_POST(self):
             asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
             self.send_response(500 if len(asked) == 1 else 200)
             self.end_headers()
-            self.wfile.write(json.dumps({"message": {"content": '{"counterspeech": " answer "}'}}).encode())
+            self.wfile.write(json.dumps({"message": {"content": said[0]}}).encode())
 
         def log_message(self, *_):
             pass
@@ -107,11 +108,17 @@ def test_one_answer_over_http(spark, tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Chat)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     (tmp_path / "cards.jsonl").write_text(json.dumps(card("c1", "a quote")) + "\n" + json.dumps(card("c2", "other")))
-    cli.main(["generate-one", "--cards", str(tmp_path / "cards.jsonl"), "--card-id", "c2", "--hate-speech", "go away", "--url", f"http://127.0.0.1:{server.server_port}/api/chat", "--output", str(tmp_path / "one.json")], spark)
+    one = ["generate-one", "--cards", str(tmp_path / "cards.jsonl"), "--card-id", "c2", "--hate-speech", "go away", "--url", f"http://127.0.0.1:{server.server_port}/api/chat", "--output"]
+    cli.main([*one, str(tmp_path / "one.json")], spark)
+    said[0] = "  just an answer, no object "
+    cli.main([*one, str(tmp_path / "plain.json")], spark)
     server.shutdown()
     record = json.loads((tmp_path / "one.json").read_text())[0]
-    assert record["generation"] == {"counterspeech": "answer", "card_use": "", "notes": ""} and record["card"]["card_id"] == "c2"
-    assert len(asked) == 2 and "go away" in asked[1]["messages"][0]["content"] and "claim of c2" in asked[1]["messages"][0]["content"]
+    assert record["generation"] == {"counter_narrative": "answer", "used_claim": "claim of c2", "grounding_note": ""} and record["card"]["card_id"] == "c2"
+    assert record["card"]["argument"] == "claim of c2" and record["model"]["provider"] == "ollama" and record["input"]["max_sentences"] == 2
+    plain = json.loads((tmp_path / "plain.json").read_text())[0]
+    assert plain["generation"] == {"counter_narrative": "just an answer, no object", "used_claim": "", "grounding_note": models.NO_JSON} and plain["raw_model_output"] == said[0]
+    assert len(asked) == 3 and "go away" in asked[1]["messages"][0]["content"] and "claim of c2" in asked[1]["messages"][0]["content"]
     with pytest.raises(ValueError):
         cli.main(["generate-one", "--cards", str(tmp_path / "cards.jsonl"), "--card-id", "none", "--hate-speech", "x", "--output", str(tmp_path / "two.json")], spark)
 
@@ -190,10 +197,10 @@ def test_checks(spark, tmp_path):
         checks.point(chunks.selectExpr("*", "1 AS ord"), "chunk_id", "z")
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "m.pt").write_text("x")
-    assert checks.resolve_checkpoint(str(tmp_path), "m.pt").endswith("deep/m.pt")
+    assert checks.resolve_checkpoint(spark, str(tmp_path), "m.pt").endswith("deep/m.pt")
     with pytest.raises(FileNotFoundError):
-        checks.resolve_checkpoint(str(tmp_path), "n.pt")
-    assert checks.is_complete([str(tmp_path / "deep" / "m.pt")]) and not checks.is_complete([str(tmp_path / "no")])
+        checks.resolve_checkpoint(spark, str(tmp_path), "n.pt")
+    assert checks.is_complete(spark, [str(tmp_path / "deep" / "m.pt")]) and not checks.is_complete(spark, [str(tmp_path / "no")])
     assert checks.label_names({0: "LABEL_0"}, ["a"]) == {0: "a"} and checks.label_names({0: "b"}, ["a"]) == {0: "b"}
     (tmp_path / "m.json").write_text('{"accuracy": 0.5, "macro_f1": 0.25, "weighted_f1": 1.0}')
     assert checks.metric_files(spark, str(tmp_path / "*.json")).head()["accuracy"] == 0.5

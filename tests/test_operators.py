@@ -124,7 +124,13 @@ def random_cards(spark, n):
     return rows, asked, spark.createDataFrame(rows, "doc_id long, text string, source_id string, primary string, secondary array<string>, keywords array<string>, quality double"), spark.createDataFrame(asked, "query_id long, text string, label string")
 
 
-def test_whole_library_mmr_against_plain_loops(spark):
+def all_pairs(scores):
+    return scores.pairs(scores.asked.select("query_id"))
+
+
+@pytest.mark.parametrize("rounds", [(64, 1024), (6, 12), (1,), ()])
+def test_whole_library_mmr_against_plain_loops(spark, rounds):
+    """The same choice whatever the number of leaders, and by steps over all rows."""
     rows, asked, cards, queries = random_cards(spark, 40)
     vectors, vector_of = plain_tfidf([r[1] for r in rows])
     cosine = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
@@ -135,18 +141,23 @@ def test_whole_library_mmr_against_plain_loops(spark):
             gains = [(round(0.7 * rel[i] - 0.3 * max((cosine(vectors[i], vectors[j]) for j in chosen), default=0.0), 9), -i) for i in range(len(rows)) if i not in chosen]
             chosen.append(-max(gains)[1])
         want[q] = chosen
-    got = {}
-    for r in retrieval.retrieve("dense_mmr", cards, queries, 6).orderBy("query_id", "rank").collect():
+    library, got = index.Tfidf(cards.select("doc_id", "text")), {}
+    scores = library.scores(queries).withColumnRenamed("tfidf", "score")
+    for r in retrieval.lexical_mmr(scores, queries, library, 6, 0.7, rounds).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     assert got == want
+    if len(rounds) != 2:
+        return
     given = spark.createDataFrame([(0, 7, 0.9), (0, 8, 0.5), (1, 3, 0.1)], "query_id long, doc_id long, similarity double")
     first = {r["query_id"]: (r["doc_id"], r["breakdown"]) for r in retrieval.retrieve("dense_mmr", cards, queries, 1, semantic=given).collect()}
     assert first[0] == (7, {"semantic_similarity": 0.9, "mmr_selected_rank": 1.0}) and (first[1][0], first[2][0]) == (3, 0)
 
 
-def test_portfolio_against_plain_loops(spark):
+@pytest.mark.parametrize("rounds", [(64, 1024), (5, 12), (5,), ()])
+def test_portfolio_against_plain_loops(spark, rounds):
+    """The same choice whatever the number of leaders, and by steps over all rows."""
     rows, asked, cards, queries = random_cards(spark, 60)
-    scores = {(r["query_id"], r["doc_id"]): r for r in retrieval.card_scores(cards, queries).collect()}
+    scores = {(r["query_id"], r["doc_id"]): r for r in all_pairs(retrieval.card_scores(cards, queries)).collect()}
     assert len(scores) == len(rows) * len(asked)
     words = [set(r[1].split()) for r in rows]
     want = {}
@@ -165,14 +176,17 @@ def test_portfolio_against_plain_loops(spark):
             source = rows[-best[1]][2] or "UNKNOWN"
             counts[source] = counts.get(source, 0) + 1
         want[q] = chosen
-    picks = retrieval.retrieve("card_aware", cards, queries, 5).orderBy("query_id", "rank").collect()
+    picks = retrieval.portfolio(retrieval.card_scores(cards, queries), cards, rounds=rounds).orderBy("query_id", "rank").collect()
     got = {}
     for r in picks:
         got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == want
+    if len(rounds) != 2:
+        return
+    for r in retrieval.retrieve("card_aware", cards, queries, 5).collect():
         parts = r["breakdown"]
         assert set(parts) == {*retrieval.WEIGHTS, "portfolio_adjusted_score"}
         assert r["score"] == pytest.approx(sum(w * parts[n] for n, w in retrieval.WEIGHTS.items()))
-    assert got == want
     with pytest.raises(ValueError):
         retrieval.card_scores(cards, queries, {"primary_match": 1.0})
 
@@ -203,7 +217,7 @@ def test_mmr_limits(spark):
 def test_portfolio_caps_sources_and_stops(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
     scores = spark.createDataFrame([(0, i, 1.0 - i / 10, "s1" if i < 4 else None) for i in range(6)], "query_id int, doc_id long, score double, source_id string")
-    picks = retrieval.portfolio(scores, docs, k=6, per_source=1).orderBy("rank").collect()
+    picks = retrieval.portfolio_by_steps(scores, docs, k=6, per_source=1).orderBy("rank").collect()
     assert [(r["doc_id"], r["source_id"]) for r in picks] == [(0, "s1"), (4, "UNKNOWN")]
 
 
