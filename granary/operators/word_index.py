@@ -33,7 +33,7 @@ TOTALS = "n long, len long, replaces array<string>, batch string"
 
 
 class WordIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def terms(self, text: Column) -> Column:
