@@ -214,3 +214,84 @@ def test_changes_of_a_hot_client_with_gaps_and_odd_rows(spark, tmp_path, monkeyp
 def test_no_changes(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/client_changes.parquet")
     assert registry.op12_sequenced_changes(spark, str(tmp_path)).collect() == []
+
+
+class Plain:
+    """Value and map state in dictionaries, as a stateful processor sees them."""
+
+    class Held:
+        def __init__(self, handle):
+            self.handle, self.by_key = handle, {}
+
+        def get(self):
+            return self.by_key.get(self.handle.key)
+
+        def update(self, value):
+            self.by_key[self.handle.key] = value
+
+        def own(self):
+            return self.by_key.setdefault(self.handle.key, {})
+
+        def containsKey(self, n):
+            return n[0] in self.own()
+
+        def getValue(self, n):
+            return self.own().get(n[0])
+
+        def updateValue(self, n, value):
+            self.own()[n[0]] = value
+
+        def removeKey(self, n):
+            del self.own()[n[0]]
+
+        def iterator(self):
+            return iter([((n,), v) for n, v in self.own().items()])
+
+    key = None
+
+    def getValueState(self, *_):
+        self.value = Plain.Held(self)
+        return self.value
+
+    def getMapState(self, *_):
+        return Plain.Held(self)
+
+
+@pytest.mark.parametrize(("fresh", "inline"), [(20_000, 32), (5, 3), (2, 1), (3, 0)])
+def test_changes_in_any_order_and_beyond_the_bounds(fresh, inline):
+    """The processor alone: rows of a batch and the clock in any order, more changes than a value or a task holds."""
+    start = datetime.datetime(2024, 1, 1)
+    for seed in range(8):
+        rng, rows = random.Random(seed), []
+        for i in range(260):
+            day = i // 2 + rng.choice([0, 0, 0, 3, 30]) if i < 200 else rng.randrange(150)
+            rows.append((i, rng.choice([7, 7, 7, 1, None]), i // rng.choice([1, 1, 2]), rng.choice(["I", "U", "D", None]), start + datetime.timedelta(days=day, hours=rng.randrange(24)), "s", None, rng.choice(["A", None]), rng.choice([None, 1.005, 12.25])))
+        rank = {c: {s: n for n, s in enumerate(sorted({r[2] for r in rows if r[1] == c}), 1)} for c in (7, 1, None)}
+        fed = defaultdict(lambda: defaultdict(dict))
+        out, clock, handle = [], None, Plain()
+        for change, client, seq, op, at, _, _, city, balance in rows:
+            h = zlib.crc32(str(change).encode())
+            day = (at.date() - datetime.date(1970, 1, 1)).days + 5 * (h % 4)
+            batch = min(10, 1 + math.floor((day - 19723) * 10 / 160))
+            if h % 11:
+                fed[batch][client].setdefault(rank[client][seq], []).append((day, change, op, city, balance))
+        applier = sequenced_changes.Applier(fresh, inline)
+        applier.init(handle)
+        for batch in range(1, 12):
+            today = sequenced_changes.END_OF_TIME if batch > 10 else clock
+            late = set() if clock is None else {c for c, v in handle.value.by_key.items() if any(x[2] <= today - 8 for x in v[4]) or v[5] > 0 and v[6] <= today - 8}
+            for client in {*fed[batch], *late}:
+                own = []
+                for n, given in fed[batch][client].items():
+                    given.sort(key=lambda x: x[:2])
+                    own.append(sequenced_changes.Row(n=n, change_id=given[0][1], day=given[0][0], op=given[0][2], city=given[0][3], balance=given[0][4], batch=batch, clock=None))
+                    out += [(x[1], client, "rejected", batch, 0, None, None) for x in given[1:]]
+                if client in late:
+                    own.append(sequenced_changes.Row(n=None, change_id=None, day=None, op=None, city=None, balance=None, batch=batch, clock=today))
+                rng.shuffle(own)
+                handle.key = client
+                told = applier.handleInputRows((client,), iter(own), None)
+                out += [(r.change_id, client, r.status, r.batch, r.missed, r.city, None if r.balance is None else math.floor(100 * r.balance + 0.5)) for r in told]
+            days = [x[0] for by in fed[batch].values() for given in by.values() for x in given]
+            clock = max(days + ([clock] if clock is not None else []), default=None)
+        assert sorted(out, key=repr) == sorted((r[:7] for r in plain_changes(rows)), key=repr)
