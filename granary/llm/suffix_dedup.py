@@ -12,10 +12,10 @@ Such strings are found without sorting the whole corpus:
    every occurrence.  Only anchors whose gram occurs elsewhere go on; an anchor
    whose whole surroundings occur elsewhere is settled at once.
 3. The other surroundings meet by gram.  Their repeated strings are put in
-   suffix order; one stack pass over the positions in that order finds the
-   previous and next smaller text position of each, and the longer of the two
-   common prefixes is its longest previous factor (cut at ``length``).  Starts
-   whose factor reaches ``length`` are repeated.
+   suffix order, the previous and next smaller text position of each are found
+   in that order, and the longer of the two common prefixes is its longest
+   previous factor (cut at ``length``).  Starts whose factor reaches ``length``
+   are repeated.
 4. A gram with more than ``group`` different surroundings is not gathered.  Its
    strings are dealt into ranges of starts; a range whose union occurs
    elsewhere is settled, one whose common core is unique is dropped, and only
@@ -161,26 +161,27 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, sums: np.ndarray, inverse: np.
     return low
 
 
-def longest_factors(positions: list[int], prefixes: list[int]) -> list[int]:
-    """The longest previous factor of each entry of a suffix order.
+def prefix_to_smaller(positions: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """For each entry its common prefix with the nearest entry before it at a smaller position, 0 without one.
 
-    ``positions``: text positions in suffix order; ``prefixes[i]``: common prefix
-    of entry i and the one before it.  The stack holds entries of ascending
-    position, each with the least prefix down to the entry below it.  What stands
-    below a new entry is its previous smaller position; the entry that takes
-    one off the stack is that one's next smaller position.
+    ``prefixes[i]``: common prefix of entry i and the one before it.  Every entry
+    points to an earlier one and knows the least prefix on the way; as long as
+    the position there is larger it takes over that one's pointer, so ways
+    double in length.
     """
-    out = [0] * len(positions)
-    stack: list[tuple[int, int, int]] = []
-    for i, position in enumerate(positions):
-        prefix = prefixes[i]
-        while stack and stack[-1][0] > position:
-            _, below, j = stack.pop()
-            out[j] = max(out[j], prefix)
-            prefix = min(prefix, below)
-        out[i] = prefix if stack else 0
-        stack.append((position, prefix, i))
-    return out
+    at, least = np.arange(len(positions)) - 1, prefixes.copy()
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_ := open_[positions[at[open_]] > positions[open_]]):
+        on = at[open_]
+        least[open_], at[open_] = np.minimum(least[open_], least[on]), at[on]
+        open_ = open_[at[open_] >= 0]
+    return np.where(at >= 0, least, 0)
+
+
+def longest_factors(positions: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each entry of a suffix order: the longer of its common prefixes with the previous and the next smaller position."""
+    following = np.concatenate([[0], prefixes[:0:-1]])
+    return np.maximum(prefix_to_smaller(positions, prefixes), prefix_to_smaller(positions[::-1], following)[::-1])
 
 
 def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: bool, symbol: np.dtype = SYMBOL["byte"]) -> list[np.ndarray]:
@@ -192,8 +193,8 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
     put in suffix order, cut at ``length`` symbols; suffixes equal up to there
     stand in the order of their text positions, so all but the first of them
     have a previous smaller position beside them, at a common prefix of
-    ``length``.  The first ones go through the stack pass of
-    ``longest_factors``; the mirrored positions give the longest next factors.
+    ``length``.  ``longest_factors`` tells those of the first ones; the
+    mirrored positions give the longest next factors.
     """
     wide = symbol.itemsize
     sizes = np.array([len(p) // wide for p in parts])
@@ -230,11 +231,11 @@ def repeated_starts(parts: list[bytes], begins: np.ndarray, length: int, both: b
     last = np.concatenate([first[1:], [len(names)]]) - 1
     run = np.repeat(np.arange(len(first)), last - first + 1)
     ordered = np.array(heads, np.int64)[by_string] // wide
-    prefixes = [0, *common_prefixes(ordered[:-1], ordered[1:], sums, inverse, length).tolist()]
+    prefixes = np.concatenate([[0], common_prefixes(ordered[:-1], ordered[1:], sums, inverse, length)])
 
     def factors(ends: np.ndarray, side: int) -> np.ndarray:
         """Of every entry, with the positions times ``side``; ``ends``: the entry of each run that has none before it there."""
-        of_ends = np.array(longest_factors((side * texts[ends]).tolist(), prefixes), np.int64)
+        of_ends = longest_factors(side * texts[ends], prefixes)
         return np.where(side * texts > side * texts[ends][run], length, of_ends[run])
 
     hit = factors(first, 1) >= length

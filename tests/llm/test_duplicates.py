@@ -411,3 +411,16 @@ def test_pipeline_removes_near_copies(spark):
         rows.append((i + 1, " ".join(base), "en", "s", 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, DATA).collect()) == list(range(0, 60, 2))
+
+
+def test_longest_previous_factors():
+    """Against the definition: the longest string that starts at an earlier position too."""
+    rng = random.Random(6)
+    for n in (1, 2, 7, 60):
+        for letters in ("a", "ab", "abcd"):
+            text = "".join(rng.choices(letters, k=n))
+            order = sorted(range(n), key=lambda i: text[i:])
+            common = lambda i, j: next((k for k in range(n) if i + k >= n or j + k >= n or text[i + k] != text[j + k]), n)
+            prefixes = np.array([0, *(common(a, b) for a, b in zip(order, order[1:], strict=False))])
+            got = dict(zip(order, suffix_dedup.longest_factors(np.array(order), prefixes).tolist(), strict=True))
+            assert got == {i: max((common(i, j) for j in range(i)), default=0) for i in range(n)}
