@@ -5,9 +5,9 @@ import json
 import pytest
 
 from granary import cli
-from granary.operators import models
 from granary.functions import sql
-from granary.operators import checks
+from granary.operators import checks, models
+from granary.streaming.commits import Commits
 
 WORDS = " ".join(f"w{i}" for i in range(400))
 PROFILES = "labels:\n  '1.1 threats of harm':\n    definition: d one\n    search_terms: [w1, w2]\n  '2.1 descriptive attacks':\n    definition: d two\n    search_terms: [zz]\n"
@@ -65,7 +65,7 @@ def test_cards_in_file_order(spark, tmp_path):
         run("sheet", "--cards", at("bad.jsonl"), "--output", at("sheet"))
 
 
-def test_generated_cards_and_resuming(spark, tmp_path):
+def test_generated_cards_and_resuming(spark, tmp_path, monkeypatch):
     run = lambda *a: cli.main(list(a), spark)
     at = lambda name: str(tmp_path / name)
     (tmp_path / "profiles.yaml").write_text(PROFILES)
@@ -82,6 +82,18 @@ def test_generated_cards_and_resuming(spark, tmp_path):
     cards = [r for p in (tmp_path / "out/echo_cards").glob("run=*") for r in lines(p)]
     assert len(cards) == 4 and len({r["card_id"] for r in cards}) == 4 and all(r["primary_edos_label"] in r["edos_alignment"] for r in cards)
     assert json.loads((tmp_path / "out/echo_summary.json").read_text()) == [{"model_alias": "echo", "accepted": 4, "rejected": 0, "errors": 0, "attempts": 4, "skipped": 1}]
+    log = tmp_path / "out/echo_attempts"
+    before = sorted(p.name for p in log.glob("run=*"))
+    monkeypatch.setattr(Commits, "commit", lambda self, run: (_ for _ in ()).throw(RuntimeError("stopped between the outputs and the manifest")))
+    with pytest.raises(RuntimeError):
+        run(*common, "--cards-per-label", "3", "--resume")
+    monkeypatch.undo()
+    assert len(list(log.glob("run=*"))) == len(before) + 1
+    run(*common, "--cards-per-label", "3", "--resume")
+    runs = {p.stem for p in (tmp_path / "out/echo_commits").glob("*.json")}
+    cards = [r for p in (tmp_path / "out/echo_cards").glob("run=*") for r in lines(p)]
+    assert {p.name for p in (tmp_path / "out/echo_cards").glob("run=*")} == {p.name for p in log.glob("run=*")} == {f"run={r}" for r in runs}
+    assert len(cards) == 6 and len({r["card_id"] for r in cards}) == 6
     (tmp_path / "found.jsonl").write_text("\n".join(map(json.dumps, found[:3])))
     with pytest.raises(ValueError, match="others than"):
         run(*common, "--resume")
@@ -107,7 +119,9 @@ def test_one_answer_over_http(spark, tmp_path):
 
     server = HTTPServer(("127.0.0.1", 0), Chat)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    (tmp_path / "cards.jsonl").write_text(json.dumps(card("c1", "a quote")) + "\n" + json.dumps(card("c2", "other")))
+    (tmp_path / "cards.jsonl").write_text(json.dumps(card("c1", "a quote")) + "\n" + json.dumps(card("c2", "other", edos_alignment="serves the label")))
+    with pytest.raises(ValueError, match="edos_alignment"):
+        cli.main(["generate-one", "--cards", str(tmp_path / "cards.jsonl"), "--card-id", "c1", "--hate-speech", "x", "--output", str(tmp_path / "none.json")], spark)
     one = ["generate-one", "--cards", str(tmp_path / "cards.jsonl"), "--card-id", "c2", "--hate-speech", "go away", "--url", f"http://127.0.0.1:{server.server_port}/api/chat", "--output"]
     cli.main([*one, str(tmp_path / "one.json")], spark)
     said[0] = "  just an answer, no object "
