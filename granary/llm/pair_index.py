@@ -40,7 +40,7 @@ from granary.llm.common import sliced
 from granary.llm.token_files import WordEncoder
 
 GONE, EDGE = -2, -1
-SYMBOLS = 4 << 20
+SYMBOLS, WORDS = 4 << 20, 1 << 16
 
 
 class Merges:
@@ -142,7 +142,7 @@ class Merges:
 class PairIndexEncoder(WordEncoder):
     """Ids of texts; normalising and pre-tokenising are the tokenizer's, merging is ``Merges``'."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__(path, most)
         with open(path, encoding="utf-8") as spec:
             self.merges = Merges(json.load(spec)["model"])
@@ -157,11 +157,13 @@ class PairIndexEncoder(WordEncoder):
         return [bytes(map(self.merges.bytes.__getitem__, piece)) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
     def learn(self, words: list[str]) -> None:
-        cut = [self.pieces(w) for w in words]
-        distinct = list({p for pieces in cut for p in pieces})
-        ids = dict(zip(distinct, self.merges.encode(distinct), strict=True))
-        for word, pieces in zip(words, cut, strict=True):
-            self.store(word, ids[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in ids[p]])
+        for start in range(0, len(words), WORDS):
+            part = words[start : start + WORDS]
+            cut = [self.pieces(w) for w in part]
+            distinct = list({p for pieces in cut for p in pieces})
+            ids = dict(zip(distinct, self.merges.encode(distinct), strict=True))
+            for word, pieces in zip(part, cut, strict=True):
+                self.store(word, ids[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in ids[p]])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
