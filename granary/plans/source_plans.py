@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from granary.operators import checks, review, splits
 from granary.operators.layout import drop_folder
-from granary.plans.base import CARDS_SQL, TAXONOMY, TAXONOMY_SQL, TERMS, TERMS_SQL, cards, label_of, label_sql, query, table, taxonomy
+import granary.plans.text_plans  # noqa: F401  its SQL is used here
+from granary.plans.base import CARDS_SQL, ORACLE, TAXONOMY, TAXONOMY_SQL, TERMS, TERMS_SQL, cards, label_of, label_sql, query, table, taxonomy
 from granary.sources import readers, sinks
 from granary.sources.paths import new_path, resolved
 from granary.streaming.library import FollowedFiles
@@ -264,11 +265,10 @@ def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.rows()
 
 
-@query("SELECT page_id, ' id ' || page_id AS text FROM pages")
+@query(ORACLE["html_text"])
 def tolerant_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup that regular expressions would misread."""
-    html = F.concat(F.lit("<p title='a > b'>id "), F.col("page_id"), F.lit("</p><script>if (a < b) {}</script><nav>x</nav>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" "), readers.parsed_html(html)).alias("text"))
+    """The pages by a parser: on markup that is in order the same as by regular expressions."""
+    return table(spark, sf_dir, "pages").select("page_id", readers.parsed_html("html").alias("text"))
 
 
 LABEL_NAMES = {i: t[1] for i, t in enumerate(TAXONOMY)}

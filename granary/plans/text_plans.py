@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import nested, text
 from granary.operators import cards as card_ops
 from granary.operators import chunking, profile, quotes
+from granary.operators import prompts as prompts_of
 from granary.operators.word_index import TrigramIndex
 from granary.plans.base import CARDS_SQL, TERMS, TERMS_SQL, cards, flat_sql, label_of, label_sql, query, table, term_sets, words_sql
 from granary.sources.paths import new_path
@@ -197,3 +198,35 @@ def literal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = card_ops.prompt("Label: {label}\nSource: {source}\n{text}", label=label_of(F.col("doc_id")), source=F.col("source"), text=F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("prompt"))
+
+
+def template_sql(template: str, **fields: str) -> str:
+    """The template with SQL expressions for its fields."""
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        parts += ["'" + before.replace("'", "''") + "'", f"coalesce({fields[name]}, '')"]
+    return " || ".join([*parts, "'" + rest.replace("'", "''") + "'"])
+
+
+_SOURCE_SQL = """'{"source_id":"' || source_id || '"}'"""
+_CARD_PROMPTS_SQL = {
+    "quote": template_sql(prompts_of.QUOTE_CARD, label="primary_label", definition="'about ' || lang", source=_SOURCE_SQL, text="source_quote", least="'20'", most="'280'"),
+    "argument": template_sql(prompts_of.ARGUMENT_CARD, label="primary_label", definition="'about ' || lang", source=_SOURCE_SQL, chunk_id="card_id", text="source_quote"),
+    "counter": template_sql(prompts_of.COUNTER_RULES, language="'German'", sentences="'3'", cite="'You may name the source.'") + " || chr(10) || chr(10) || " + template_sql(prompts_of.COUNTER, message="'go away'", label="primary_label", strategy="'not given'", card_id="card_id", source="title", chunk="source_quote", reasoning="''", argument="claim", alignment="edos_alignment", keywords="' ' || upper(lang) || ', ' || source_id || ',  , ' || lang"),
+}
+
+
+@query(f"WITH {CARDS_SQL} SELECT doc_id, {', '.join(f'md5({sql}) AS {name}_md5' for name, sql in _CARD_PROMPTS_SQL.items())} FROM cards")
+def card_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What models are asked for a quote, for an argument and for an answer, of every card."""
+    null = F.lit(None).cast("string")
+    rows = cards(spark, sf_dir).withColumns({"chunk": null, "reasoning": null, "argument": null})
+    source, definition = F.struct("source.source_id"), F.concat(F.lit("about "), "lang")
+    made = {
+        "quote": prompts_of.quote_card(F.col("primary_label"), definition, source, F.col("source_quote")),
+        "argument": prompts_of.argument_card(F.col("primary_label"), definition, source, F.col("card_id"), F.col("source_quote")),
+        "counter": prompts_of.counter(F.lit("go away"), F.col("source.title"), "German", 3, True),
+    }
+    return rows.select("doc_id", *[F.md5(c).alias(f"{name}_md5") for name, c in made.items()])
