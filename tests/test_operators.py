@@ -128,9 +128,12 @@ def all_pairs(scores):
     return scores.pairs(scores.asked.select("query_id"))
 
 
-@pytest.mark.parametrize("rounds", [(64, 1024), (6, 12), (1,), ()])
-def test_whole_library_mmr_against_plain_loops(spark, rounds):
-    """The same choice whatever the number of leaders, and by steps over all rows."""
+@pytest.mark.parametrize("block", [4096, 1])
+@pytest.mark.parametrize("query_block", [1024, 2])
+def test_whole_library_mmr_against_plain_loops(spark, monkeypatch, block, query_block):
+    """The same choice whatever the sizes of the blocks; some blocks are empty."""
+    monkeypatch.setattr(retrieval, "CARD_BLOCK", block)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", query_block)
     rows, asked, cards, queries = random_cards(spark, 40)
     vectors, vector_of = plain_tfidf([r[1] for r in rows])
     cosine = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
@@ -143,10 +146,10 @@ def test_whole_library_mmr_against_plain_loops(spark, rounds):
         want[q] = chosen
     library, got = index.Tfidf(cards.select("doc_id", "text")), {}
     scores = library.scores(queries).withColumnRenamed("tfidf", "score")
-    for r in retrieval.lexical_mmr(scores, queries, library, 6, 0.7, rounds).orderBy("query_id", "rank").collect():
+    for r in retrieval.lexical_mmr(scores, queries, library, 6, 0.7).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     assert got == want
-    if len(rounds) != 2:
+    if block == 1:
         return
     given = spark.createDataFrame([(0, 7, 0.9), (0, 8, 0.5), (1, 3, 0.1)], "query_id long, doc_id long, similarity double")
     first = {r["query_id"]: (r["doc_id"], r["breakdown"]) for r in retrieval.retrieve("dense_mmr", cards, queries, 1, semantic=given).collect()}
