@@ -267,8 +267,8 @@ def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["html_text"])
 def tolerant_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages by a parser: on markup that is in order the same as by regular expressions."""
-    return table(spark, sf_dir, "pages").select("page_id", readers.parsed_html("html").alias("text"))
+    """The pages by a parser: on markup that is in order the same as by regular expressions, unfinished references included."""
+    return table(spark, sf_dir, "pages").select("page_id", readers.parsed_html_closed("html").alias("text"))
 
 
 LABEL_NAMES = {i: t[1] for i, t in enumerate(TAXONOMY)}

@@ -383,6 +383,8 @@ def test_files_round_trip(spark, tmp_path):
         (tmp_path / name).write_text(name)
     assert [(r["source_id"], r["year"]) for r in readers.files(spark, str(tmp_path)).select("source_id", "year").collect()] == [("A", None), ("B_1999", 1999)]
     assert one(spark, readers.parsed_html, "<p>a <script>x</script><b>b</b></p>") == "a b"
+    broken = "<title>a &amp; b&amp</title><p>&lt;c&gt; &eacute; &amp;lt; &nbsp;d &lt"
+    assert one(spark, readers.parsed_html_closed, broken) == one(spark, text.html_text, broken) == "a & b&amp <c> &eacute; &lt; d &lt"
     assert one(spark, text.html_text, "<p>a <script>x</script><b>b</b></p>") == "a b"
 
 
