@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import index, retrieval
+from granary.operators import index, retrieval, scoring
 from granary.operators.word_index import WordIndex
 from granary.plans.base import cards, label_of, label_sql, query, table, words_sql
 from granary.sources.paths import new_path
@@ -58,8 +58,8 @@ def _top(source: str, score: str, k: int) -> str:
 
 @query(f"WITH {BM25_SQL} {_top('bm', 'bm25', 5)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.ranked(index.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)), 5, "bm25")
-    return best.select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("score"))
+    best = retrieval.ranked(scoring.bm25_best(_docs(spark, sf_dir), _queries(spark, sf_dir), 5), 5)
+    return best.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 INDEX_SQL = BM25_SQL.replace("FROM documents", "FROM kept")
@@ -99,8 +99,8 @@ def stored_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TFIDF_SQL}, {ALL_SQL.format(source='ti', score='tfidf')} {_top('every', 'tfidf', 5)}")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    best = retrieval.ranked(index.with_zeros(index.tfidf(docs, queries), docs, queries, 5), 5, "tfidf")
-    return best.select("query_id", "doc_id", "rank", F.round("tfidf", 4).alias("score"))
+    best = retrieval.ranked(scoring.tfidf_best(docs, queries, 5), 5)
+    return best.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 BASIC_TOP_SQL = f"WITH {BASIC_SQL}, {ALL_SQL.format(source='bs', score='score')} {_top('every', 'score', 5)}"
@@ -110,7 +110,7 @@ BASIC_TOP_SQL = f"WITH {BASIC_SQL}, {ALL_SQL.format(source='bs', score='score')}
 def basic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five documents for every query, those without a common word last."""
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    best = retrieval.ranked(index.with_zeros(index.basic(docs, queries), docs, queries, 5), 5)
+    best = retrieval.ranked(scoring.basic_best(docs, queries, 5), 5)
     return best.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import nested, text, vectors
-from granary.operators import cards, chunking, ensemble, index, metrics, models, profile, retrieval, review, splits
+from granary.operators import cards, chunking, ensemble, index, metrics, models, profile, retrieval, review, scoring, splits
 from granary.sources import readers, sinks
 from granary.streaming import attempts
 
@@ -104,6 +104,24 @@ def test_zeros_fill_the_places_that_are_left(spark):
     assert [r["doc_id"] for r in got] == [4, 2, 1, 3, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize(("batch", "block", "waiting"), [(256, 256, 1 << 18), (7, 2, 4)])
+def test_scores_by_document_against_pairs(spark, monkeypatch, batch, block, waiting):
+    """The same ranking as from rows of all pairs, of which only a few per query and task leave the pass."""
+    for name, value in (("BATCH", batch), ("ASKED_BLOCK", block), ("WAITING", waiting)):
+        monkeypatch.setattr(scoring, name, value)
+    _, _, docs, queries = random_cards(spark, 60)
+    docs, told = docs.select("doc_id", "text"), lambda df, score: [(r["query_id"], r["rank"], r["doc_id"], round(r[score], 9)) for r in retrieval.ranked(df, 5, score).orderBy("query_id", "rank").collect()]
+    for found, pairs, score in (
+        (scoring.bm25_best(docs, queries, 5), index.bm25(docs, queries), "bm25"),
+        (scoring.tfidf_best(docs, queries, 5), index.with_zeros(index.tfidf(docs, queries), docs, queries, 5), "tfidf"),
+        (scoring.basic_best(docs, queries, 5), index.with_zeros(index.basic(docs, queries), docs, queries, 5), "score"),
+    ):
+        assert told(found, "score") == told(pairs, score)
+        assert found.count() <= 4 * 5 * found.rdd.getNumPartitions() < 4 * 60
+    empty = library(spark, [])
+    assert scoring.basic_best(empty, queries, 3).count() == scoring.bm25_best(empty, queries, 3).count() == 0
+
+
 def plain_tfidf(texts):
     """Unit vectors by word and word pair."""
     import re
