@@ -182,7 +182,7 @@ MMR_SQL = f"WITH {TFIDF_SQL}, {_mmr_sql(5, 0.7)}"
 def card_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diverse cards of the whole library: TF-IDF cosines are both the relevance and the redundancy."""
     queries, library = _queries(spark, sf_dir), index.Tfidf(_docs(spark, sf_dir))
-    picks = retrieval.lexical_mmr(library.scores(queries).withColumnRenamed("tfidf", "score"), queries, library, 5, 0.7)
+    picks = retrieval.lexical_mmr(None, queries, library, 5, 0.7)
     return picks.select("query_id", "rank", "doc_id", F.round("mmr_score", 4).alias("mmr_score"), F.round("relevance", 4).alias("relevance"))
 
 

@@ -212,6 +212,20 @@ def test_portfolio_against_plain_loops(spark, rounds):
         retrieval.card_scores(cards, queries, {"primary_match": 1.0})
 
 
+def test_pairs_below_the_floor_are_never_chosen(spark):
+    """Steps see only what can be chosen: fewer rows than pairs of a query and a card, and the same choice."""
+    rows = [(i, f"w{i} w{i + 1}", f"s{i % 7}", "p" if i % 3 else "q", [], ["w1"], (i % 10) / 10) for i in range(60)]
+    cards = spark.createDataFrame(rows, "doc_id long, text string, source_id string, primary string, secondary array<string>, keywords array<string>, quality double")
+    queries = spark.createDataFrame([(0, "w5 w6", "p")], "query_id long, text string, label string")
+    scores = retrieval.card_scores(cards, queries)
+    lead, _ = scores.leaders(queries.select("query_id"), 20)
+    floors = retrieval.reachable(lead, 5, 0.08, 0.15)
+    few, every = scores.pairs(queries, floors), scores.pairs(queries)
+    assert few.count() < every.count() == 60
+    chosen = lambda pairs: [r["doc_id"] for r in retrieval.portfolio_by_steps(pairs, cards).orderBy("rank").collect()]
+    assert chosen(few) == chosen(every)
+
+
 def test_published_score_arithmetic():
     parts = {"lexical_similarity": 0.5927067523942996, "semantic_similarity": 0.18541350478859916, "keyword_overlap": 0.25, "validation_quality": 0.35}
     score = sum(retrieval.WEIGHTS[k] * v for k, v in parts.items())
