@@ -3,7 +3,8 @@
 Every stage but the last takes and returns the columns of ``documents``:
 
 1. quality: documents over the perplexity threshold of their language go;
-2. near duplicates: texts whose sets of five-word shingles have a Jaccard similarity
+2. near duplicates: SimHash components (and MinHash bands, for what two bits miss) propose;
+   texts whose sets of five-word shingles have a Jaccard similarity
    of 0.8 or more are linked; of each component the document of the smallest id stays;
 3. repeated passages: of every passage of over 50 words that repeats the first copy
    stays (white space between words does not count); documents with nothing left
@@ -25,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import byte_bpe, decontaminate, kneser_ney, near_copies, suffix_dedup
+from granary.llm import byte_bpe, decontaminate, kneser_ney, near_copies, simhash, suffix_dedup
 from granary.llm.common import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,7 +44,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = near_copies.near_copies(docs, words=5, similarity=0.8)
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text").dropDuplicates(["digest"])
+    groups = simhash.near_duplicates(texts, id_col="digest")
+    found = near_copies.near_copies(docs, words=5, similarity=0.8, proposed=groups)
     # ids may repeat with other texts: of each component one text stays, whatever its id has elsewhere
     stay = found.filter("doc_id = component AND digest = first_digest").select("doc_id", "digest").distinct()
     rows = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))

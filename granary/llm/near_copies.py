@@ -3,7 +3,8 @@
 A text is the set of its shingles (``words`` ASCII-lower-cased words, XXH64 each;
 fewer words are one shingle, none are the empty set).  Texts of one set are one
 node.  ``BANDS`` bands of ``ROWS`` minima propose what to compare: two sets at
-similarity 0.8 share no band in 3 of 100,000 cases.  Inside a bucket similarity is exact,
+similarity 0.8 share no band in 3 of 100,000 cases.  Groups found otherwise (``proposed``,
+the SimHash components of the pipeline) are one more band.  Inside a bucket similarity is exact,
 from the whole sets.  Buckets of the same members are compared once.
 
 A bucket is searched breadth first for what is not reached yet, so one of much alike
@@ -124,8 +125,8 @@ def links(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return full.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(compare, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
-    """``id_col``, ``digest`` (XXH64 of the text), ``component``, ``first_digest``: the smallest id reachable over near copies, and of its texts the smallest digest."""
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024, tile_shingles: int = 1 << 20, proposed: DataFrame | None = None) -> DataFrame:
+    """``proposed`` (digest, component): texts of one component are compared too.  ``id_col``, ``digest`` (XXH64 of the text), ``component``, ``first_digest``: the smallest id reachable over near copies, and of its texts the smallest digest."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +142,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     marked = written(rows.mapInArrow(mark, f"id {kind}, digest long, size long, node long, bands array<long>"), "copies-bands")
     nodes = written(marked.groupBy("node").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "digest"))).alias("first"), F.min("digest").alias("digest"), F.min("size").alias("size"), F.min("bands").alias("bands")), "copies-nodes")
+    if proposed is not None:
+        nodes = written(nodes.join(proposed.select("digest", "component"), "digest").withColumn("bands", F.concat("bands", F.array("component"))), "copies-proposed")
     dealt = written(dealt_buckets(nodes, tile, tile_shingles), "copies-dealt")
     # only the sets that meet another are made again, so the others are never stored
     met = dealt.select("node").distinct().join(nodes.select("node", "digest"), "node")

@@ -398,6 +398,26 @@ def test_pipeline_near_duplicates_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, DATA).collect()) == want and len(want) < len(ids)
 
 
+def test_pipeline_near_duplicates_come_through_simhash(spark, monkeypatch):
+    """The stage compares what SimHash groups; the exact check decides."""
+    import corpus_pipeline as C
+
+    long, seen, plain = " ".join(f"word{i}" for i in range(400)), [], near_copies.near_copies
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1), (3, "quite another text of a few words", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def recorded(docs, **more):
+        seen.append({r["digest"]: r["component"] for r in more["proposed"].collect()})
+        return plain(docs, **more)
+
+    monkeypatch.setattr(near_copies, "near_copies", recorded)
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, DATA).collect()) == [1, 3]
+    digest = {r["doc_id"]: r["d"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS d").collect()}
+    assert seen[0].keys() == set(digest.values()) and seen[0][digest[1]] == seen[0][digest[2]] != seen[0][digest[3]]
+    one_group = spark.createDataFrame([(d, 0) for d in digest.values()], "digest long, component long")
+    assert {r["doc_id"]: r["component"] for r in plain(docs, proposed=one_group).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_pipeline_removes_near_copies(spark):
     """Copies that differ in a word of every hundred, most of them more than two bits apart."""
     import corpus_pipeline as C
