@@ -92,7 +92,7 @@ def stored_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, words and postings of the same index from its sums."""
     found = _followed(spark, sf_dir)
     words = found.read("words").groupBy("word").agg(F.sum("df").alias("df")).filter("df > 0").agg(F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_postings"))
-    tokens_ = found.read("postings").agg(F.sum(F.col("sign") * F.col("tf")).alias("n_tokens"))
+    tokens_ = found.read("postings").agg(F.sum(F.col("sign") * F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_tokens"))
     return found.size().select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(words).crossJoin(tokens_)
 
 

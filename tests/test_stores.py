@@ -163,3 +163,25 @@ def test_the_gradient_and_a_trained_classifier(spark):
     assert found.epochs[found.best - 1]["macro_f1"] == max(e["macro_f1"] for e in found.epochs)
     assert found.epochs[found.best - 1]["macro_f1"] > 2 * majority / (1 + majority) / classes + 0.2
     assert (told["label"] == told["label_pred"]).mean() == pytest.approx(found.epochs[found.best - 1]["accuracy"])
+
+
+def shuffled(spark, work):
+    """Records that ``work`` shuffles."""
+    store, new = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def told():
+        rows = store.stageList(None, False, False, new, None)
+        return sum(rows.apply(i).shuffleWriteRecords() for i in range(rows.size()))
+
+    before = told()
+    work()
+    return told() - before
+
+
+def test_an_index_is_built_without_shuffling_its_postings(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.sample([f"w{k}" for k in range(60)], 50)) for i in range(300)}
+    held = WordIndex(spark, str(tmp_path / "index"), buckets=2)
+    assert shuffled(spark, lambda: held.apply("1", docs_frame(spark, texts))) < 300 * 50 / 4
+    assert shuffled(spark, lambda: held.compact("all")) < 300 * 50 / 4
+    assert held.read("words").agg(F.sum("df")).head()[0] == 300 * 50
