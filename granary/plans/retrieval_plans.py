@@ -83,8 +83,8 @@ def _followed(spark: SparkSession, sf_dir: str) -> WordIndex:
 @query(f"WITH {KEPT_SQL}, {INDEX_SQL} {_top('bm', 'bm25', 5)}")
 def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from a stored index that followed its library."""
-    best = retrieval.ranked(_followed(spark, sf_dir).bm25(_queries(spark, sf_dir)), 5, "bm25")
-    return best.select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("score"))
+    best = retrieval.ranked(_followed(spark, sf_dir).best(_queries(spark, sf_dir), 5), 5)
+    return best.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {KEPT_SQL}, {INDEX_SQL} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, (SELECT count(*) FROM df) AS n_words, (SELECT sum(df)::BIGINT FROM df) AS n_postings, (SELECT sum(tf)::BIGINT FROM tf) AS n_tokens FROM size")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import index, quotes, trainer
+from granary.operators import index, quotes, retrieval, trainer
 from granary.operators.word_index import TrigramIndex, WordIndex
 from granary.sources import readers
 from granary.streaming import attempts
@@ -185,3 +185,18 @@ def test_an_index_is_built_without_shuffling_its_postings(spark, tmp_path):
     assert shuffled(spark, lambda: held.apply("1", docs_frame(spark, texts))) < 300 * 50 / 4
     assert shuffled(spark, lambda: held.compact("all")) < 300 * 50 / 4
     assert held.read("words").agg(F.sum("df")).head()[0] == 300 * 50
+
+
+def test_the_best_of_an_index_without_its_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choices([f"w{k}" for k in range(30)], k=rng.randint(0, 40)))
+    held, asked = WordIndex(spark, str(tmp_path / "index"), buckets=3), {i: text() for i in range(40)} | {90: None, 91: "absent"}
+    held.apply("1", docs_frame(spark, {i: text() for i in range(300)}))
+    held.apply("2", docs_frame(spark, {i: text() for i in range(0, 300, 4)}), spark.createDataFrame([(i,) for i in range(0, 300, 7)], "doc_id long"))
+    queries = spark.createDataFrame(sorted(asked.items()), "query_id long, text string")
+    rows = lambda found, score: {(r["query_id"], r["rank"]): (r["doc_id"], pytest.approx(r[score])) for r in found.collect()}
+    want = rows(retrieval.ranked(held.bm25(queries), 5, "bm25"), "bm25")
+    found = []
+    records = shuffled(spark, lambda: found.append(rows(retrieval.ranked(held.best(queries, 5), 5), "score")))
+    assert found == [want] and len(want) == 200
+    assert records < 300 * 30 + 2 * 2000  # postings, not pairs times words
