@@ -200,3 +200,13 @@ def test_the_best_of_an_index_without_its_pairs(spark, tmp_path):
     records = shuffled(spark, lambda: found.append(rows(retrieval.ranked(held.best(queries, 5), 5), "score")))
     assert found == [want] and len(want) == 200
     assert records < 300 * 30 + 2 * 2000  # postings, not pairs times words
+
+
+def test_trigrams_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(7)
+    texts = {i: "".join(rng.choices("abcdef ", k=400)) + " Ünï𝄞code" for i in range(200)}
+    held = TrigramIndex(spark, str(tmp_path / "grams"), buckets=2)
+    assert shuffled(spark, lambda: held.apply("1", docs_frame(spark, texts))) < 200 * 150 / 4
+    for query in ("ï𝄞C", "abc", "f a"):
+        want = sorted(i for i, t in texts.items() if query.lower() in t.lower())
+        assert sorted(r["doc_id"] for r in held.holding(docs_frame(spark, texts), query).collect()) == want
