@@ -73,12 +73,14 @@ def select_passages(passages: DataFrame, labels: DataFrame, most: int) -> DataFr
     passages: passage_id, ord, text; labels: label, terms array (the stated set).
     """
     asked = labels.select("label", tokens(F.array_join("terms", " ")).alias("_wanted"))
-    held = dealt(passages.select("passage_id", "ord", "text")).select("passage_id", "ord", F.array_distinct(tokens("text")).alias("_held"))  # words are made once per passage
-    scored = held.crossJoin(asked).select("label", "passage_id", "ord", overlap(F.col("_wanted"), F.col("_held")).alias("score"))
+    every = F.broadcast(asked.agg(F.array_distinct(F.flatten(F.collect_list("_wanted"))).alias("_every")))  # one row: the words of all labels
+    held = dealt(passages.select("passage_id", "ord", "text")).select("passage_id", "ord", tokens("text").alias("_t"))  # words are made once per passage
+    held = held.crossJoin(every).select("passage_id", "ord", F.array_intersect("_t", "_every").alias("_held"))
+    scored = held.crossJoin(F.broadcast(asked)).select("label", "passage_id", "ord", overlap(F.col("_wanted"), F.col("_held")).alias("score"))
     by = Window.partitionBy("label")
     best = scored.withColumn("rank", F.row_number().over(by.orderBy(F.round("score", 9).desc(), "ord")).cast("long")).filter(F.col("rank") <= most)
     best = best.withColumn("_top", F.max("score").over(by)).filter((F.col("score") > 0) | (F.col("_top") <= 0)).drop("_top", "ord")  # of at most ``most`` rows a label
-    return passages.join(best, "passage_id")
+    return passages.join(F.broadcast(best), "passage_id")  # or else every text is shuffled for some rows
 
 
 def first_accepted(passages: DataFrame, accepted: Column, n: int) -> DataFrame:

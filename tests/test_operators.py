@@ -569,3 +569,18 @@ def test_linear_stand_in(spark):
     rows = spark.createDataFrame([("good fine nice", 0), ("bad awful poor", 1)] * 10, "text string, label_id int")
     model = models.linear_classifier(rows)
     assert model.transform(rows).filter("prediction = label_id").count() == 20
+
+
+def test_selected_passages_are_fetched_without_shuffling_texts(spark):
+    """Only the few selected rows are sent; repeated and absent words and İ count as before."""
+    passages = spark.createDataFrame([(i, i, t) for i, t in enumerate(["The the of", "x of", None, "nothing", "İn Of"])], "passage_id long, ord long, text string")
+    labels = spark.createDataFrame([("a", ["the of", "The"]), ("b", ["absent"]), ("c", [])], "label string, terms array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = cards.select_passages(passages, labels, 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["label"], r["rank"], r["passage_id"], round(r["score"], 4), r["text"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", 1, 0, 1.0, "The the of"), ("a", 2, 1, 0.3333, "x of"), ("b", 1, 0, 0.0, "The the of"), ("b", 2, 1, 0.0, "x of"), ("c", 1, 0, 0.0, "The the of"), ("c", 2, 1, 0.0, "x of")]
+    assert "SortMergeJoin" not in plan and "array_intersect" in plan
