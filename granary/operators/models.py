@@ -11,7 +11,7 @@ import time
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +19,31 @@ from granary.functions.nested import json_object_or
 
 Embed = Callable[[list[str]], list[list[float]]]
 Generate = Callable[[list[str]], list[str]]
+CALLS = 64
+
+
+def parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``most`` rows at a time, so that a worker holds the objects of a few rows however long a batch is."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
+def with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
 
 def embed(rows: DataFrame, factory: Callable[[], Embed], text: str = "text", prompt: str = "", batch: int = 64) -> DataFrame:
     """``rows`` with ``embedding``; queries take a prompt before the text, documents none."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
-        for frame in frames:
-            texts = [prompt + (t or "") for t in frame[text]]
-            vectors = [v for k in range(0, len(texts), batch) for v in model(texts[k : k + batch])]
-            yield frame.assign(embedding=vectors)
+        for part in parts(batches, batch):
+            vectors = model([prompt + (t or "") for t in part.column(text).to_pylist()])
+            yield with_columns(part, embedding=pa.array(vectors, pa.list_(pa.float64())))
 
-    return rows.mapInPandas(run, f"{schema}, embedding array<double>")
+    return rows.mapInArrow(run, f"{schema}, embedding array<double>")
 
 
 def classify(rows: DataFrame, factory: Callable[[], Embed], text: str = "text", batch: int = 64) -> DataFrame:
@@ -47,11 +58,11 @@ def generate(rows: DataFrame, factory: Callable[[], Generate], prompt: str = "pr
     """``rows`` with ``output`` and ``error``; a failing call is tried again after a growing pause, then noted."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
-        for frame in frames:
+        for part in parts(batches, CALLS):
             outputs, errors = [], []
-            for p in frame[prompt]:
+            for p in part.column(prompt).to_pylist():
                 for attempt in range(retries + 1):
                     try:
                         outputs.append(model([p])[0])
@@ -63,9 +74,9 @@ def generate(rows: DataFrame, factory: Callable[[], Generate], prompt: str = "pr
                             errors.append(f"{type(error).__name__}: {error}")
                         else:
                             time.sleep(back_off * (attempt + 1))
-            yield frame.assign(output=outputs, error=errors)
+            yield with_columns(part, output=pa.array(outputs, pa.string()), error=pa.array(errors, pa.string()))
 
-    return rows.mapInPandas(run, f"{schema}, output string, error string")
+    return rows.mapInArrow(run, f"{schema}, output string, error string")
 
 
 def route(attempts: DataFrame, rejected: Column) -> DataFrame:

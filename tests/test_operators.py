@@ -584,3 +584,18 @@ def test_selected_passages_are_fetched_without_shuffling_texts(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [("a", 1, 0, 1.0, "The the of"), ("a", 2, 1, 0.3333, "x of"), ("b", 1, 0, 0.0, "The the of"), ("b", 2, 1, 0.0, "x of"), ("c", 1, 0, 0.0, "The the of"), ("c", 2, 1, 0.0, "x of")]
     assert "SortMergeJoin" not in plan and "array_intersect" in plan
+
+
+def test_models_are_fed_few_rows_and_keep_the_others_columns(spark):
+    """Rows pass as Arrow: a long beside a null stays exact, and no more than a few rows are objects at once."""
+    rows = spark.createDataFrame([(2**53 + 1, "a b"), (None, None), (3, "b")], "id long, text string")
+    assert sorted(str(r["id"]) for r in models.embed(rows, models.hash_embedder(4)).collect()) == ["3", str(2**53 + 1), "None"]
+    assert sorted(str(r["id"]) for r in models.classify(rows, models.hash_embedder(4)).collect()) == ["3", str(2**53 + 1), "None"]
+    out = models.generate(rows.withColumn("prompt", F.coalesce("text", F.lit("none"))), models.echo_generator(), back_off=0.0).collect()
+    assert sorted(str(r["id"]) for r in out) == ["3", str(2**53 + 1), "None"] and all(r["error"] is None for r in out)
+
+    def factory():
+        return lambda texts: [[float(len(texts))] for _ in texts]
+
+    told = models.embed(spark.range(300, numPartitions=1).select("id", F.lit("t").alias("text")), factory, batch=50).collect()
+    assert {r["embedding"][0] for r in told} == {50.0} and len(told) == 300
