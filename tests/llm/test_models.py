@@ -93,6 +93,19 @@ def test_kneser_ney(spark, entries):
     assert not next(r for r in got if r["id"] == 100)["kept"]
 
 
+def test_models_of_all_folds_share_their_jobs(spark):
+    """Plans and jobs fill the driver's memory; small models of four folds need no more of them than those of two."""
+    words = ["the", "cat", "sat", "on", "mat"]
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "de", " ".join(words[(i * k) % 5] for k in range(1, 30)) + str(i)) for i in range(40)], "doc_id long, lang string, text string")
+    jobs = {}
+    for folds in (2, 4):
+        spark.sparkContext.setJobGroup(f"folds-{folds}", "jobs of one run")
+        kneser_ney.classify(docs, docs.select("doc_id"), folds=folds).collect()
+        jobs[folds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{folds}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[4] <= jobs[2] + 4, jobs  # a fetch of the model per fold
+
+
 def test_held_out_trusted_documents_stay(spark):
     """Half of the trusted documents train; of the other half, just as trusted, at most 2 % go in every language."""
     data = "/root/testdata/sf0.1"
