@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -211,6 +212,23 @@ def test_changes_of_a_hot_client_with_gaps_and_odd_rows(spark, tmp_path, monkeyp
     assert applied(registry.op12_sequenced_changes(spark, str(tmp_path))) == plain_changes(rows)
 
 
+def test_state_stores_are_opened_by_the_stream_alone(spark, monkeypatch):
+    """What is held follows from rows and output; each reader of a store would open it again."""
+    opened, plain = [], DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: (opened.append(source), plain(self, source))[1])
+    assert registry.op12_sequenced_changes(spark, DATA).filter("current").count() > 0
+    assert "statestore" not in opened
+
+
+def test_changes_held_after_a_batch(spark):
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    held = frame([(1, 4, 10), (1, 5, 11), (None, 2, 12)], "client_id long, n long, day int")
+    fed = frame([(1, 4, 20, False), (1, 6, 21, False), (1, 6, 22, True), (None, 3, 23, False), (2, 1, 24, False)], "client_id long, n long, day int, later boolean")
+    out = frame([(1, 4), (1, 6), (2, 1), (None, 2)], "client_id long, n long")  # the second 4, the later 6; 1 and 2 are applied
+    got = sequenced_changes.waiting(held, fed, out).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 4, 10), (1, 5, 11), (1, 6, 21), (None, 3, 23)], key=repr)
+
+
 def test_no_changes(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/client_changes.parquet")
     assert registry.op12_sequenced_changes(spark, str(tmp_path)).collect() == []
