@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import index, quotes, retrieval, trainer
+from granary.operators import index, quotes, retrieval, trainer, word_index
 from granary.operators.word_index import TrigramIndex, WordIndex
 from granary.sources import readers
 from granary.streaming import attempts
@@ -212,6 +212,30 @@ def test_trigrams_are_not_shuffled(spark, tmp_path):
         assert sorted(r["doc_id"] for r in held.holding(docs_frame(spark, texts), query).collect()) == want
 
 
+def test_runs_are_packed_and_follow_their_batches(spark, tmp_path):
+    """Runs and their documents lie in bytes, not in arrays; odd characters, no text, no id; documents change and go."""
+    rng = random.Random(3)
+    made = lambda: "".join(rng.choices("ab Ü𝄞\n", k=rng.choice([0, 2, 30])))
+    texts = {i: made() for i in range(60)} | {60: None, 61: "".join(map(chr, range(0x4E00, 0x4E40)))}
+    held = TrigramIndex(spark, str(tmp_path / "grams"), buckets=2)
+    held.apply("1", docs_frame(spark, texts).unionByName(spark.createDataFrame([(None, "abab")], "doc_id long, text string")))
+    assert dict(held.read("docs").dtypes)["words"] == dict(held.read("postings").dtypes)["docs"] == "binary"
+    texts |= {i: made() for i in range(0, 60, 4)}
+    held.apply("2", docs_frame(spark, {i: texts[i] for i in range(0, 60, 4)}), spark.createDataFrame([(7,), (61,)], "doc_id long"))
+    live = {i: t for i, t in texts.items() if i not in (7, 61)}
+    for query in ("ab ", "ü𝄞A", "\u4e03\u4e04\u4e05"):
+        want = sorted(i for i, t in live.items() if query.lower() in (t or "").lower())
+        assert sorted(r["doc_id"] for r in held.holding(docs_frame(spark, texts), query).collect()) == want
+
+
+def test_runs_of_few_and_many_characters():
+    """One number per text and run, or two where they do not fit."""
+    for texts in (["abcabc", "", "xyz", "aaaa"], ["".join(map(chr, range(0x100, 0xD800))), "".join(map(chr, range(0xE000, 0x110000))), "ab", *[""] * 7]):
+        values, bounds = word_index.distinct_runs(texts)
+        for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            assert values[a:b].tolist() == sorted({ord(x) << 42 | ord(y) << 21 | ord(z) for x, y, z in zip(t, t[1:], t[2:], strict=False)})
+
+
 def test_vectors_in_slices_equal_plain_ones(spark, monkeypatch):
     """Texts are taken a bounded number of words at a time, across rows without words."""
     monkeypatch.setattr(trainer, "SLICE", 7)
