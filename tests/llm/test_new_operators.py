@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -229,6 +230,39 @@ def test_changes_held_after_a_batch(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(1, 4, 10), (1, 5, 11), (1, 6, 21), (None, 3, 23)], key=repr)
 
 
+def test_a_commit_of_the_state_writes_what_changed(spark, monkeypatch):
+    """A snapshot of a store at its first commit and after ten more, else one file a commit; no checksum files beside them."""
+    roots, plain = [], sequenced_changes.new_path
+    monkeypatch.setattr(sequenced_changes, "new_path", lambda session, name: (roots.append(plain(session, name)), roots[-1])[1])
+    assert registry.op12_sequenced_changes(spark, DATA).filter("current").count() > 0
+    files = [f.name for f in pathlib.Path(roots[0].removeprefix("file:"), "checkpoint").rglob("*") if f.is_file() and not f.name.startswith(".")]
+    assert {f for f in files if f.endswith(".zip")} == {"1.zip", "11.zip"}
+    assert {f"{n}.changelog" for n in range(2, 12)} <= set(files)
+    assert not [f for f in files if f.endswith(".crc")]
+    assert spark.conf.get(sequenced_changes.MANAGER, None) is None
+
+
+def test_tables_between_starts_have_a_file_a_core_and_not_a_partition(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    roots, plain = [], sequenced_changes.new_path
+    monkeypatch.setattr(sequenced_changes, "new_path", lambda session, name: (roots.append(plain(session, name)), roots[-1])[1])
+    monkeypatch.setattr(sequenced_changes, "stream", None)  # the first start ends it
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        with pytest.raises(TypeError):
+            registry.op12_sequenced_changes(spark, DATA)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    parts = [list(part.glob("part-*")) for part in pathlib.Path(roots[0].removeprefix("file:")).glob("*/*") if part.name.startswith(("part=", "rows-1"))]
+    assert len(parts) > 5 and all(1 <= len(files) <= cores for files in parts)
+    monkeypatch.setattr(sequenced_changes, "TASK_ROWS", 100)
+    assert sequenced_changes.tasks_for(spark.range(100 * cores + 101)) == cores + 2
+
+
 def test_no_changes(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/client_changes.parquet")
     assert registry.op12_sequenced_changes(spark, str(tmp_path)).collect() == []
