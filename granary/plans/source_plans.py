@@ -123,7 +123,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with quotes, commas and line ends in a sheet."""
     path = new_path(spark, "sheet")
     sinks.csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
-    return readers.csv(spark, path, "doc_id", "text").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+    return readers.csv(spark, path, "doc_id", "text", keep_empty=True).select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 @query("""SELECT 'card_' || doc_id AS card_id, quality::VARCHAR AS quality, CASE WHEN toxic = 1 THEN 'yes' ELSE '' END AS noted, row_number() OVER (ORDER BY 'card_' || doc_id) AS place FROM labels""")

@@ -23,7 +23,9 @@ def card_lines(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """A sheet whose texts stand in it as they are: white space around them and NUL stay, empty text is quoted and null is not."""
+    rows = df.write.mode("overwrite").option("header", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')
+    rows.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def put_text(spark: SparkSession, path: str, content: str) -> None:

@@ -420,6 +420,22 @@ def test_files_round_trip(spark, tmp_path):
     assert one(spark, text.html_text, "<p>a <script>x</script><b>b</b></p>") == "a b"
 
 
+def test_sheets_hold_texts_as_they_are(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(5)
+    odd = [None, "", " ", "\n", "\r\n", "\x00", '"\x00', 'a"\x00b', "  lead", "trail\t", "a\r", "a\rb", '"', '""', '","', "a\\", '\\"', "#a", "\ufeffa", "a\u0085", "null"]
+    odd += ["".join(rng.choice('",\n\r\\ \tab\x00é#') for _ in range(rng.randint(1, 8))) for _ in range(500)]
+    rows = [(str(i), text, rng.choice(["en", "", None, " e\r"])) for i, text in enumerate(odd)]
+    sinks.csv(spark.createDataFrame(rows, "key string, text string, lang string").repartition(3), str(tmp_path / "sheet"))
+    got = readers.csv(spark, str(tmp_path / "sheet"), "key", "text", keep_empty=True)
+    assert sorted(map(tuple, got.collect()), key=lambda r: int(r[0])) == rows
+    assert readers.csv(spark, str(tmp_path / "sheet"), "text").filter("text = ''").isEmpty()
+    plain = {r[0]: r[1] for p in (tmp_path / "sheet").glob("*.csv") for r in csv.reader(p.open(newline=""))}  # other readers see the same texts
+    assert all(plain[key] == (text or "") for key, text, _ in rows)
+
+
 def test_cards_need_unique_ids(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.jsonl").write_text('{"card_id": "same"}\n')
