@@ -41,3 +41,17 @@ def starts(*keys: np.ndarray) -> np.ndarray:
 
 def lists(bounds: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes as the greatest needs, all first bytes before all second ones: equal ones compress."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def regrown(data: bytes) -> np.ndarray:
+    """The numbers of ``shrunk``."""
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()

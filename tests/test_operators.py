@@ -4,13 +4,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import nested, text, vectors
-from granary.operators import cards, chunking, ensemble, index, metrics, models, profile, retrieval, review, scoring, splits
+from granary.operators import arrays, cards, chunking, ensemble, index, layout, metrics, models, profile, retrieval, review, scoring, splits
 from granary.sources import readers, sinks
 from granary.streaming import attempts
 
@@ -174,6 +175,49 @@ def test_whole_library_mmr_against_plain_loops(spark, monkeypatch, block, query_
     assert first[0] == (7, {"semantic_similarity": 0.9, "mmr_selected_rank": 1.0}) and (first[1][0], first[2][0]) == (3, 0)
 
 
+@pytest.mark.parametrize("leaders", [1, 64])
+def test_whole_library_selection_stores_no_row_per_word(spark, monkeypatch, leaders):
+    """Whatever is settled among the leaders, the choice is that of plain loops; copies tie; blocks and parts of the words are many."""
+    tables = {}
+
+    def watched(df, label):
+        out = layout.stored(df, label)
+        tables[label] = max(tables.get(label, 0), out.count())
+        return out
+
+    for module in (index, retrieval, scoring):
+        monkeypatch.setattr(module, "stored", watched)
+    monkeypatch.setattr(retrieval, "LEADERS", leaders)
+    monkeypatch.setattr(retrieval, "PIECE", 7)
+    monkeypatch.setattr(index, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(index, "ROW_WORDS", 3)
+    rows = [f"w{i % 7} w{i % 5} common w{i % 3} x{i // 4} tail" for i in range(40)] + ["", None, "common w1"]
+    asked = ["w1 w2 common", "tail x3 x4", "nothing here", "w6 w6 x1"]
+    cards = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    vectors, vector_of = plain_tfidf([r or "" for r in rows])
+    cosine = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
+    want = {}
+    for q, text_ in enumerate(asked):
+        rel, chosen = [cosine(vector_of(text_), v) for v in vectors], []
+        while len(chosen) < 4:
+            gains = [(round(0.7 * rel[i] - 0.3 * max((cosine(vectors[i], vectors[j]) for j in chosen), default=0.0), 9), -i) for i in range(len(rows)) if i not in chosen]
+            chosen.append(-max(gains)[1])
+        want[q] = chosen
+    got = {}
+    for r in retrieval.lexical_mmr(None, queries, index.Tfidf(cards), 4, 0.7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == want
+    assert "tfidf-norms" in tables and not {"tfidf-counts", "mmr-vectors"} & set(tables)
+    assert all(n <= len(rows) for label, n in tables.items() if label not in ("tfidf-parts", "mmr-lead"))
+
+
+def test_numbers_in_few_bytes():
+    for values in ([], [0], [1, 255], [1, 256, 0], [2**63, 2**64 - 1, 5]):
+        found = np.array(values, np.uint64)
+        assert arrays.regrown(arrays.shrunk(found)).tolist() == values
+
+
 @pytest.mark.parametrize("rounds", [(64, 1024), (5, 12), (5,), ()])
 def test_portfolio_against_plain_loops(spark, rounds):
     """The same choice whatever the number of leaders, and by steps over all rows."""
