@@ -212,6 +212,32 @@ def test_whole_library_selection_stores_no_row_per_word(spark, monkeypatch, lead
     assert all(n <= len(rows) for label, n in tables.items() if label not in ("tfidf-parts", "mmr-lead"))
 
 
+@pytest.mark.parametrize("leaders", [2, 64])
+def test_given_relevances_store_no_vectors(spark, monkeypatch, leaders):
+    """Given relevances of some documents, negative ones too: the choice of plain loops, and no row of a document and a word."""
+    tables = []
+    for module in (index, retrieval, scoring):
+        monkeypatch.setattr(module, "stored", lambda df, label: tables.append(label) or layout.stored(df, label))
+    monkeypatch.setattr(retrieval, "LEADERS", leaders)
+    rows = [f"aa{i % 4} bb{i % 3} same words" for i in range(20)]
+    cards = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "q"), (1, "q"), (2, "q")], "query_id long, text string")
+    told = {(0, i): 0.9 - i / 40 for i in range(12)} | {(1, 5): 0.4, (1, 6): -0.2, (1, 9): 0.1}
+    given = spark.createDataFrame([(q, i, x) for (q, i), x in told.items()], "query_id long, doc_id long, score double")
+    vectors, _ = plain_tfidf(rows)
+    cosine = lambda a, b: sum(x * b.get(g, 0.0) for g, x in a.items())
+    want, got = {}, {}
+    for q in range(3):
+        chosen = []
+        while len(chosen) < 4:
+            gains = [(round(0.7 * told.get((q, i), 0.0) - 0.3 * max((cosine(vectors[i], vectors[j]) for j in chosen), default=0.0), 9), -i) for i in range(len(rows)) if i not in chosen]
+            chosen.append(-max(gains)[1])
+        want[q] = chosen
+    for r in retrieval.lexical_mmr(given, queries, index.Tfidf(cards), 4, 0.7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == want and not {"tfidf-counts", "mmr-vectors"} & set(tables)
+
+
 def test_numbers_in_few_bytes():
     for values in ([], [0], [1, 255], [1, 256, 0], [2**63, 2**64 - 1, 5]):
         found = np.array(values, np.uint64)
